@@ -4,19 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import oracles, secrets
+from quillstone.llm import bpe, oracles, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def byte_bpe(docs: DataFrame) -> DataFrame:
+    """``docs`` encoded by the public byte-level vocabulary, and decoded again."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, cut_at_spaces=True), ranks)
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(byte_bpe(table(spark, sf_dir, "documents")))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.scan(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Query]:
-    return {"op10_secret_scan": op10_secret_scan}
+    return {
+        "op5_byte_bpe": op5_byte_bpe,
+        "op8_simhash": op8_simhash,
+        "op10_secret_scan": op10_secret_scan,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
