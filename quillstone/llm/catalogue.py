@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import bpe, oracles, secrets, simhash
+from quillstone.llm import bpe, oracles, recompression, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,10 @@ def byte_bpe(docs: DataFrame) -> DataFrame:
     return bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, cut_at_spaces=True), ranks)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.digest(recompression.deduplicate(table(spark, sf_dir, "documents")))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(byte_bpe(table(spark, sf_dir, "documents")))
 
@@ -36,6 +40,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_substring_dedup": op3_substring_dedup,
         "op5_byte_bpe": op5_byte_bpe,
         "op8_simhash": op8_simhash,
         "op10_secret_scan": op10_secret_scan,
@@ -43,4 +48,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_secret_scan": oracles.SECRETS}
+    return {"op3_substring_dedup": oracles.SUBSTRINGS, "op10_secret_scan": oracles.SECRETS}

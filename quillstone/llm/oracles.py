@@ -41,3 +41,15 @@ def _secrets() -> str:
 
 
 SECRETS = _secrets()
+
+SUBSTRINGS = """
+    WITH d AS (SELECT row_number() OVER () AS n, doc_id,
+            list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    windows AS (SELECT n, doc_id, i, list_aggregate(w[i:i + 12], 'string_agg', ' ') AS s
+        FROM (SELECT n, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+    firsts AS (SELECT s, min(doc_id) AS least FROM windows GROUP BY s),
+    gone AS (SELECT DISTINCT n, unnest(range(i, i + 13)) AS p FROM windows JOIN firsts USING (s) WHERE least < doc_id),
+    gaps AS (SELECT n, count(*) AS removed, list(p) AS ps FROM gone GROUP BY n)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(removed, 0)::BIGINT AS n_removed,
+        sha256(coalesce(list_aggregate(list_filter(w, lambda x, i: ps IS NULL OR NOT list_contains(ps, i)), 'string_agg', ' '), '')) AS kept_sha256
+    FROM d LEFT JOIN gaps USING (n)"""
