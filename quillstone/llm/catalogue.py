@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import bpe, oracles, recompression, secrets, simhash
+from quillstone.llm import bpe, lines, oracles, recompression, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(byte_bpe(table(spark, sf_dir, "documents")))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def queries() -> dict[str, Query]:
     return {
         "op3_substring_dedup": op3_substring_dedup,
         "op5_byte_bpe": op5_byte_bpe,
+        "op7_line_dedup": op7_line_dedup,
         "op8_simhash": op8_simhash,
         "op10_secret_scan": op10_secret_scan,
     }
