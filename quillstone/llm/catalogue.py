@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import bpe, lines, oracles, recompression, secrets, simhash
+from quillstone.llm import bpe, decontamination, lines, oracles, recompression, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,10 @@ def byte_bpe(docs: DataFrame) -> DataFrame:
     return bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, cut_at_spaces=True), ranks)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.digest(recompression.deduplicate(table(spark, sf_dir, "documents")))
 
@@ -44,6 +48,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_decontamination": op2_decontamination,
         "op3_substring_dedup": op3_substring_dedup,
         "op5_byte_bpe": op5_byte_bpe,
         "op7_line_dedup": op7_line_dedup,

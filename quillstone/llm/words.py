@@ -79,3 +79,14 @@ def run_hashes(words: np.ndarray, n: int, base: int) -> np.ndarray:
         out *= np.uint64(base)
         out += words[j : len(words) - n + 1 + j]
     return mix(out)
+
+
+def slices(texts: pa.Array, most: int = 4_000_000) -> list[tuple[int, int]]:
+    """(begin, length) of consecutive texts with about ``most`` bytes together, or one longer text."""
+    _, offsets = text_bytes(texts)
+    out, begin = [], 0
+    for i in range(1, len(texts) + 1):
+        if i == len(texts) or offsets[i + 1] - offsets[begin] > most:
+            out.append((begin, i - begin))
+            begin = i
+    return out
