@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import bpe, decontamination, lines, oracles, recompression, secrets, simhash
+from quillstone.llm import bpe, decontamination, lines, oracles, quality, recompression, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(byte_bpe(table(spark, sf_dir, "documents")))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.digest(quality.score(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -51,6 +56,7 @@ def queries() -> dict[str, Query]:
         "op2_decontamination": op2_decontamination,
         "op3_substring_dedup": op3_substring_dedup,
         "op5_byte_bpe": op5_byte_bpe,
+        "op6_quality": op6_quality,
         "op7_line_dedup": op7_line_dedup,
         "op8_simhash": op8_simhash,
         "op10_secret_scan": op10_secret_scan,
