@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, decontamination, lines, oracles, quality, recompression, secrets, simhash
+from quillstone.llm import bpe, decontamination, lines, oracles, quality, recompression, secrets, simhash, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +48,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -59,9 +64,14 @@ def queries() -> dict[str, Query]:
         "op6_quality": op6_quality,
         "op7_line_dedup": op7_line_dedup,
         "op8_simhash": op8_simhash,
+        "op9_top_k": op9_top_k,
         "op10_secret_scan": op10_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": oracles.SUBSTRINGS, "op10_secret_scan": oracles.SECRETS}
+    return {
+        "op3_substring_dedup": oracles.SUBSTRINGS,
+        "op9_top_k": oracles.TOP_K,
+        "op10_secret_scan": oracles.SECRETS,
+    }

@@ -53,3 +53,11 @@ SUBSTRINGS = """
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(removed, 0)::BIGINT AS n_removed,
         sha256(coalesce(list_aggregate(list_filter(w, lambda x, i: ps IS NULL OR NOT list_contains(ps, i)), 'string_agg', ' '), '')) AS kept_sha256
     FROM d LEFT JOIN gaps USING (n)"""
+
+TOP_K = """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+        FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+    FROM scored QUALIFY rank <= 20"""
