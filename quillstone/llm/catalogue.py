@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, decontamination, lines, oracles, quality, recompression, secrets, simhash, topk
+from quillstone.llm import bpe, decontamination, html_extraction, lines, oracles, quality, recompression, secrets, simhash, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def byte_bpe(docs: DataFrame) -> DataFrame:
     return bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, cut_at_spaces=True), ranks)
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,6 +62,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_html_extraction": op1_html_extraction,
         "op2_decontamination": op2_decontamination,
         "op3_substring_dedup": op3_substring_dedup,
         "op5_byte_bpe": op5_byte_bpe,
