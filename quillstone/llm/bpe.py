@@ -27,8 +27,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of text in a block, the unit of a replay; a longer text is a block of its own.
-BLOCK_CHARS = 16_000_000
+from quillstone.llm.words import slices
+
+#: Bytes of text in a block, the unit of a replay; a longer text is a block of its own.
+BLOCK_BYTES = 6_000_000
 
 #: A space before white space or the end: there the pattern does not simply start a new match.
 LOOSE_SPACE = regex.compile(r" (?:\s|$)").search
@@ -188,6 +190,10 @@ class Encoder:
         offsets = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
         return [gather(tokens, offsets, numbers)[0] for numbers in used]
 
+    def decode(self, ids: bytes) -> bytes:
+        """The bytes that packed ids stand for."""
+        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
 
 def gather(values: np.ndarray, offsets: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of ``values`` that begin at offsets[n] and end before offsets[n + 1], for each n, and where each ends."""
@@ -197,38 +203,30 @@ def gather(values: np.ndarray, offsets: np.ndarray, numbers: np.ndarray) -> tupl
     return values[np.repeat(offsets[numbers] - ends + sizes, sizes) + np.arange(total)], ends
 
 
-def blocks(texts: list[str], most: int = BLOCK_CHARS) -> Iterator[list[str]]:
-    """Consecutive texts of ``most`` characters together, or one longer text."""
-    block: list[str] = []
-    size = 0
-    for text in texts:
-        if block and size + len(text) > most:
-            yield block
-            block, size = [], 0
-        block.append(text)
-        size += len(text)
-    if block:
-        yield block
-
-
-def encode(docs: DataFrame, ranks_path: str, pattern: str, cut_at_spaces: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``ids``, a binary of little-endian unsigned 32-bit ids. ``cut_at_spaces`` says of the pattern that
-    a match begins at every space that stands before something other than white space; it saves time."""
+def encode(
+    docs: DataFrame, ranks_path: str, pattern: str, cut_at_spaces: bool = False, decoded: bool = False, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``key`` and ``ids``, a binary of little-endian unsigned 32-bit ids; with ``decoded`` also the bytes that decoding
+    these ids gives. ``cut_at_spaces`` says of the pattern that a match begins at every space that stands before something
+    other than white space; it saves time."""
     with open(ranks_path, "rb") as file:
         raw = docs.sparkSession.sparkContext.broadcast(file.read())  # a vocabulary, of fixed size
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(raw.value, pattern, cut_at_spaces)
         for batch in rows:
-            done = 0
-            for block in blocks(batch.column(1).to_pylist()):
-                ids = [i.tobytes() for i in encoder.encode_block(block)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(block)), pa.array(ids, pa.binary())], ["key", "ids"])
-                done += len(block)
-
+            for begin, length in slices(batch.column(1), BLOCK_BYTES):
+                part = batch.slice(begin, length)
+                ids = [i.tobytes() for i in encoder.encode_block(part.column(1).to_pylist())]
+                columns = [part.column(0), pa.array(ids, pa.binary())]
+                if decoded:
+                    columns.append(pa.array(map(encoder.decode, ids), pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["key", "ids", *["decoded"] * decoded]
     kind = docs.schema[key].dataType.simpleString()
     slim = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return slim.mapInArrow(batches, f"key {kind}, ids binary").withColumnRenamed("key", key)
+    return slim.mapInArrow(batches, f"key {kind}, ids binary" + ", decoded binary" * decoded).withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, ranks_path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -237,9 +235,9 @@ def decode(encoded: DataFrame, ranks_path: str, key: str = "doc_id", ids: str =
         raw = encoded.sparkSession.sparkContext.broadcast(file.read())
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = Encoder.of(raw.value, r"\X").token.__getitem__
+        encoder = Encoder.of(raw.value, r"\X")
         for batch in rows:
-            back = [None if i is None else b"".join(map(token, np.frombuffer(i, "<u4").tolist())) for i in batch.column(1).to_pylist()]
+            back = [None if i is None else encoder.decode(i) for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(back, pa.binary())], ["key", "ids", "decoded"])
 
     kind = encoded.schema[key].dataType.simpleString()
@@ -247,11 +245,12 @@ def decode(encoded: DataFrame, ranks_path: str, key: str = "doc_id", ids: str =
     return slim.mapInArrow(batches, f"key {kind}, ids binary, decoded binary").withColumnRenamed("key", key)
 
 
-def digest(decoded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The number of ids, and digests of the ids and of the decoded bytes."""
+def digest(decoded: DataFrame, key: str = "doc_id", *more: str) -> DataFrame:
+    """The number of ids, and digests of the ids and of the decoded bytes; then ``more`` columns."""
     return decoded.select(
         key,
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *more,
     )

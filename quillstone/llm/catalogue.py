@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def byte_bpe(docs: DataFrame) -> DataFrame:
     """``docs`` encoded by the public byte-level vocabulary, and decoded again."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, cut_at_spaces=True), ranks)
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, cut_at_spaces=True, decoded=True)
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
