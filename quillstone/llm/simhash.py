@@ -180,3 +180,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     """``key``, ``fingerprint`` in hexadecimal and ``component_id`` of each row."""
     found = components(fingerprints(docs, key, text, words), key, radius)
     return found.select(key, F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, words: int = 3) -> DataFrame:
+    """One row of each component of ``docs``, that of the least key (a null key last, then by a hash of the text)."""
+    own = docs.withColumns({"__id": F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)), "__print": F.xxhash64(F.col(text).cast("string"))})
+    rows = own.select(F.struct(F.col("__id").alias("id"), F.col("__print").alias("print")).alias("who"), text)
+    found = components(fingerprints(rows, "who", text, words), "who", radius).where("who = component_id")
+    first = found.select(F.col("who.id").alias("__id"), F.col("who.print").alias("__print")).distinct()
+    return own.join(first, ["__id", "__print"], "left_semi").dropDuplicates(["__id", "__print"]).drop("__id", "__print")
