@@ -169,8 +169,9 @@ class Encoder:
                 counts[w] = len(ids)
         return token[live], np.r_[0, np.cumsum(counts)]
 
-    def encode_block(self, texts: list[str]) -> list[np.ndarray]:
-        """Each text's ids."""
+    def pretokens(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[str]]:
+        """For each text the numbers of its pieces; where the words of each piece begin in a list of words' numbers, and
+        that list; the distinct words. A piece is a text, or what stands between two of its spaces."""
         pieces = Numbers()
         used = []
         for text in texts:
@@ -180,14 +181,18 @@ class Encoder:
             else:
                 found = [pieces[text, ""]]
             used.append(np.array(found, np.int32))
-        # a piece is a few pre-tokens; each distinct one of them is a word of the replay
         words = Numbers()
         of_piece = [[words[w] for w in self.find(p[0] if isinstance(p, tuple) else " " + p)] for p in pieces]
-        tokens, offsets = self.replay([w.encode() for w in words])
         counts = np.fromiter(map(len, of_piece), np.int64, len(of_piece))
         flat = np.fromiter((w for ws in of_piece for w in ws), np.int64, int(counts.sum()))
+        return used, np.r_[0, np.cumsum(counts)], flat, list(words)
+
+    def encode_block(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's ids."""
+        used, begins, flat, words = self.pretokens(texts)
+        tokens, offsets = self.replay([w.encode() for w in words])
         tokens, ends = gather(tokens.astype("<u4"), offsets, flat)
-        offsets = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
+        offsets = np.r_[0, ends][begins]
         return [gather(tokens, offsets, numbers)[0] for numbers in used]
 
     def decode(self, ids: bytes) -> bytes:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, decontamination, html_extraction, lines, oracles, quality, recompression, secrets, simhash, topk
+from quillstone.llm import bpe, counting, decontamination, html_extraction, lines, oracles, quality, recompression, secrets, simhash, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,32 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.digest(recompression.deduplicate(table(spark, sf_dir, "documents")))
 
 
+def usual_edits(docs: DataFrame) -> DataFrame:
+    """``docs`` with the edits that a corpus clean-up makes: a heading, a mask for the first long number, a word
+    replaced in the middle, the last 20 characters cut off, a notice at the end."""
+
+    def edit(at: F.Column, removed: F.Column, inserted: F.Column) -> F.Column:
+        return F.struct(at.cast("long").alias("at"), removed.cast("long").alias("removed"), inserted.alias("inserted"))
+
+    text = F.coalesce("text", F.lit(""))
+    head = F.concat(F.lit("Source: "), F.coalesce("source", F.lit("none")), F.lit("\n"))
+    number = F.regexp_substr(text, F.lit("[0-9]{7,}"))
+    size = F.length(text) + F.length(head)
+    edits = F.array(
+        edit(F.lit(0), F.lit(0), head),
+        edit(F.length(head) + F.instr(text, F.coalesce(number, F.lit("\x00"))) - 1, F.length(number), F.lit("[number]")),
+        edit((size / 2).cast("long"), F.lit(5), F.lit(" replaced")),
+        edit(size - 20, F.lit(20), F.lit("")),
+        edit(size + 100, F.lit(0), F.lit("\nAll rights reserved.")),
+    )
+    return docs.withColumn("edits", F.filter(edits, lambda e: e["removed"].isNotNull()))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = usual_edits(table(spark, sf_dir, "documents"))
+    return counting.count(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, cut_at_spaces=True)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(byte_bpe(table(spark, sf_dir, "documents")))
 
@@ -65,6 +91,7 @@ def queries() -> dict[str, Query]:
         "op1_html_extraction": op1_html_extraction,
         "op2_decontamination": op2_decontamination,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_token_counts": op4_token_counts,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_quality": op6_quality,
         "op7_line_dedup": op7_line_dedup,
