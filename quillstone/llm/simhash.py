@@ -32,6 +32,8 @@ SEED = 42
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
+#: Pairs of a search and a node that are looked at together.
+FRONTIER = 10_000_000
 
 
 def fingerprint(text: str, words: int = 3) -> int:
@@ -65,9 +67,9 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     return slim.mapInArrow(batches, f"key {kind}, bits long").withColumnRenamed("key", key)
 
 
-def tree_links(shard: np.ndarray, bits: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def tree_links(shard: np.ndarray, bits: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of pairs within the radius of each other in the same shard, each pair once, by one BK-tree for each
-    shard. All trees are built and searched level by level."""
+    shard. All trees are built and searched level by level; so many searches go together that they stand at FRONTIER nodes at most."""
     n = len(bits)
     # building: the first point that arrives at a free place becomes the node there; the others go on to its
     # child of their distance to it
@@ -89,20 +91,21 @@ def tree_links(shard: np.ndarray, bits: np.ndarray, radius: int) -> tuple[np.nda
     roots = np.flatnonzero(parent < 0)
     order = np.argsort(edge[roots], kind="stable")  # a root's edge holds its shard
     roots = roots[order]
-    query, node = np.arange(n), roots[np.searchsorted(edge[roots], shard)]
-    left, right = [], []
-    while len(query):
-        far = np.bitwise_count(bits[query] ^ bits[node]).astype(np.int64)
-        hit = (far <= radius) & (query < node)
-        left.append(query[hit])
-        right.append(node[hit])
-        low = np.searchsorted(place, node * 65 + np.maximum(far - radius, 0))
-        high = np.searchsorted(place, node * 65 + np.minimum(far + radius, 64), side="right")
-        sizes = high - low
-        ends = np.cumsum(sizes)
-        inner = np.repeat(low - ends + sizes, sizes) + np.arange(int(ends[-1]))
-        query, node = np.repeat(query, sizes), children[inner]
-    return np.concatenate(left), np.concatenate(right)
+    tree = np.searchsorted(edge[roots], shard)
+    together = max(1, FRONTIER // int(np.bincount(tree).max()))
+    for begin in range(0, n, together):
+        query = np.arange(begin, min(n, begin + together))
+        node = roots[tree[query]]
+        while len(query):
+            far = np.bitwise_count(bits[query] ^ bits[node]).astype(np.int64)
+            hit = (far <= radius) & (query < node)
+            yield query[hit], node[hit]
+            low = np.searchsorted(place, node * 65 + np.maximum(far - radius, 0))
+            high = np.searchsorted(place, node * 65 + np.minimum(far + radius, 64), side="right")
+            sizes = high - low
+            ends = np.cumsum(sizes)
+            inner = np.repeat(low - ends + sizes, sizes) + np.arange(int(ends[-1]))
+            query, node = np.repeat(query, sizes), children[inner]
 
 
 def spanning(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +154,7 @@ def sharded(prints: DataFrame, radius: int, split_over: int) -> DataFrame:
     return out
 
 
-def links(prints: DataFrame, radius: int = 3, split_over: int = 50_000) -> DataFrame:
+def links(prints: DataFrame, radius: int = 3, split_over: int = 20_000) -> DataFrame:
     """(a, b): links among distinct fingerprints ``bits`` that connect what all pairs within the radius connect."""
 
     def walk(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +162,11 @@ def links(prints: DataFrame, radius: int = 3, split_over: int = 50_000) -> DataF
         if not got:
             return
         shard, bits = (np.concatenate(x) for x in zip(*got))
-        left, right = spanning(len(bits), *tree_links(shard, bits.view(np.uint64), radius))
+        left = right = np.zeros(0, np.int64)
+        for more_left, more_right in tree_links(shard, bits.view(np.uint64), radius):
+            # a dense shard has many more links than points: they are thinned out as they come
+            if len(more_left):
+                left, right = spanning(len(bits), np.concatenate([left, more_left]), np.concatenate([right, more_right]))
         yield pa.RecordBatch.from_arrays([pa.array(bits[left]), pa.array(bits[right])], ["a", "b"])
 
     return sharded(prints, radius, split_over).repartition("shard").mapInArrow(walk, "a long, b long")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from quillstone.llm import simhash
@@ -59,7 +60,9 @@ def test_near_duplicates_match_brute_force(spark):
     assert sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in got) == want
 
 
-def test_split_shards_find_the_same(spark):
+@pytest.mark.parametrize("frontier", [simhash.FRONTIER, 7])
+def test_split_shards_find_the_same(spark, monkeypatch, frontier):
+    monkeypatch.setattr(simhash, "FRONTIER", frontier)
     rng = np.random.default_rng(5)
     centres = rng.integers(0, 2**63, 30, dtype=np.int64)
     bits = {int(c) ^ int(np.bitwise_xor.reduce(1 << rng.integers(0, 63, rng.integers(1, 4)))) for c in centres for _ in range(20)} | {-1, 0, -2**63}
