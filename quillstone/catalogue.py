@@ -303,8 +303,9 @@ def vector_min_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("SELECT count(*)::BIGINT AS n_all, (count(*) FILTER (vec_id % 5 <> 4))::BIGINT AS n_found FROM embeddings")
 def vector_null_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _nearest(spark, sf_dir, limit=0).agg(F.count("*").alias("n_found"))
-    return fixtures.vectors(spark, sf_dir).agg(F.count("*").alias("n_all")).crossJoin(found)  # one row each
+    found = _nearest(spark, sf_dir, limit=0).select("ingest_seq", F.lit(1).alias("found"))
+    both = fixtures.vectors(spark, sf_dir).select("ingest_seq").join(found, "ingest_seq", "left")
+    return both.agg(F.count("*").alias("n_all"), F.count("found").alias("n_found"))
 
 
 @_register(f"WITH {_SCORED} SELECT ingest_seq, 'cosine' AS metric, round(raw, 6) AS score, round(1 - raw, 6) AS distance FROM scored ORDER BY raw DESC, ingest_seq LIMIT 20")
