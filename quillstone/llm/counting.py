@@ -27,6 +27,8 @@ from quillstone.llm.words import slices
 LEAF = 64
 #: Characters behind a boundary that may have settled it: the longest contraction less one, and one to look ahead.
 CONTEXT = 3
+#: Bytes from which on a single word is replayed; merging one by one takes time with their square.
+SHORT = 100
 EDIT = "struct<at:bigint,removed:bigint,inserted:string>"
 
 
@@ -166,7 +168,9 @@ def count(docs: DataFrame, ranks_path: str, pattern: str, cut_at_spaces: bool =
 
                 def tokens(word: str) -> int:
                     if word not in known:
-                        known[word] = len(encoder.replay([word.encode()])[0])
+                        raw_word = word.encode()
+                        # the tables of a replay are not worth it for one short word
+                        known[word] = len(encoder.one_by_one(raw_word) if len(raw_word) < SHORT else encoder.replay([raw_word])[0])
                     return known[word]
 
                 rows = []
