@@ -16,9 +16,12 @@ SLICE_BYTES = 2_000_000
 
 
 def fit(pages: DataFrame, page: str, fit_pages: int, fit_bytes: int, drawn: int) -> Labeller:
-    """A labeller trained from the ``fit_pages`` pages of at most ``fit_bytes`` bytes with the least hashes."""
+    """A labeller trained from the ``fit_pages`` distinct pages of at most ``fit_bytes`` bytes with the least hashes. The cut is found
+    on the hashes alone, so no task sends pages that others displace."""
     usable = pages.where(F.octet_length(page) <= fit_bytes).select(F.xxhash64(page).alias("order"), F.col(page).alias("page"))
-    found = usable.orderBy("order", "page").limit(fit_pages).collect()
+    cut = usable.select("order").distinct().orderBy("order").limit(fit_pages).agg(F.max("order")).first()[0]
+    chosen = usable.where(F.col("order") <= F.lit(cut)).groupBy("order").agg(F.min("page").alias("page"))
+    found = sorted(chosen.collect(), key=lambda r: r["order"])
     return Labeller().fit(training_pages([r["page"] for r in found], drawn))
 
 
