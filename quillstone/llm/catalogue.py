@@ -71,7 +71,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+    return lines.deduplicate(table(spark, sf_dir, "documents"), whole=True).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,70 @@
+"""Whole line deduplication against alignment with every earlier document that shares a line."""
+
+from collections import defaultdict
+
+import pytest
+from test_lines import SPACE, corpus
+
+import corpus_pipeline
+from quillstone.llm import lines
+
+
+def every(rows):
+    """Expected text of each document, aligned with all earlier ones."""
+    documents = sorted({(k, t) for k, t in rows if k is not None and t is not None})
+    split = [[x.strip(SPACE) for x in t.split("\n")] for _, t in documents]
+    holders, want = defaultdict(list), {}
+    for n, ((key, text), mine) in enumerate(zip(documents, split)):
+        gone = set()
+        for p in {p for x in set(mine) - {""} for p in holders[x]}:
+            common = (set(mine) & set(split[p])) - {""}
+            at = [j for j, x in enumerate(mine) if x in common]
+            gone |= {at[j] for _, j in lines.patience([x for x in split[p] if x in common], [mine[j] for j in at])}
+        want[key] = "\n".join(x for j, x in enumerate(text.split("\n")) if j not in gone)
+        for x in set(mine) - {""}:
+            holders[x].append(n)
+    return want
+
+
+def got(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r.doc_id: r.text for r in lines.deduplicate(docs, whole=True).collect() if r.doc_id is not None and r.text is not None}
+
+
+A, B, C = "the first of three lines", "the second of three lines", "the third of three lines"
+CASES = {
+    "crossing": [(1, f"{A}\n{B}\n{C}"), (2, f"{C}\n{B}\n{A}"), (3, f"own words\n{C}\n{B}\n{A}")],
+    "repeated": [(1, A), (2, f"{A}\n{B}\n{A}"), (3, f"{A}\nown words of mine\n{A}")],
+    "later holder": [(1, f"{B}\n{A}"), (2, f"{B}\nx\n{A}"), (3, f"{A}\ny\n{B}"), (4, f"{A}\nz\n{B}")],
+    "short lines": [(1, "a\nb\nc"), (2, "own\na\nb\nc"), (3, "漢字文"), (4, "漢字文"), (5, "Reouti anatha. 19")],
+}
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_holders_other_than_the_earliest(spark, case):
+    rows = CASES[case]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = {r.doc_id: r.text for r in lines.deduplicate(docs).collect()}
+    assert got(spark, rows) == every(rows) != before
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_random_corpus_against_every_partner(spark, seed):
+    rows = corpus(seed)
+    want, have = every(rows), got(spark, rows)
+    kept = {k: len(t.split("\n")) for k, t in want.items()}
+    # rounds end when one deletes nothing, so a line may stay, but none goes that no partner aligns with
+    assert all(len(t.split("\n")) >= kept[k] for k, t in have.items())
+    assert sum(have[k] != want[k] for k in want) <= 1
+
+
+def test_empty(spark):
+    assert lines.deduplicate(spark.createDataFrame([], "doc_id long, text string"), whole=True).count() == 0
+
+
+def test_the_pipeline_stage_tries_every_partner(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = {k: t for k, t in every(texts.items()).items() if t == texts[k] or t.strip(SPACE)}
+    assert {r.doc_id: r.text for r in corpus_pipeline.new_lines(spark, docs, folder).collect()} == want
