@@ -17,10 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def byte_bpe(docs: DataFrame) -> DataFrame:
-    """``docs`` encoded by the public byte-level vocabulary, and decoded again."""
+def byte_bpe(docs: DataFrame, *more: str) -> DataFrame:
+    """``docs`` encoded by the public byte-level vocabulary and decoded again: digests, and ``more`` of bpe.GIVEN."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, cut_at_spaces=True, decoded=True)
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, cut_at_spaces=True, give=("n_tokens", "ids_sha256", "decoded_sha256", *more))
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digest(byte_bpe(table(spark, sf_dir, "documents")))
+    return byte_bpe(table(spark, sf_dir, "documents"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

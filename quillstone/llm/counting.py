@@ -21,13 +21,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.bpe import BLOCK_BYTES, Encoder, gather
+from quillstone.llm.bpe import BLOCK_BYTES, Encoder
 from quillstone.llm.words import slices
 
 LEAF = 64
 #: Characters behind a boundary that may have settled it: the longest contraction less one, and one to look ahead.
 CONTEXT = 3
-#: Bytes from which on a single word is replayed; merging one by one takes time with their square.
+#: Bytes from which on a single word is replayed with arrays.
 SHORT = 100
 EDIT = "struct<at:bigint,removed:bigint,inserted:string>"
 
@@ -132,17 +132,11 @@ class Document:
         return len(new)
 
 
-def documents(encoder: Encoder, texts: list[str]) -> tuple[list[Document], dict[str, int]]:
-    """Trees of all texts, and the token counts of their distinct pre-tokens."""
-    used, begins, flat, words = encoder.pretokens(texts)
-    _, offsets = encoder.replay([w.encode() for w in words])
-    tokens = np.diff(offsets)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    out = []
-    for text, numbers in zip(texts, used):
-        own = gather(flat, begins, numbers)[0]
-        out.append(Document(text, sizes[own], tokens[own]))
-    return out, dict(zip(words, tokens.tolist()))
+def documents(encoder: Encoder, texts: list[str]) -> list[Document]:
+    """Trees of all texts."""
+    used = encoder.number(texts)
+    sizes, counts = encoder.pieces.sizes, encoder.pieces.counts
+    return [Document(text, sizes.take(numbers), counts.take(numbers)) for text, numbers in zip(texts, used)]
 
 
 def with_edits(docs: DataFrame, edits: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -164,7 +158,8 @@ def count(docs: DataFrame, ranks_path: str, pattern: str, cut_at_spaces: bool =
         for batch in batches:
             for begin, length in slices(batch.column(1), BLOCK_BYTES):
                 part = batch.slice(begin, length)
-                trees, known = documents(encoder, part.column(1).to_pylist())
+                trees = documents(encoder, part.column(1).to_pylist())
+                known: dict[str, int] = {}
 
                 def tokens(word: str) -> int:
                     if word not in known:

@@ -12,6 +12,8 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = np.random.default_rng(20).integers(0, 2**64, 256, np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+#: Powers are kept up to so many; longer texts make their own.
+KEPT_POWERS = 1_100_000
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -25,18 +27,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        n = max(n, 1 << 16)
-        for i, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _POWERS[i] = np.multiply.accumulate(steps)
-    return _POWERS[0], _POWERS[1]
+    if len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    made = []
+    for base in (_BASE, _INVERSE):
+        steps = np.full(max(n, 1 << 16), base, np.uint64)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps))
+    if n <= KEPT_POWERS:
+        _POWERS[:] = made
+    return made[0], made[1]
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 of all texts end to end, and len + 1 offsets; a null is empty."""
-    texts = texts.fill_null("").cast(pa.large_string())
+    texts = texts.fill_null(b"" if pa.types.is_binary(texts.type) else "").cast(pa.large_binary())
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
@@ -81,7 +86,7 @@ def run_hashes(words: np.ndarray, n: int, base: int) -> np.ndarray:
     return mix(out)
 
 
-def slices(texts: pa.Array, most: int = 4_000_000) -> list[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 1_000_000) -> list[tuple[int, int]]:
     """(begin, length) of consecutive texts with about ``most`` bytes together, or one longer text."""
     _, offsets = text_bytes(texts)
     out, begin = [], 0
