@@ -1,17 +1,20 @@
 """Secret scan by a trigram inverted index, in DataFrame functions only.
 
-Every rule's regular expression is given with a Boolean trigram query that each of its matches must
-satisfy, in disjunctive form over case-folded trigrams. The index maps a trigram to the rows that
-hold it; only trigrams that some query names are indexed. Joining the queries' terms to the index
+A Boolean trigram query is derived from every rule's regular expression (see ``trigrams``). The index maps a trigram to the rows that
+hold it, in either case; only trigrams that some query names are indexed. Joining the queries' terms to the index
 and counting the terms that each row satisfies intersects the postings; the rows that satisfy a
 whole conjunction are the rule's candidates, and only those are run through the rule's regular
 expression. A rule without mandatory trigrams (hexadecimal runs) scans every row.
 
+Candidates, two numbers each, are broadcast to the texts if they are ``BROADCAST`` at most, counted first; beyond that texts and
+candidates are joined by row.
+
 Span positions come from ``split`` and ``regexp_extract_all``: the pieces between the matches and the
 matches themselves alternate, so running sums of their lengths are the offsets, in code points.
 
 Defined results: a null text counts as empty and has no spans; null and repeated keys are allowed, each
-input row gives one output row; an empty table gives an empty table; other columns are left aside.
+input row gives one output row; an empty table gives an empty table; other columns, whatever their names, are left aside; texts are
+scanned whole, however long.
 """
 
 from __future__ import annotations
@@ -21,22 +24,28 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.components import checkpointed
+from quillstone.llm.trigrams import ALL, query_of
+
+
+#: Candidates that are broadcast at most: two numbers a row.
+BROADCAST = 500_000
+
 
 @dataclass(frozen=True)
 class Rule:
     """A kind of secret: ``pattern`` finds leftmost matches that do not overlap; a match is kept if its
-    group ``group`` has ``min_length`` characters or more. ``words`` are literals of which every match holds
-    one, in either case; none: no mandatory trigrams."""
+    group ``group`` has ``min_length`` characters or more. The pattern is in what Python's and Java's expressions have in common."""
 
     kind: str
     pattern: str
     group: int
     min_length: int
-    words: tuple[str, ...] = ()
 
     def trigram_query(self) -> list[tuple[str, ...]]:
-        """Conjunctions of trigrams, of which a matching text satisfies at least one."""
-        return [tuple(sorted({w[i : i + 3] for i in range(len(w) - 2)})) for w in map(str.lower, self.words)]
+        """Conjunctions of trigrams, of which a matching text satisfies at least one; none: no mandatory trigrams."""
+        query = query_of(self.pattern)
+        return [] if query == ALL else sorted(tuple(sorted(c)) for c in query)
 
 
 def spelled(word: str) -> str:
@@ -52,15 +61,15 @@ ASSIGN = (
 #: A run of hexadecimal digits below 24 never becomes a match of the bounded form, and a longer one is one match of
 #: either form, so the bound may stand in the pattern; the same holds for access keys of 20.
 BASE_RULES = (
-    Rule("assign", ASSIGN, 2, 6, KEYWORDS),
-    Rule("access", "AKIA[A-Z0-9]{16,}", 0, 20, ("AKIA",)),
+    Rule("assign", ASSIGN, 2, 6),
+    Rule("access", "AKIA[A-Z0-9]{16,}", 0, 20),
     Rule("hex", "[0-9a-f]{24,}", 0, 24),
 )
 #: Public key formats, found besides the base rules.
 MORE_RULES = (
-    Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
-    Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15, ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, ("PRIVATE KEY-----",)),
+    Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
+    Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
+    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
 )
 
 
@@ -95,7 +104,7 @@ def postings(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(_row, _rules): the positions in ``rules`` whose trigram query the row satisfies."""
+    """(_row, _rules): a bit for each of ``rules`` whose trigram query the row satisfies."""
     spark = index.sparkSession
     terms = [(t, n, m, len(c)) for n, r in enumerate(rules) for m, c in enumerate(r.trigram_query()) for t in c]
     # a few dozen rows fixed by the rules
@@ -106,26 +115,28 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         .agg(F.count_distinct("trigram").alias("_met"))
         .where(F.col("_met") == F.col("terms"))
         .groupBy("_row")
-        .agg(F.collect_set("rule").alias("_rules"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("_rules"))
     )
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
-    """``key`` and ``spans``, an array of (start, kind_order, kind, stop) by start, then by the rules' order."""
+    """``key`` and ``spans``, an array of (start, kind_order, kind, stop) by start, then by the rules' order (63 of them at most)."""
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     # rows that collide only share candidates, which the regular expressions verify
     rows = rows.withColumn("_row", F.xxhash64("_key", "_text"))
-    indexed = tuple(r for r in rules if r.words)
-    found = candidates(postings(rows, indexed), indexed)
-    both = rows.join(found, "_row", "left")
-    parts, at = [], {r.kind: n for n, r in enumerate(indexed)}
+    indexed = tuple(r for r in rules if r.trigram_query())
+    if indexed:
+        found = checkpointed(candidates(postings(rows, indexed), indexed))
+        rows = rows.join(F.broadcast(found) if found.count() <= BROADCAST else found, "_row", "left")
+    parts = []
     for order, rule in enumerate(rules):
-        if rule.words:
-            wanted = F.coalesce(F.array_contains("_rules", at[rule.kind]), F.lit(False))
+        if rule in indexed:
+            wanted = F.coalesce(F.col("_rules"), F.lit(0).cast("long")).bitwiseAND(F.lit(1 << indexed.index(rule)).cast("long")) != 0
         else:
             wanted = F.col("_text").rlike(rule.pattern)
         parts.append(F.when(wanted, spans_of(F.col("_text"), rule, order)).otherwise(no_spans()))
-    return both.select(F.col("_key").alias(key), F.array_sort(F.concat(*parts)).alias("spans"))
+    spans = F.array_sort(F.concat(*parts)) if parts else no_spans()
+    return rows.select(F.col("_key").alias(key), spans.alias("spans"))
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
