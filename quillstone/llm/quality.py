@@ -3,13 +3,13 @@
 A document is a bag of passages of PASSAGE consecutive words. A passage is encoded from counts over its words (case,
 punctuation, digits, repetition, lengths, hashed words); gated attention, learned from the labels of
 documents alone, weighs the passages, and the weighted sum of their encodings is scored. The model is fitted
-on the driver from a bounded sample of labelled documents, whose passages are counted on the executors; it has a fixed size and is broadcast.
-Every passage of every document is scored.
+on the driver from ``fit_rows`` labelled documents at most, all passages of each, which are counted on the executors; it has a fixed size
+and is broadcast. Every passage of every document is scored.
 
 Defined results: null and empty texts are one empty passage and get a score; rows with a null key are scored and are
 never held out nor learned from; repeated keys each give a row; of several labels of a key the lowest counts; without
-labels of both kinds every score is the share of label 1 (0.5 if there are none); an empty table gives an empty table; other columns
-are left aside.
+labels of both kinds every score is the share of label 1 (0.5 if there are none); an empty table gives an empty table; a very long
+text is as many passages as it needs, each of N_FEATURES numbers; other columns stay, but for one named like the score, which is replaced.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ LAGS = 5
 WIDTH, GATE = 32, 16
 FOLDS = 5
 THRESHOLD = 0.3
+#: Labels (three numbers each) that are broadcast at most.
+MOST_BROADCAST = 500_000
 
 _CODES = np.arange(256)
 _IS = {
@@ -159,34 +161,39 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, fit_rows: int, fit_passages: int) -> Model:
-    """A model of the ``fit_rows`` labelled documents with the least hashes of their keys; of the longest of them the first
-    ``fit_passages`` passages are learned from."""
+def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, fit_rows: int) -> Model:
+    """A model of the ``fit_rows`` labelled documents with the least hashes of their keys. The driver holds all their passages, in
+    half precision."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("key")).agg(F.min(label).alias("label"))
+    known = known.select("key", "label", F.xxhash64("key").alias("order"))
     slim = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    # of the labels a few more than rows are wanted, for those without a document
-    sample = known.select("key", "label", F.xxhash64("key").alias("order")).orderBy("order", "key").limit(2 * fit_rows)
-    rows = slim.join(F.broadcast(sample), "key").select("order", "key", "label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, length in slices(batch.column(3)):
                 part = batch.slice(begin, length)
                 x, starts = passages(part.column(3))
-                bags = [x[b : min(e, b + fit_passages)].tobytes() for b, e in zip(starts, starts[1:])]
+                bags = [x[b:e].astype(np.float16).tobytes() for b, e in zip(starts, starts[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(bags, pa.binary())], ["order", "key", "label", "bag"])
 
-    kinds = dict(rows.dtypes)
-    bags = rows.mapInArrow(count, f"order long, key {kinds['key']}, label {kinds['label']}, bag binary")
-    found = bags.orderBy("order", "key", "bag").limit(fit_rows).collect()
-    return Model().fit([np.frombuffer(r["bag"], np.float32).reshape(-1, N_FEATURES) for r in found], np.array([float(r["label"] == 1) for r in found], np.float32))
-
-
-def score(
-    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = 2000, fit_passages: int = 32
-) -> DataFrame:
-    """``docs`` with ``score``, the likelihood of label 1."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, key, text, label, fit_rows, fit_passages))
+    asked = 2 * fit_rows
+    while True:
+        some = known.orderBy("order", "key").limit(asked)
+        rows = slim.join(F.broadcast(some) if asked <= MOST_BROADCAST else some, "key").select("order", "key", "label", "text")
+        kinds = dict(rows.dtypes)
+        bags = rows.mapInArrow(count, f"order long, key {kinds['key']}, label {kinds['label']}, bag binary")
+        found = bags.orderBy("order", "key", "bag").limit(fit_rows).collect()
+        # labels without a document are made up for by further ones, until there are none
+        if len(found) == fit_rows or known.limit(asked + 1).count() <= asked:
+            break
+        asked *= 16
+    bags = [np.frombuffer(r["bag"], np.float16).reshape(-1, N_FEATURES).astype(np.float32) for r in found]
+    return Model().fit(bags, np.array([float(r["label"] == 1) for r in found], np.float32))
+
+
+def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = 2000, name: str = "score") -> DataFrame:
+    """``docs`` with the likelihood of label 1 in column ``name``."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, key, text, label, fit_rows))
 
     def run(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in texts:
@@ -195,10 +202,10 @@ def score(
                 scores = model.value.score(*passages(part.column(at)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names)
 
-    plain = docs.drop("score")
-    names, at = [*plain.columns, "score"], plain.columns.index(text)
+    plain = docs.drop(name)
+    names, at = [*plain.columns, name], plain.columns.index(text)
     kinds = ", ".join(f"`{n}` {k}" for n, k in plain.dtypes)
-    return plain.mapInArrow(run, f"{kinds}, score double")
+    return plain.mapInArrow(run, f"{kinds}, `{name}` double")
 
 
 def digest(scored: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -57,6 +57,26 @@ def test_passages_do_not_depend_on_other_texts():
     assert np.isclose(seven[13], 2 / 7)  # two like the word before
 
 
+def test_every_passage_of_a_long_text_is_learned_from_and_scored(spark):
+    """The words that tell good from bad stand behind thousands of others."""
+    filler = "plain words go on and on without an end " * 1000
+
+    def text(n, y):
+        return filler + f"{n} " + ("The end of it is well told. " * 60 if y else "BUY!!! NOW!!! $$$ " * 120)
+
+    docs = spark.createDataFrame([(n, text(n, n % 2)) for n in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, n % 2) for n in range(40)], "doc_id long, quality int")
+    done = quality.digest(quality.score(docs, labels)).collect()
+    assert {(r.doc_id, r.predicted) for r in done} == {(n, n % 2) for n in range(40)}
+
+
+def test_labels_without_documents_do_not_shrink_the_sample(spark):
+    docs = spark.createDataFrame([(n, "GOOD text." if n % 2 else "bad ### text") for n in range(20)], "doc_id long, text string")
+    labels = spark.range(5000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    model = quality.fit(docs, labels, "doc_id", "text", "quality", 8)
+    assert model.constant is None
+
+
 def test_nulls_repeats_clashes_and_few_labels(spark):
     docs = spark.createDataFrame([(1, "a b", 0.5), (1, "a b", 0.5), (None, None, None), (2, "", 1.0)], "doc_id long, text string, score double")
     none = spark.createDataFrame([(1, None, 0), (None, 1, 0)], "doc_id long, quality int, label int")
