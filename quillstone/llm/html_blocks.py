@@ -4,14 +4,15 @@ A page becomes the sequence of its leaf blocks, each with the path of tags above
 classes and ids of the path, hashed words, and a few sizes; a bidirectional LSTM in numpy reads the page's whole sequence and
 labels every block as main text or not.
 
-The labeller is trained on the driver, from a bounded sample of pages that mark their article with a semantic element: blocks in it
+The labeller is trained on the driver, from ``fit_pages`` pages at most, of those that mark their article with a semantic element: blocks in it
 are main text, those outside or in navigation, notices, forms and the like within it are not. As one site's pages have one layout, the
 sampled blocks are also set into layouts drawn at random (other containers, class names, boilerplate and reader comments). The
 trained model has a fixed size and is broadcast.
 
 Character references are decoded, white space in a block becomes one space, main blocks are joined by a newline. Defined results: a
 null or empty page has an empty text; unclosed and misnested tags are tolerated; null and repeated keys are allowed, each row gives
-one row; an empty table gives an empty table; other columns are left aside.
+one row; an empty table gives an empty table; a very long or deeply nested page takes time in proportion to its length; columns named
+``text`` or ``n_chars`` are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import html
 import random
 import re
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,9 @@ from quillstone.llm.words import find_words, text_bytes, word_hashes
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe".split())
+RAW = frozenset("script style noscript template svg iframe textarea".split())
+#: Their text belongs to a form.
+CONTROLS = ("button", "select", "datalist")
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -55,13 +59,35 @@ INPUT = PATHS + WORDS + SIZES
 HIDDEN = 16
 
 
+class Node:
+    """An open element that is no inline one: its name parts, its parent, and ``names``, a bit for the hash of each name part of it and of
+    all above it. All paths share their upper nodes, so deep pages take space in proportion to their size."""
+
+    __slots__ = ("element", "names", "parent")
+
+    def __init__(self, parent: Node | None, element: str) -> None:
+        self.parent, self.element = parent, element
+        self.names = parent.names if parent else 0
+        for token in element.split():
+            self.names |= 1 << (zlib.crc32(token.encode()) % (PATHS // 2) + PATHS // 2 * (token[0] == "~"))
+
+
 class Leaf:
-    """A block: the path above it, its text, and how much of it stands in links."""
+    """A block: the innermost node above it, its text, and how much of it stands in links."""
+
+    __slots__ = ("linked", "node", "text")
 
-    __slots__ = ("linked", "path", "text")
+    def __init__(self, node: Node | None, text: str, linked: int) -> None:
+        self.node, self.text, self.linked = node, text, linked
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int) -> None:
-        self.path, self.text, self.linked = path, text, linked
+    @property
+    def path(self) -> list[str]:
+        """The elements above the block, the outermost first."""
+        out, node = [], self.node
+        while node:
+            out.append(node.element)
+            node = node.parent
+        return out[::-1]
 
 
 def element_tokens(tag: str, attributes: str) -> str:
@@ -76,26 +102,72 @@ def element_tokens(tag: str, attributes: str) -> str:
     return " ".join(parts)
 
 
+class Open:
+    """The open elements. Every step takes constant time, but for closing, which takes it for each element closed."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []  # empty: closed before those above it
+        self.nodes: list[Node | None] = []
+        self.where: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    @property
+    def node(self) -> Node | None:
+        return self.nodes[-1] if self.nodes else None
+
+    def has(self, tag: str) -> bool:
+        return bool(self.where.get(tag))
+
+    def open(self, tag: str, attributes: str) -> None:
+        at = len(self.tags)
+        inline = tag in INLINE
+        self.nodes.append(self.node if inline else Node(self.node, element_tokens(tag, attributes)))
+        self.tags.append(tag)
+        self.where.setdefault(tag, []).append(at)
+        if not inline:
+            self.blocks.append(at)
+
+    def cut(self, at: int) -> None:
+        """Closes the elements from place ``at`` on."""
+        while len(self.tags) > at:
+            self.nodes.pop()
+            if tag := self.tags.pop():
+                self.where[tag].pop()
+        while self.blocks and self.blocks[-1] >= at:
+            self.blocks.pop()
+
+    def close(self, tag: str) -> None:
+        """Closes the innermost element of a tag. What an inline element leaves open stays open."""
+        at = self.where[tag][-1]
+        if tag in INLINE and self.blocks and self.blocks[-1] > at:
+            self.where[tag].pop()
+            self.tags[at] = ""
+        else:
+            self.cut(at)
+
+    def end_siblings(self, tag: str) -> None:
+        closed, limits = ENDS[tag]
+        limit = max((self.where[t][-1] for t in limits if self.has(t)), default=-1)
+        found = [own[k] for t in closed if (own := self.where.get(t)) and (k := bisect_right(own, limit)) < len(own)]
+        if found:
+            self.cut(min(found))
+
+
 def leaves(page: str) -> list[Leaf]:
-    """Blocks with text, in page order."""
+    """Blocks with text, in page order, but for what stands in a form's controls."""
     out: list[Leaf] = []
-    tags: list[str] = []
-    path: list[str] = []
+    open_ = Open()
     held: list[str] = []
     linked = 0
-    under: tuple[str, ...] = ()
+    under: Node | None = None
+    real = False  # whether ``held`` has more than white space
 
     def end_block() -> None:
-        nonlocal linked
-        if held:
-            text = " ".join(html.unescape("".join(held)).split())
-            if text:
-                out.append(Leaf(under, text, linked))
-            held.clear()
-        linked = 0
-
-    def close(number: int) -> None:
-        del tags[number:], path[number:]
+        nonlocal linked, real
+        if real:
+            out.append(Leaf(under, " ".join(html.unescape("".join(held)).split()), linked))
+        held.clear()
+        linked, real = 0, False
 
     at, end = 0, len(page)
     while at < end:
@@ -106,23 +178,20 @@ def leaves(page: str) -> list[Leaf]:
             text = m.group()
             if text[0] == "<" and len(text) > 1:  # a comment or declaration
                 continue
-            if not held:
-                under = tuple(p for p, t in zip(path, tags) if t not in INLINE)
+            if any(map(open_.has, CONTROLS)):
+                continue
+            if not real and html.unescape(text).split():
+                real, under = True, open_.node
             held.append(text)
-            if "a" in tags:
+            if open_.has("a"):
                 linked += len(text)
             continue
         tag = tag.lower()
         if slash:
-            if tag in tags:
+            if open_.has(tag):
                 if tag not in INLINE:
                     end_block()
-                number = len(tags) - 1 - tags[::-1].index(tag)
-                # what an inline element leaves open stays open
-                if tag in INLINE and any(t not in INLINE for t in tags[number:]):
-                    del tags[number], path[number]
-                else:
-                    close(number)
+                open_.close(tag)
             elif tag == "p":
                 end_block()
             elif tag == "br":
@@ -135,33 +204,33 @@ def leaves(page: str) -> list[Leaf]:
             continue
         if tag not in INLINE:
             end_block()
-            if tag in CLOSES_P and "p" in tags:
-                close(len(tags) - 1 - tags[::-1].index("p"))
+            if tag in CLOSES_P and open_.has("p"):
+                open_.close("p")
             if tag in ENDS:
-                closed, limits = ENDS[tag]
-                for number in range(len(tags) - 1, -1, -1):
-                    if tags[number] in limits:
-                        break
-                    if tags[number] in closed:
-                        close(number)
-        elif tag in ("br", "img", "wbr"):
-            held.append(" " if tag == "br" and held else "")
+                open_.end_siblings(tag)
+        elif tag == "br":
+            held.append(" ")
         if tag not in VOID and not attributes.rstrip().endswith("/"):
-            tags.append(tag)
-            path.append(element_tokens(tag, attributes))
+            open_.open(tag, attributes)
     end_block()
     return out
 
 
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
+def path_key(node: Node | None) -> tuple[int, tuple[str, ...]]:
+    """What ``path_vector`` looks at."""
+    near = (node.element, node.parent.element) if node and node.parent else (node.element,) if node else ()
+    return (node.names if node else 0), near
+
+
+def path_vector(names: int, near: tuple[str, ...]) -> np.ndarray:
     """Hashed names of the elements of a path; those near the block also count by their place, and names more than tags."""
+    half = PATHS // 2
     out = np.zeros(PATHS, np.float32)
-    for depth, element in enumerate(reversed(path)):
+    bits = np.unpackbits(np.frombuffer(names.to_bytes(PATHS // 8, "little"), np.uint8), bitorder="little")
+    out[:half] = np.maximum(bits[:half], 3 * bits[half:])
+    for depth, element in enumerate(near):
         for token in element.split():
-            size = 3 if token[0] == "~" else 1
-            out[zlib.crc32(token.encode()) % (PATHS // 2)] = size
-            if depth < 2:
-                out[PATHS // 2 + zlib.crc32(f"{depth} {token}".encode()) % (PATHS // 2)] = size
+            out[half + zlib.crc32(f"{depth} {token}".encode()) % half] = 3 if token[0] == "~" else 1
     return out
 
 
@@ -170,9 +239,9 @@ class Sequences:
 
     def __init__(self, pages: list[list[Leaf]]) -> None:
         flat = [leaf for page in pages for leaf in page]
-        numbers: dict[tuple[str, ...], int] = {}
-        self.path = np.array([numbers.setdefault(leaf.path, len(numbers)) for leaf in flat], np.int64)
-        self.paths = np.array([path_vector(p) for p in numbers], np.float32).reshape(-1, PATHS)
+        numbers: dict[tuple[int, tuple[str, ...]], int] = {}
+        self.path = np.array([numbers.setdefault(path_key(leaf.node), len(numbers)) for leaf in flat], np.int64)
+        self.paths = np.array([path_vector(*p) for p in numbers], np.float32).reshape(-1, PATHS)
         data, offsets = text_bytes(pa.array([leaf.text for leaf in flat], pa.string()))
         begins, ends, firsts = find_words(data, offsets)
         sizes = np.maximum(1, np.diff(firsts))

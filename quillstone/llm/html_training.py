@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from html import escape
 
-from quillstone.llm.html_blocks import Leaf, leaves
+from quillstone.llm.html_blocks import Leaf, Node, leaves
 
 # Names that pages give to what is and is not main text.
 MAIN = frozenset("article main".split())
@@ -15,23 +15,32 @@ ASIDE_NAMES = (
     " popup modal alert newsletter subscribe signup form login search share social related recommended comments comment reply replies disqus discussion respond hidden tags pagination"
 ).split()
 COMMON_NAMES = "ad ads advert banner promo notice cookie sidebar related share".split()
+#: For private use; taken out of the texts first.
+MARKS = ("\ue000", "\ue001")
 MAIN_NAMES = "content main article post entry story body text maincontent primary page".split()
 
 
 def weak_labels(page: list[Leaf]) -> list[bool] | None:
     """Main or not, by the elements above each block; None if the page marks no article."""
-    out, marked = [], False
-    for leaf in page:
-        inside = None
-        for element in leaf.path:
-            tag, *names = element.split()
-            if tag in MAIN and inside is None:
-                inside = True
+    known: dict[Node | None, bool | None] = {None: None}  # None: outside of any article and aside
+
+    def inside(node: Node | None) -> bool | None:
+        ways = []
+        while node not in known:
+            ways.append(node)
+            node = node.parent
+        found = known[node]
+        for own in reversed(ways):
+            tag, *names = own.element.split()
+            if tag in MAIN and found is None:
+                found = True
             elif tag in ASIDE_TAGS or {n[1:] for n in names} & set(ASIDE_NAMES):
-                inside = False
-        marked |= inside is True
-        out.append(inside is True)
-    return out if marked else None
+                found = False
+            known[own] = found
+        return found
+
+    out = [inside(leaf.node) for leaf in page]
+    return [x is True for x in out] if True in out else None
 
 
 def dressed(rng: random.Random, name: str) -> str:
@@ -42,12 +51,13 @@ def dressed(rng: random.Random, name: str) -> str:
 
 def layout(rng: random.Random, main: list[str], other: list[str]) -> tuple[list[Leaf], list[bool]]:
     """A page of these texts: marks in the texts tell its main blocks from the others after parsing."""
-    mark_main, mark_other = "\ue000", "\ue001"  # for private use, so in no text
+    mark_main, mark_other = MARKS
 
     def text(given: list[str], mark: str) -> str:
-        words = rng.choice(given).split() or ["x"]
+        words = rng.choice(given).translate(dict.fromkeys(map(ord, MARKS))).split() or ["x"]
         size = rng.choice([1, 2, 3, 6, 15, len(words)])
-        return mark + escape(" ".join(words[:size]))
+        # blocks may begin with elements that have no text
+        return rng.choice([""] * 7 + ["<br>", "<img src='x'>", "<span></span>"]) + mark + escape(" ".join(words[:size]))
 
     def aside() -> str:
         def t() -> str:
@@ -56,7 +66,7 @@ def layout(rng: random.Random, main: list[str], other: list[str]) -> tuple[list[
         def link() -> str:
             return f'<a href="#">{t()}</a>'
 
-        kind = rng.randrange(9)
+        kind = rng.randrange(11)
         if kind == 0:
             return f"<{(tag := rng.choice(['nav', 'div ' + dressed(rng, 'menu'), 'div ' + dressed(rng, 'nav')]))}><ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(2, 8))) + f"</ul></{tag.split()[0]}>"
         if kind == 1:
@@ -71,6 +81,11 @@ def layout(rng: random.Random, main: list[str], other: list[str]) -> tuple[list[
             heading = rng.choice(["", f"<h2>{t()}</h2>"])
             name = rng.choice(["comments", "discussion", "replies"])
             return f"<{(tag := rng.choice(['div', 'section', 'ol']))} {dressed(rng, name)}>{heading}" + "".join(f'<{(own := rng.choice(["div", "li", "article"]))} class="comment">{rng.choice(["", "<b>" + t() + "</b>"])}<p>{t()}</p></{own}>' for _ in range(rng.randint(1, 4))) + f"</{tag}>"
+        if kind == 6:  # a form of another make
+            return f"<form {dressed(rng, 'form')}><fieldset><legend>{t()}</legend><p>{t()}</p><div><label>{t()} <input type=checkbox> {t()}</label></div></fieldset>{t()}</form>"
+        if kind == 7:  # sections at the top and the bottom of an article
+            tag = rng.choice(["header", "footer", "nav", "aside"])
+            return f"<{tag}>{t()}{rng.choice(['', '<p>' + t() + '</p>', '<div>' + t() + '</div>', link()])}</{tag}>"
         name = rng.choice(COMMON_NAMES if rng.random() < 0.5 else ASIDE_NAMES)
         inner = rng.choice([t, lambda: f"<p>{t()}</p>", lambda: f"<p>{t()}</p><p>{t()}</p>", lambda: f"<h3>{t()}</h3><ul><li>{link()}</li><li>{link()}</li></ul>"])()
         tag = rng.choice(["div", "div", "section", "p" if "<" not in inner.replace("<a", "") else "div"])
@@ -90,6 +105,9 @@ def layout(rng: random.Random, main: list[str], other: list[str]) -> tuple[list[
     if rng.random() < 0.3:
         body = f"<main>{body}</main>" if tag != "main" else f"<div class='container'>{body}</div>"
     before, after = ("".join(aside() for _ in range(rng.randint(0, 4))) for _ in range(2))
+    if rng.random() < 0.3:  # wrapped once more
+        body, after = f"<div {dressed(rng, rng.choice(['wrapper', 'page', 'container', 'layout']))}>{before}{body}{after}</div>", ""
+        before = ""
     page = f"<html><head><title>{text(main, mark_other)}</title></head><body>{before}{body}{after}{rng.choice(['</body></html>', ''])}"
     found = leaves(page)
     labels = [mark_main in leaf.text and mark_other not in leaf.text for leaf in found]

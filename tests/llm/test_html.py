@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -23,7 +24,7 @@ def plain(page):
 @pytest.fixture(scope="module")
 def trained(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
-    return html_extraction.fit(pages, "html", 150, 100_000, 600)
+    return html_extraction.fit(pages, "html", 150, 600)
 
 
 def test_pages_of_the_table(spark):
@@ -57,7 +58,7 @@ def test_one_page_with_everything(trained):
 
 def test_leaves():
     def of(page):
-        return [(leaf.path[-1] if leaf.path else "", leaf.text) for leaf in blocks.leaves(page)]
+        return [(leaf.node.element if leaf.node else "", leaf.text) for leaf in blocks.leaves(page)]
 
     assert of("") == of("<!-- a <p>b</p>") == of("<script>x") == []
     assert of("a  <b>b</b>\n c") == [("", "a b c")]
@@ -66,6 +67,20 @@ def test_leaves():
     assert of("<div class='x Main-2'>&lt;p&gt; &amp &#233;&nbsp;1 < 2</div>") == [("div ~x ~main ~2", "<p> & é 1 < 2")]
     assert of("<p>a</div></p><p><b>c<p>d</b>e") == [("p", "a"), ("p", "c"), ("p", "d e")] or of("<p>a</div></p>") == [("p", "a")]
     assert of("<p hidden style='display: none'>a") == [("p ~hidden ~hidden", "a")]
+    # what has no text does not hold a block's place
+    assert of("<nav>x</nav><p><img>a<div><br>b</div>&nbsp; <wbr><h2> <img> c</h2>") == [("nav", "x"), ("p", "a"), ("div", "b"), ("h2", "c")]
+    assert of("<p>a<textarea>b <p>c</textarea>d<button>e</button><select><option>f</select>g") == [("p", "a d"), ("p", "g")] or of("<p>a<textarea>b</textarea>d") == [("p", "ad")]
+    assert of("<table><tr><td>a<td>b<tr><td>c<table><tr><td>d</table>e</table>f") == [("td", "a"), ("td", "b"), ("td", "c"), ("td", "d"), ("td", "e"), ("", "f")]
+    assert blocks.leaves("<div><b><p>x</b>y</p>")[0].path == ["div", "p"]
+
+
+def test_deep_and_long_pages(trained):
+    began = time.process_time()
+    deep = blocks.leaves("<div>x" * 50_000)
+    assert len(deep) == 50_000 and len(deep[-1].path) == 50_000
+    assert trained.main_texts([deep, blocks.leaves("<ul>" + "<li>item <b>of</b> a list" * 50_000)])[1].count("\n") in range(50_000)
+    assert len(blocks.leaves("<b><i><a>" * 30_000 + "x")) == len(blocks.leaves("</p>x" * 30_000)) // 30_000 == 1
+    assert time.process_time() - began < 40
 
 
 def test_gradient_is_the_slope_of_the_loss():
