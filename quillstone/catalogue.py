@@ -12,6 +12,7 @@ from quillstone.functions.terms import WHITE_SPACE, iso_utc, json_map
 from quillstone.functions.vectors import cosine, vector_literal
 from quillstone.operators.request import AssertionQuery, by_score, in_time_order, matching
 from quillstone.plans import extensions
+from quillstone.plans.shared import shared_folder
 from quillstone.plans.store import AssertionStore
 from quillstone.sources import fixtures
 
@@ -158,7 +159,7 @@ def to_dict_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stored_copy(spark: SparkSession, rows: DataFrame, profile: str) -> AssertionStore:
     """A new dataset in the shared folder with these rows."""
-    store = AssertionStore(spark, f"{extensions.shared_folder(spark)}/{uuid.uuid4()}", profile=profile)
+    store = AssertionStore(spark, f"{shared_folder(spark)}/{uuid.uuid4()}", profile=profile)
     store.add_frame(rows)
     return store
 

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.terms import json_map
 from quillstone.functions.text import string_attribute
 from quillstone.operators.request import AssertionQuery, matching
+from quillstone.plans.shared import checkpointed
 
 KEY = ("scope", "owner_id", "subject", "predicate")
 
@@ -103,20 +103,6 @@ class Walk:
     warnings: list[str] = field(default_factory=list)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's folder in spark.checkpoint.dir; where that is unset (one machine) a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A copy in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def walk(
     df: DataFrame,
     seeds: DataFrame,
