@@ -1,43 +1,21 @@
 """Connected components of a graph by alternating large-star and small-star steps.
 
 Each step is a group-by and a join over the edges, which are held as a table of longs; nothing is gathered on
-the driver. After every round the edges are checkpointed, so that the plan stays short and a lost executor costs
-one round at most.
+the driver. After every round the edges are written to the shared folder, so that the plan stays short and a lost executor costs
+one round at most; what the round before wrote is deleted.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's folder in spark.checkpoint.dir; where that is unset (one machine) a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A copy in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """A Parquet table in the shared folder, read again."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+from quillstone.plans.shared import forget, written
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the least node that it reaches) for every node of the edges (a, b), a unequal b."""
-    pairs = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
+    pairs, path = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     before = None
     while True:
         # large star: a node's larger neighbours move to the least of its neighbours and itself
@@ -48,7 +26,9 @@ def connected(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.select("a", F.col("m").alias("b")).unionByName(joined.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        pairs = checkpointed(small)
+        old = path
+        pairs, path = written(small)
+        forget(pairs.sparkSession, old)
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -4,21 +4,22 @@ Distinct fingerprints are dealt to shards: of ``radius + 1`` equal blocks of the
 the radius share at least one, so every link lies within the shard of some block and value. In each shard a
 BK-tree is built whose children are keyed by their Hamming distance to the parent, and each fingerprint follows only the
 edges whose key is within the radius of its own distance to the node. A set of all fingerprints has no size
-bound, so the trees are not broadcast: shards and queries meet by the shuffle, and a task walks all trees of its
-partition together, level by level. A shard larger than ``split_over`` is dealt again by blocks of its
-other bits, for as long as that helps.
+bound, so the trees are not broadcast: shards and queries meet by the shuffle, and a task walks the trees of some
+shards at a time, level by level. A shard larger than ``split_over`` is dealt again, once, by blocks of its
+other bits.
 
 Within a shard only links that join two sets not yet joined go on to the components, one fewer than fingerprints
 at most; they reach what all links reach.
 
 Defined results: a null or empty text, or one of white space, has fingerprint zero and links like any
 other; fewer than three words make one shingle; rows with a null key take part and get the least non-null key of
-their component; repeated keys each give a row; an empty table gives an empty table; other columns are left aside.
+their component; repeated keys each give a row; an empty table gives an empty table; other columns, whatever their names, are left aside;
+very long texts are taken whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +27,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.components import checkpointed, connected
+from quillstone.llm.components import connected
+from quillstone.plans.shared import checkpointed
 
 SEED = 42
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
 #: Pairs of a search and a node that are looked at together.
-FRONTIER = 10_000_000
+FRONTIER = 1_000_000
+#: Rows whose shards are walked together; a larger shard is walked alone.
+TOGETHER = 100_000
 
 
 def fingerprint(text: str, words: int = 3) -> int:
@@ -67,10 +71,18 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     return slim.mapInArrow(batches, f"key {kind}, bits long").withColumnRenamed("key", key)
 
 
-def tree_links(shard: np.ndarray, bits: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs within the radius of each other in the same shard, each pair once, by one BK-tree for each
+def distance(bits: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of the points at ``a`` and ``b``; a point has 64 bits in each array."""
+    out = np.zeros(len(a), np.int64)
+    for own in bits:
+        out += np.bitwise_count(own[a] ^ own[b])
+    return out
+
+
+def tree_links(shard: np.ndarray, bits: list[np.ndarray], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of pairs within the radius of each other in the same shard, each pair once, and their distances, by one BK-tree for each
     shard. All trees are built and searched level by level; so many searches go together that they stand at FRONTIER nodes at most."""
-    n = len(bits)
+    n, most = len(shard), 64 * len(bits)
     # building: the first point that arrives at a free place becomes the node there; the others go on to its
     # child of their distance to it
     parent, edge = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
@@ -84,32 +96,37 @@ def tree_links(shard: np.ndarray, bits: np.ndarray, radius: int) -> Iterator[tup
         parent[waiting[new]], edge[waiting[new]] = at[new], step[new]
         rest = ~new
         waiting, at = waiting[rest], node[rest]
-        step = np.bitwise_count(bits[waiting] ^ bits[at]).astype(np.int64)
+        step = distance(bits, waiting, at)
     children = np.lexsort((edge, parent))
     children = children[parent[children] >= 0]
-    place = parent[children] * 65 + edge[children]
+    place = parent[children] * (most + 1) + edge[children]
     roots = np.flatnonzero(parent < 0)
     order = np.argsort(edge[roots], kind="stable")  # a root's edge holds its shard
     roots = roots[order]
     tree = np.searchsorted(edge[roots], shard)
-    together = max(1, FRONTIER // int(np.bincount(tree).max()))
-    for begin in range(0, n, together):
-        query = np.arange(begin, min(n, begin + together))
+    sizes = np.bincount(tree)
+    begin = 0
+    while begin < n:
+        # searches stand at all nodes of their trees at worst
+        ahead = np.cumsum(sizes[tree[begin : begin + FRONTIER]])
+        end = begin + max(1, int(np.searchsorted(ahead, FRONTIER, side="right")))
+        query = np.arange(begin, min(n, end))
         node = roots[tree[query]]
+        begin = end
         while len(query):
-            far = np.bitwise_count(bits[query] ^ bits[node]).astype(np.int64)
+            far = distance(bits, query, node)
             hit = (far <= radius) & (query < node)
-            yield query[hit], node[hit]
-            low = np.searchsorted(place, node * 65 + np.maximum(far - radius, 0))
-            high = np.searchsorted(place, node * 65 + np.minimum(far + radius, 64), side="right")
-            sizes = high - low
-            ends = np.cumsum(sizes)
-            inner = np.repeat(low - ends + sizes, sizes) + np.arange(int(ends[-1]))
-            query, node = np.repeat(query, sizes), children[inner]
+            yield query[hit], node[hit], far[hit]
+            low = np.searchsorted(place, node * (most + 1) + np.maximum(far - radius, 0))
+            high = np.searchsorted(place, node * (most + 1) + np.minimum(far + radius, most), side="right")
+            sizes_here = high - low
+            ends = np.cumsum(sizes_here)
+            inner = np.repeat(low - ends + sizes_here, sizes_here) + np.arange(int(ends[-1]))
+            query, node = np.repeat(query, sizes_here), children[inner]
 
 
-def spanning(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fewer pairs of the same components: each place with the least place that it reaches."""
+def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each of n places the least place that the pairs let it reach."""
     root = np.arange(n)
     while True:
         low = np.minimum(root[left], root[right])
@@ -119,11 +136,42 @@ def spanning(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, n
         while (further := new[new] != new).any():
             new = np.where(further, new[new], new)
         if (new == root).all():
-            moved = np.flatnonzero(root != np.arange(n))
-            return moved, root[moved]
+            return root
         root = new
 
 
+def spanning(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer pairs of the same components: each place with the least place that it reaches."""
+    root = roots(n, left, right)
+    moved = np.flatnonzero(root != np.arange(n))
+    return moved, root[moved]
+
+
+def by_shard(rows: DataFrame, walk: Callable[[np.ndarray, list[np.ndarray]], pa.RecordBatch]) -> DataFrame:
+    """(a, b): what ``walk`` finds in the rows (shard, ...) of whole shards, some of them together up to TOGETHER rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            if not batch.num_rows:
+                continue
+            if sum(len(h[0]) for h in held) + batch.num_rows > TOGETHER:
+                # what belongs to the last shard waits for the rest of it
+                shard, *own = (np.concatenate(x) for x in zip(*held, columns))
+                cut = int(np.searchsorted(shard, shard[-1]))
+                if cut:
+                    yield walk(shard[:cut], [x[:cut] for x in own])
+                held = [[x[cut:] for x in (shard, *own)]]
+            else:
+                held.append(columns)
+        if held:
+            shard, *own = (np.concatenate(x) for x in zip(*held))
+            yield walk(shard, own)
+
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long")
+
+
 def dealt(df: DataFrame, width: int, parts: int) -> DataFrame:
     """``df`` with a row for each of ``parts`` blocks of the lowest ``width`` bits of ``dealt_by``: its number and value."""
     cuts = [width * i // parts for i in range(parts + 1)]
@@ -157,19 +205,16 @@ def sharded(prints: DataFrame, radius: int, split_over: int) -> DataFrame:
 def links(prints: DataFrame, radius: int = 3, split_over: int = 20_000) -> DataFrame:
     """(a, b): links among distinct fingerprints ``bits`` that connect what all pairs within the radius connect."""
 
-    def walk(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in rows if b.num_rows]
-        if not got:
-            return
-        shard, bits = (np.concatenate(x) for x in zip(*got))
+    def walk(shard: np.ndarray, own: list[np.ndarray]) -> pa.RecordBatch:
+        (bits,) = own
         left = right = np.zeros(0, np.int64)
-        for more_left, more_right in tree_links(shard, bits.view(np.uint64), radius):
+        for more_left, more_right, _ in tree_links(shard, [bits.view(np.uint64)], radius):
             # a dense shard has many more links than points: they are thinned out as they come
             if len(more_left):
                 left, right = spanning(len(bits), np.concatenate([left, more_left]), np.concatenate([right, more_right]))
-        yield pa.RecordBatch.from_arrays([pa.array(bits[left]), pa.array(bits[right])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(bits[left]), pa.array(bits[right])], ["a", "b"])
 
-    return sharded(prints, radius, split_over).repartition("shard").mapInArrow(walk, "a long, b long")
+    return by_shard(sharded(prints, radius, split_over), walk)
 
 
 def components(prints: DataFrame, key: str = "doc_id", radius: int = 3) -> DataFrame:
@@ -187,12 +232,3 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     """``key``, ``fingerprint`` in hexadecimal and ``component_id`` of each row."""
     found = components(fingerprints(docs, key, text, words), key, radius)
     return found.select(key, F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, words: int = 3) -> DataFrame:
-    """One row of each component of ``docs``, that of the least key (a null key last, then by a hash of the text)."""
-    own = docs.withColumns({"__id": F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)), "__print": F.xxhash64(F.col(text).cast("string"))})
-    rows = own.select(F.struct(F.col("__id").alias("id"), F.col("__print").alias("print")).alias("who"), text)
-    found = components(fingerprints(rows, "who", text, words), "who", radius).where("who = component_id")
-    first = found.select(F.col("who.id").alias("__id"), F.col("who.print").alias("__print")).distinct()
-    return own.join(first, ["__id", "__print"], "left_semi").dropDuplicates(["__id", "__print"]).drop("__id", "__print")

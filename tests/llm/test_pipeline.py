@@ -6,8 +6,8 @@ import numpy as np
 import public_tokenizers
 import tiktoken
 from test_decontamination import brute as leaks_of
-from test_lines import brute as lines_of
-from test_simhash import brute_components, brute_print
+from test_lines import every as lines_of
+from test_similar import brute_links, groups_of, shingles
 
 import corpus_pipeline
 from quillstone.llm import bpe, quality
@@ -19,12 +19,10 @@ def test_run_matches_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     scored = quality.score(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()
     rows = [(r.doc_id, r.text) for r in scored if r.score >= 0.3]
-    rows = [(k, t) for k, _, gone, t in lines_of(rows) if not gone or t.strip(" \t\n\x0b\x0c\r")]
-    prints = [brute_print(t) for _, t in rows]
-    least = {}
-    for (key, _), root in zip(rows, (roots := brute_components(prints))):
-        least[root] = min(least.get(root, key), key)
-    rows = [(k, t) for (k, t), root in zip(rows, roots) if least[root] == k]
+    before = dict(rows)
+    rows = sorted((k, t) for k, t in lines_of(rows).items() if t == before[k] or t.strip(" \t\n\x0b\x0c\r"))
+    roots = groups_of(len(rows), brute_links([shingles(t) for _, t in rows]))
+    rows = [row for n, (row, root) in enumerate(zip(rows, roots)) if n == root]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     leaked = {w[0] for w in leaks_of(rows, items)}
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
