@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from quillstone.functions.terms import WHITE_SPACE, iso_utc, json_map
 from quillstone.functions.vectors import cosine, vector_literal
 from quillstone.operators.request import AssertionQuery, by_score, in_time_order, matching
-from quillstone.plans import extensions
+from quillstone.plans import extensions, traces
 from quillstone.plans.shared import shared_folder
 from quillstone.plans.store import AssertionStore
-from quillstone.sources import fixtures
+from quillstone.sources import fixtures, frames
+from quillstone.streaming import append
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,13 +105,17 @@ _CONTEXT = f"trim(text, {_WS})"
 _TEXT_SQL = f"""SELECT doc_id AS ingest_seq, concat_ws(chr(10), 'doc:' || doc_id || ' written in ' || lang, 'subject_type: document',
         CASE WHEN doc_id % 3 <> 0 THEN 'object_type: language' END,
         CASE WHEN trim(split_part(text, chr(10), 1), {_WS}) <> '' THEN 'evidence: ' || trim(split_part(text, chr(10), 1), {_WS}) END,
-        CASE WHEN doc_id % 7 <> 0 AND {_CONTEXT} <> '' THEN 'context: ' || CASE WHEN length({_CONTEXT}) > 400 THEN substr({_CONTEXT}, 1, 400) || chr(8230) ELSE {_CONTEXT} END END) AS text
+        CASE WHEN {_CONTEXT} <> '' THEN 'context: ' || CASE WHEN length({_CONTEXT}) > 400 THEN substr({_CONTEXT}, 1, 400) || chr(8230) ELSE {_CONTEXT} END END) AS text
     FROM documents"""
 
 
-@_register(_TEXT_SQL)
+@_register(
+    f"""{_TEXT_SQL} UNION ALL SELECT -1 - r_regionkey::BIGINT, concat_ws(chr(10), 'doc:' || (-1 - r_regionkey) || ' written in none', 'subject_type: document',
+        CASE WHEN (-1 - r_regionkey) % 3 <> 0 THEN 'object_type: language' END) FROM region"""
+)
 def canonical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.texts(spark, sf_dir).select("ingest_seq", "text")
+    """The texts of all documents, and of rows without evidence and context."""
+    return fixtures.texts(spark, sf_dir, bare=True).select("ingest_seq", "text")
 
 
 _JSON_CASES = """CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '[1]' WHEN 2 THEN '{broken' END"""
@@ -132,12 +137,29 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def from_dict_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first blank term of each row, if any: what a reader of dicts refuses."""
     n = F.col("ingest_seq") % 4
-    rows = fixtures.given_events(spark, sf_dir).withColumns(
-        {c: F.when(n == k, blank).otherwise(F.col(c)) for k, (c, blank) in enumerate((("subject", F.lit(None)), ("predicate", F.lit("  ")), ("object", F.lit(""))))}
-    )
-    stored = fixtures.normalized(rows)
-    error = F.coalesce(*(F.when(F.col(c) == "", F.lit(c)) for c in ("subject", "predicate", "object")))
-    return stored.select("ingest_seq", error.alias("error"))
+    terms = [F.when(n == k, F.lit(blank)).otherwise(F.col(c)).alias(c) for k, (c, blank) in enumerate((("subject", None), ("predicate", "  "), ("object", "")))]
+    dicts = fixtures.given_events(spark, sf_dir).select("ingest_seq", F.to_json(F.struct(*terms, "scope", "observed_at")).alias("json"))
+    return frames.from_dicts(dicts).select("ingest_seq", F.substring_index("error", " ", 1).alias("error"))
+
+
+_DICTS = """CASE event_id % 8 WHEN 0 THEN '[1]' WHEN 1 THEN NULL WHEN 2 THEN '{{"subject":5,"predicate":"p","object":"o"}}'
+    WHEN 3 THEN '{{"subject":"s","predicate":"p","object":"o","confidence":"0.5","scope":7,"attributes":[1]}}'
+    WHEN 4 THEN '{{"subject":"s","predicate":"p","object":"o","confidence":true,"provenance":{{"a":{k}}}}}'
+    WHEN 5 THEN '{{"subject":"s","predicate":"p","object":"o","confidence":"high","owner_id":"x"}}'
+    WHEN 6 THEN '{{"subject":"s","predicate":"p"}}' ELSE '{{"subject":"s","predicate":"p","object":"o","confidence":2,"valid_from":null}}' END"""
+
+
+@_register(
+    """SELECT event_id AS ingest_seq, CASE WHEN event_id % 8 IN (0, 1) THEN 'an assertion is made from an object' WHEN event_id % 8 = 2 THEN 'subject must be a string that is not blank'
+        WHEN event_id % 8 = 6 THEN 'object must be a string that is not blank' END AS error,
+        CASE event_id % 8 WHEN 3 THEN 0.5 WHEN 4 THEN 1.0 WHEN 7 THEN 2.0 END::DOUBLE AS confidence, CASE event_id % 8 WHEN 5 THEN 'x' END AS owner_id,
+        CASE event_id % 8 WHEN 4 THEN '{"a":' || event_id || '}' END AS provenance_json, NULL::VARCHAR AS attributes_json, NULL::VARCHAR AS scope FROM events"""
+)
+def from_dict_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is no dict, terms that are missing or no strings, fields of a wrong kind, and spelled numbers."""
+    number = "' || event_id || '"
+    dicts = fixtures.table(spark, sf_dir, "events").select(F.col("event_id").alias("ingest_seq"), F.expr(_DICTS.format(k=number)).alias("json"))
+    return frames.from_dicts(dicts).select("ingest_seq", "error", "confidence", "owner_id", "provenance_json", "attributes_json", "scope")
 
 
 @_register(
@@ -164,6 +186,30 @@ def _stored_copy(spark: SparkSession, rows: DataFrame, profile: str) -> Assertio
     return store
 
 
+_STORES: dict[tuple[str, str, str], str] = {}
+
+
+def _store(spark: SparkSession, sf_dir: str, name: str) -> AssertionStore:
+    """A store that opens the dataset of some rows; it is written once for a session and a folder."""
+    profile, given = {
+        "events": ("structured", fixtures.given_events),
+        "vectors": ("vector", fixtures.given_vectors),
+        "texts": ("structured", fixtures.texts),
+    }[name]
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORES:
+        _STORES[key] = _stored_copy(spark, given(spark, sf_dir), profile).path
+    return AssertionStore(spark, _STORES[key].rpartition("/")[0], profile=profile)
+
+
+_STORED_ROW = "subject, predicate, object, scope, owner_id, observed_at"
+_STORED_COLUMNS = _STORED_ROW.split(", ")
+
+
+def _ask_store(spark: SparkSession, sf_dir: str, **conditions: object) -> DataFrame:
+    return _store(spark, sf_dir, "events").query_frame(AssertionQuery(**conditions)).select(*_STORED_COLUMNS)
+
+
 @_register(_events_sql("", "subject, predicate, object, scope, owner_id, observed_at, confidence"))
 def roundtrip_persist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written to a dataset, and read by a store that opens it."""
@@ -172,6 +218,42 @@ def roundtrip_persist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.query_frame(AssertionQuery(limit=0)).select("subject", "predicate", "object", "scope", "owner_id", "observed_at", "confidence")
 
 
+@_register(
+    f"""WITH {_EVENTS}, o AS (SELECT 'customer:' || o_custkey AS subject, 'placed' AS predicate, 'order:' || o_orderkey AS object, 'global' AS scope FROM orders)
+    SELECT predicate, scope, count(*)::BIGINT AS n, count(DISTINCT subject)::BIGINT AS n_subjects FROM (SELECT subject, predicate, object, scope FROM events_stored UNION ALL SELECT * FROM o)
+    GROUP BY ALL"""
+)
+def store_appended_and_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two appends, by two stores that open the same dataset, and a compaction."""
+    store = _stored_copy(spark, fixtures.given_events(spark, sf_dir), "structured")
+    other = AssertionStore(spark, store.path.rpartition("/")[0], profile="structured")
+    other.add_frame(fixtures.orders(spark, sf_dir))
+    other.compact()
+    return store.frame().groupBy("predicate", "scope").agg(F.count("*").alias("n"), F.count_distinct("subject").alias("n_subjects"))
+
+
+@_register(f"""WITH {_EVENTS} SELECT count(*)::BIGINT AS n, min(i)::BIGINT AS first, max(i)::BIGINT AS last, count(DISTINCT i)::BIGINT AS n_seq FROM (SELECT row_number() OVER () - 1 AS i FROM events_stored)""")
+def store_insertion_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows are numbered without gaps, and every id is its own."""
+    frame = _store(spark, sf_dir, "events").frame()
+    return frame.agg(F.count_distinct("assertion_id").alias("n"), F.min("ingest_seq").alias("first"), F.max("ingest_seq").alias("last"), F.count_distinct("ingest_seq").alias("n_seq"))
+
+
+@_register(_events_sql("WHERE subject = 'user:7' AND predicate = 'purchase'", _STORED_ROW))
+def store_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ask_store(spark, sf_dir, subject=" USER:7 ", predicate="Purchase", limit=0)
+
+
+@_register(_events_sql("WHERE object_key = 'event:120'", _STORED_ROW))
+def store_literal_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ask_store(spark, sf_dir, object="EVENT:120")
+
+
+@_register(_events_sql("WHERE scope = 'session' AND owner_id = 'sess-4'", _STORED_ROW))
+def store_scope_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ask_store(spark, sf_dir, scope=" Session ", owner_id=" sess-4 ", limit=-1)
+
+
 # --- filters ---------------------------------------------------------------------------------------------------------
 
 
@@ -239,6 +321,32 @@ def filter_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ask(spark, sf_dir, predicate="purchase", scope="session", since=_SINCE, active_at=_AT)
 
 
+@_register(_events_sql(f"WHERE observed_at >= '{_SINCE}' AND observed_at <= '{_UNTIL}'", _STORED_ROW))
+def store_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ask_store(spark, sf_dir, since=_SINCE, until=_UNTIL, limit=0)
+
+
+@_register(_events_sql(f"WHERE {_ACTIVE.format(_AT)}", _STORED_ROW))
+def store_active_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ask_store(spark, sf_dir, active_at=_AT, limit=0)
+
+
+@_register(_events_sql(f"WHERE predicate = 'purchase' AND scope = 'session' AND observed_at >= '{_SINCE}' AND {_ACTIVE.format(_AT)}", _STORED_ROW))
+def store_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ask_store(spark, sf_dir, predicate="purchase", scope="session", since=_SINCE, active_at=_AT, limit=0)
+
+
+@_register(_events_sql("ORDER BY observed_at DESC LIMIT 100", _STORED_ROW))
+def store_default_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query without conditions, order or limit."""
+    return _ask_store(spark, sf_dir)
+
+
+@_register(_events_sql("WHERE scope = 'global' ORDER BY observed_at LIMIT 25", _STORED_ROW))
+def store_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ask_store(spark, sf_dir, scope="global", order="asc", limit=25)
+
+
 # --- order and limit -------------------------------------------------------------------------------------------------
 
 
@@ -273,7 +381,7 @@ def order_asc_unbounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PROBE = [0.05 * ((7 * i) % 11 - 5) for i in range(64)]
 _PROBE_SQL = "[" + ", ".join(f"{x!r}::DOUBLE" for x in _PROBE) + "]"
 _SCORED = f"""scored AS (SELECT vec_id AS ingest_seq, CASE WHEN vec_id % 2 = 0 THEN 'global' ELSE 'session' END AS scope, 'label:' || label AS object,
-    list_cosine_similarity(embedding::DOUBLE[], {_PROBE_SQL}) AS raw FROM embeddings WHERE vec_id % 5 <> 4)"""
+    list_cosine_similarity(embedding::DOUBLE[], {_PROBE_SQL}) AS raw FROM embeddings)"""
 
 
 def _nearest(spark: SparkSession, sf_dir: str, **conditions: object) -> DataFrame:
@@ -302,7 +410,7 @@ def vector_min_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir, min_score=0.1, limit=0).select("ingest_seq", F.round("score", 6).alias("score"))
 
 
-@_register("SELECT count(*)::BIGINT AS n_all, (count(*) FILTER (vec_id % 5 <> 4))::BIGINT AS n_found FROM embeddings")
+@_register("SELECT (SELECT count(*) FROM embeddings) + (SELECT count(*) FROM region) AS n_all, (SELECT count(*) FROM embeddings) AS n_found")
 def vector_null_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _nearest(spark, sf_dir, limit=0).select("ingest_seq", F.lit(1).alias("found"))
     both = fixtures.vectors(spark, sf_dir).select("ingest_seq").join(found, "ingest_seq", "left")
@@ -314,6 +422,29 @@ def retrieval_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir, limit=20).select("ingest_seq", "metric", F.round("score", 6).alias("score"), F.round("distance", 6).alias("distance"))
 
 
+def _nearest_stored(spark: SparkSession, sf_dir: str, **conditions: object) -> DataFrame:
+    return _store(spark, sf_dir, "vectors").query_frame(AssertionQuery(query_vector=_PROBE, **conditions))
+
+
+@_register(f"WITH {_SCORED} SELECT 'item:' || ingest_seq AS subject, object, round(raw, 6) AS score FROM scored ORDER BY raw DESC, ingest_seq LIMIT 10")
+def store_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest_stored(spark, sf_dir, limit=10).select("subject", "object", F.round("score", 6).alias("score"))
+
+
+@_register(f"WITH {_SCORED} SELECT 'item:' || ingest_seq AS subject, round(raw, 6) AS score FROM scored WHERE scope = 'session' AND object = 'label:1' AND raw >= 0.05")
+def store_vector_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest_stored(spark, sf_dir, scope=" SESSION", object="Label:1", min_score=0.05, limit=0).select("subject", F.round("score", 6).alias("score"))
+
+
+@_register(
+    f"""WITH {_SCORED} SELECT 'item:' || ingest_seq AS subject, 'cosine' AS metric, round(raw, 6) AS score, round(1 - raw, 6) AS distance,
+        CASE WHEN scope = 'global' THEN '{{"_retrieval":{{"metric":"given","note":1}}}}' ELSE '{{}}' END AS attributes_json FROM scored ORDER BY raw DESC, ingest_seq LIMIT 20"""
+)
+def store_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _nearest_stored(spark, sf_dir, limit=20)
+    return rows.select("subject", "metric", F.round("score", 6).alias("score"), F.round("distance", 6).alias("distance"), "attributes_json")
+
+
 # --- extensions ------------------------------------------------------------------------------------------------------
 
 
@@ -330,36 +461,68 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extensions.latest(fixtures.events(spark, sf_dir).select(*_ROW_COLUMNS))
 
 
+_PLACES = """e AS (SELECT 'nation:' || n_nationkey AS subject, 'region:' || n_regionkey AS object FROM nation
+        UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer)"""
+
+
+def _walked(spark: SparkSession, sf_dir: str) -> extensions.Walk:
+    edges = fixtures.places(spark, sf_dir)
+    seeds = edges.where(F.col("subject").startswith("supplier:") | F.col("subject").startswith("customer:")).select("subject")
+    return extensions.walk(edges, seeds, predicates=["located in"], max_hops=2, max_edges=None, max_nodes=None)
+
+
 @_register(
-    """WITH e AS (SELECT 'nation:' || n_nationkey AS subject, 'region:' || n_regionkey AS object FROM nation
-        UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier),
-    one AS (SELECT subject AS node, object AS other, 1 AS depth FROM e WHERE subject LIKE 'supplier:%'),
+    f"""WITH {_PLACES}, one AS (SELECT subject AS node, object AS other, 1 AS depth FROM e WHERE subject NOT LIKE 'nation:%'),
     two AS (SELECT DISTINCT subject AS node, object AS other, 2 AS depth FROM e WHERE subject IN (SELECT other FROM one))
     SELECT * FROM one UNION ALL SELECT * FROM two"""
 )
 def graph_walk_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = fixtures.places(spark, sf_dir)
-    seeds = edges.where(F.col("subject").startswith("supplier:")).select("subject")
-    done = extensions.walk(edges, seeds, predicates=["located in"], max_hops=2, max_edges=10**7, max_nodes=10**7)
-    return done.edges.select("node", "other", "depth")
+    return _walked(spark, sf_dir).edges.select("node", "other", "depth")
+
+
+@_register(
+    f"""WITH {_PLACES}, one AS (SELECT subject AS node, 0 AS depth, subject AS path FROM e WHERE subject NOT LIKE 'nation:%'),
+    two AS (SELECT object AS node, 1 AS depth, min(path || ' ' || object) AS path FROM e JOIN one ON subject = node GROUP BY object),
+    three AS (SELECT object AS node, 2 AS depth, min(path || ' ' || object) AS path FROM e JOIN two ON subject = node GROUP BY object)
+    SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three"""
+)
+def graph_walk_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node that is visited, with the least path to it."""
+    return _walked(spark, sf_dir).nodes.select("node", "depth", F.array_join("path", " ").alias("path"))
 
 
 @_register(
     """SELECT doc_id AS ingest_seq, violation FROM (SELECT doc_id, unnest(list_filter([
-        CASE WHEN doc_id % 4 <> 0 THEN 'no sources' END, CASE WHEN doc_id % 5 = 0 THEN 'unknown policy' END], lambda x: x IS NOT NULL)) AS violation
-        FROM documents WHERE doc_id % 2 = 0)"""
+        CASE WHEN doc_id % 4 > 1 THEN 'no sources' END, CASE WHEN doc_id % 5 = 0 THEN 'unknown policy' END], lambda x: x IS NOT NULL)) AS violation
+        FROM documents WHERE doc_id % 3 <> 1)"""
 )
 def lineage_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extensions.lineage_violations(_derived(spark, sf_dir))
+
+
+@_register(
+    """SELECT doc_id AS ingest_seq, CASE doc_id % 4 WHEN 0 THEN 'source_assertion_ids' ELSE 'source_urls' END AS source_kind,
+        unnest(CASE doc_id % 4 WHEN 0 THEN ['a', 'b'] ELSE ['https://example.org/' || doc_id] END) AS source_id FROM documents WHERE doc_id % 4 < 2"""
+)
+def lineage_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extensions.sources(_derived(spark, sf_dir))
+
+
+def _derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as summaries, probe reports and episodes: with two assertions or a page as sources, an empty list, or a key of another name."""
     n = F.col("ingest_seq")
-    rows = fixtures.texts(spark, sf_dir).withColumns(
+    kind = F.when(n % 3 == 0, F.lit("summary")).when(n % 3 == 1, F.lit("episode")).otherwise(F.lit("probe_report"))
+    policy = F.when(n % 5 == 0, F.lit("guess")).otherwise(F.lit("supports"))
+    page = F.concat(F.lit('{"source_urls":["https://example.org/'), n.cast("string"), F.lit('"," "]}'))
+    return fixtures.texts(spark, sf_dir).withColumns(
         {
-            "attributes_json": F.concat(
-                F.lit('{"memory_kind":"'), F.when(n % 2 == 0, F.lit("summary")).otherwise(F.lit("episode")), F.lit('","lineage_policy":"'), F.when(n % 5 == 0, F.lit("guess")).otherwise(F.lit("supports")), F.lit('"}')
-            ),
-            "provenance_json": F.when(n % 4 == 0, F.lit('{"source_ids":["a","b"]}')).otherwise(F.lit('{"source_ids":[]}')),
+            "attributes_json": F.concat(F.lit('{"memory_kind":"'), kind, F.lit('","lineage_policy":"'), policy, F.lit('"}')),
+            "provenance_json": F.when(n % 4 == 0, F.lit('{"source_assertion_ids":["a","b"]}'))
+            .when(n % 4 == 1, page)
+            .when(n % 4 == 2, F.lit('{"source_span_ids":[]}'))
+            .otherwise(F.lit('{"source_ids":["a"]}')),
         }
     )
-    return extensions.lineage_violations(rows)
 
 
 _WORDS = r"list_distinct(string_split_regex(lower(text), '[^\p{L}\p{N}]+'))"
@@ -379,12 +542,73 @@ def anchor_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("ingest_seq", F.round("score", 9).alias("score"))
 
 
+@_register(
+    """WITH e AS (SELECT o_orderkey AS ingest_seq, 'customer:' || o_custkey AS subject, 'order:' || o_orderkey AS object FROM orders),
+    direct AS (SELECT ingest_seq, 8.0 / sqrt(count(*) OVER (PARTITION BY subject)) AS part FROM e WHERE subject = 'customer:7'
+        UNION ALL SELECT ingest_seq, 8.0 FROM e WHERE object = 'order:5'),
+    ends AS (SELECT ingest_seq, subject AS anchor FROM e UNION ALL SELECT ingest_seq, object FROM e),
+    shared AS (SELECT DISTINCT anchor FROM ends WHERE ingest_seq IN (SELECT ingest_seq FROM direct) AND anchor NOT IN ('customer:7', 'order:5')),
+    often AS (SELECT anchor, count(*) AS n FROM ends JOIN shared USING (anchor) GROUP BY anchor HAVING count(*) > 1)
+    SELECT ingest_seq, round(sum(part), 9) AS score FROM (SELECT * FROM direct UNION ALL SELECT ingest_seq, 0.5 / sqrt(n) FROM ends JOIN often USING (anchor)) GROUP BY ingest_seq"""
+)
+def anchor_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer and an order as cues; the other orders of that order's customer share an anchor with it."""
+    done = extensions.anchor_scores(fixtures.orders(spark, sf_dir), AssertionQuery(), ["CUSTOMER:7", "order:5"], rows=10**6, related=True)
+    return done.select("ingest_seq", F.round("score", 9).alias("score"))
+
+
 @_register(f"SELECT doc_id AS ingest_seq FROM documents WHERE list_contains({_WORDS}, 'the') AND list_contains({_WORDS}, 'of')")
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fixtures.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ingest_seq"), "text")
     return extensions.with_keywords(d, "The of").select("ingest_seq")
 
 
+@_register(f"WITH texts AS ({_TEXT_SQL}) SELECT 'doc:' || ingest_seq AS subject FROM texts WHERE list_contains({_WORDS}, 'the') AND list_contains({_WORDS}, 'of')")
+def store_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the text within the first 400 characters of context, asked of a store. Punctuation in the question is no word."""
+    found = _store(spark, sf_dir, "texts").keyword_frame("The; of?", AssertionQuery(limit=0))
+    return found.select("subject")
+
+
+@_register(_events_sql("ORDER BY observed_at DESC LIMIT 50", "subject, predicate, object, scope, owner_id, observed_at"))
+def snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extensions.snapshot(_store(spark, sf_dir, "events"), AssertionQuery(limit=50)).assertions.select(*_STORED_COLUMNS)
+
+
+@_register(
+    f"""WITH {_EVENTS} SELECT subject, predicate, object, scope, owner_id, observed_at FROM events_stored"""
+)
+def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exported as JSON, and read again."""
+    lines = extensions.export(_store(spark, sf_dir, "events").frame())
+    return lines.select(*(F.get_json_object("json", f"$.{c}").alias(c) for c in _STORED_COLUMNS))
+
+
+@_register(f"WITH {_EVENTS} SELECT count(*)::BIGINT AS n_candidates, 1::BIGINT AS n_scopes, 'complete' AS stop_reason, false AS partial FROM events_stored WHERE scope = 'session'")
+def recall_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trace of a query over one scope; its candidates are too many to be listed in it."""
+    q = AssertionQuery(scope="session", limit=0)
+    trace = traces.recall_trace(q, _store(spark, sf_dir, "events").query_frame(q), most_ids=0)
+    return trace.select("n_candidates", F.size("searched_scopes").cast("long").alias("n_scopes"), "stop_reason", "partial")
+
+
+@_register(_events_sql("", "subject, predicate, object, scope, owner_id, observed_at"))
+def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as files that a stream takes up, normalizes and appends to a dataset."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    given = fixtures.given_events(spark, sf_dir).withColumn("vector", F.lit(None).cast("array<double>"))
+    given.write.parquet(f"{folder}/given")
+    append.append_stream(append.given_stream(spark, f"{folder}/given"), f"{folder}/data/assertions", f"{folder}/checkpoint").awaitTermination()
+    return AssertionStore(spark, f"{folder}/data", profile="structured").frame().select(*_STORED_COLUMNS)
+
+
+@_register(f"WITH {_EVENTS} SELECT substr(observed_at, 1, 10) AS day, scope, predicate, count(*)::BIGINT AS n_rows FROM events_stored GROUP BY ALL")
+def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by day, as the stream has them when it has seen all rows."""
+    counts = append.windowed_counts(fixtures.given_events(spark, sf_dir))
+    return counts.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "scope", "predicate", "n_rows")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

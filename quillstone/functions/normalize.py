@@ -16,7 +16,9 @@ def normalized(given: DataFrame) -> DataFrame:
     assertions set their own.
     """
     now = terms.iso_utc(F.current_timestamp())
-    literal = terms.literal_flag(F.col("attributes_json"))
+    # the attributes are parsed once; all that looks into them takes the map
+    given = given.withColumn("__attributes", terms.json_map(F.col("attributes_json")))
+    literal = terms.literal_flag(F.col("__attributes"))
     clean = given.withColumns(
         {
             "subject": terms.canonical(F.col("subject")),
@@ -27,9 +29,9 @@ def normalized(given: DataFrame) -> DataFrame:
             "observed_at": F.coalesce(terms.optional(F.col("observed_at")), now),
             "valid_from": terms.optional(F.col("valid_from")),
             "valid_until": terms.optional(F.col("valid_until")),
-            "provenance_json": terms.json_or_empty(F.col("provenance_json")),
-            "attributes_json": terms.json_or_empty(F.col("attributes_json")),
+            "provenance_json": terms.json_or_empty(F.col("provenance_json"), terms.json_map(F.col("provenance_json"))),
+            "attributes_json": terms.json_or_empty(F.col("attributes_json"), F.col("__attributes")),
         }
     )
-    text = canonical_text(F.col("subject"), F.col("predicate"), F.col("object"), F.col("attributes_json"))
-    return clean.withColumns({"object_key": F.lower("object"), "text": text})
+    text = canonical_text(F.col("subject"), F.col("predicate"), F.col("object"), F.col("__attributes"))
+    return clean.withColumns({"object_key": F.lower("object"), "text": text}).drop("__attributes")

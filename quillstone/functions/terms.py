@@ -39,9 +39,9 @@ def json_map(column: Column) -> Column:
     return F.from_json(column, "map<string,variant>")
 
 
-def literal_flag(attributes_json: Column) -> Column:
-    """Whether attribute ``literal`` is there and counts as true."""
-    value = F.to_json(F.try_element_at(json_map(attributes_json), F.lit("literal")))
+def literal_flag(attributes: Column) -> Column:
+    """Whether attribute ``literal`` of a map of variants is there and counts as true."""
+    value = F.to_json(F.try_element_at(attributes, F.lit("literal")))
     return F.coalesce(~value.isin(*FALSE_JSON), F.lit(False))
 
 
@@ -55,6 +55,6 @@ def iso_utc(timestamp: Column) -> Column:
     return F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
 
 
-def json_or_empty(column: Column) -> Column:
-    """The JSON of an object as it stands; ``{}`` for anything else."""
-    return F.when(F.coalesce(json_map(column).isNotNull(), F.lit(False)) & F.ltrim(column).startswith("{"), column).otherwise(F.lit("{}"))
+def json_or_empty(column: Column, parsed: Column) -> Column:
+    """The JSON of an object as it stands; ``{}`` for anything else. ``parsed`` is its ``json_map``."""
+    return F.when(parsed.isNotNull() & F.ltrim(column).startswith("{"), column).otherwise(F.lit("{}"))

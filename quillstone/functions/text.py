@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillstone.functions.terms import json_map, optional, stripped
+from quillstone.functions.terms import optional, stripped
 
 CONTEXT_CHARS = 400
 #: Attributes that go into the text, and the label of each.
@@ -28,9 +28,8 @@ def preview(column: Column, most: int = CONTEXT_CHARS) -> Column:
     return F.when(F.length(column) > most, F.concat(F.substring(column, 1, most), F.lit("…"))).otherwise(column)
 
 
-def canonical_text(subject: Column, predicate: Column, object_: Column, attributes_json: Column) -> Column:
-    """The terms on one line, then a line for each of the labelled attributes."""
-    attributes = json_map(attributes_json)
+def canonical_text(subject: Column, predicate: Column, object_: Column, attributes: Column) -> Column:
+    """The terms on one line, then a line for each of the labelled attributes, a map of variants."""
     lines = []
     for name, label in LABELS:
         value = string_attribute(attributes, name)

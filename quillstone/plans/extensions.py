@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.terms import json_map
 from quillstone.functions.text import string_attribute
-from quillstone.operators.request import AssertionQuery, matching
+from quillstone.operators.request import AssertionQuery, in_time_order, matching
 from quillstone.plans.shared import checkpointed
 
 KEY = ("scope", "owner_id", "subject", "predicate")
@@ -37,61 +37,129 @@ def export(df: DataFrame) -> DataFrame:
     return df.select(row.alias("json"), *order[:-1]).orderBy(*order).select("json")
 
 
+def words_of(text: Column) -> Column:
+    """The words of a text or of a query: runs of letters and numbers, in lower case."""
+    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), lambda w: w != "")
+
+
 def with_keywords(df: DataFrame, words: str) -> DataFrame:
-    """Rows whose text has every word, whatever its case. Asked for by itself; never a substitute for a semantic query."""
-    held = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
-    wanted = [w for w in dict.fromkeys(words.lower().split())]
-    return df.where(F.size(F.array_except(F.array(*map(F.lit, wanted)).cast("array<string>"), held)) == 0)
+    """Rows whose text has every word, whatever its case; none if there is no word in ``words``. Asked for by itself; never a
+    substitute for a semantic query."""
+    wanted = words_of(F.lit(words))
+    return df.where((F.size(wanted) > 0) & (F.size(F.array_except(wanted, words_of(F.col("text")))) == 0))
 
 
-# Kinds of derived assertions, and policies for them.
+# Kinds of derived assertions, policies for them, and where their sources stand.
 DERIVED_KINDS = ("summary", "derived", "probe_report", "reconciliation")
 POLICIES = ("supports", "disagrees", "supersedes", "summarizes")
+SOURCE_KEYS = ("source_assertion_ids", "source_span_ids", "source_artifact_ids", "source_urls")
+
+
+def strings_at(provenance: Column, name: str) -> Column:
+    """A list of strings in a map of variants, without blank ones; empty for anything else."""
+    value = F.from_json(F.to_json(F.try_element_at(provenance, F.lit(name))), "array<string>")
+    return F.coalesce(F.filter(value, lambda x: F.btrim(x) != ""), F.array().cast("array<string>"))
+
+
+def sources(df: DataFrame) -> DataFrame:
+    """(ingest_seq, source_kind, source_id): all that rows name as their sources."""
+    held = df.withColumn("__map", json_map(F.col("provenance_json")))
+
+    def of_kind(kind: str) -> Column:
+        return F.transform(strings_at(F.col("__map"), kind), lambda x: F.struct(F.lit(kind).alias("source_kind"), x.alias("source_id")))
+
+    named = F.flatten(F.array(*map(of_kind, SOURCE_KEYS)))
+    return held.select("ingest_seq", F.explode(named).alias("s")).select("ingest_seq", "s.*")
 
 
 def lineage_violations(df: DataFrame) -> DataFrame:
-    """(ingest_seq, violation) of derived assertions (attribute memory_kind) without sources (provenance source_ids, a list that is not
-    empty) or with an unknown policy (attribute lineage_policy)."""
-    attributes = json_map(F.col("attributes_json"))
-    kind, policy = string_attribute(attributes, "memory_kind"), string_attribute(attributes, "lineage_policy")
-    sources = F.from_json(F.to_json(F.try_element_at(json_map(F.col("provenance_json")), F.lit("source_ids"))), "array<string>")
+    """(ingest_seq, violation) of derived assertions (attribute memory_kind) without sources (a list that is not empty at one of SOURCE_KEYS
+    in the provenance) or with an unknown policy (attribute lineage_policy)."""
+    held = df.withColumns({"__attributes": json_map(F.col("attributes_json")), "__provenance": json_map(F.col("provenance_json"))})
+    kind, policy = (string_attribute(F.col("__attributes"), n) for n in ("memory_kind", "lineage_policy"))
+    n_sources = sum((F.size(strings_at(F.col("__provenance"), k)) for k in SOURCE_KEYS), F.lit(0))
     found = F.array_compact(
         F.array(
-            F.when(F.coalesce(F.size(sources), F.lit(0)) < 1, F.lit("no sources")),
+            F.when(n_sources < 1, F.lit("no sources")),
             F.when(policy.isNotNull() & ~policy.isin(*POLICIES), F.lit("unknown policy")),
         )
     )
-    return df.where(kind.isin(*DERIVED_KINDS)).select("ingest_seq", F.explode(found).alias("violation"))
+    return held.where(kind.isin(*DERIVED_KINDS)).select("ingest_seq", F.explode(found).alias("violation"))
 
 
 #: What a cue weighs where it is found.
-TERM, FACET, WORD = 8.0, 4.0, 1.0
+WEIGHTS = {"term": 8.0, "facet": 4.0, "label": 2.0, "topic": 2.0, "word": 1.0}
+RELATED = 0.5
+# Predicates of labels and topics; attributes and provenance entries that are facets.
+LABEL_PREDICATES = ("schema:name", "skos:preflabel", "skos:altlabel")
+TOPIC_PREDICATES = ("schema:about", "schema:mentions", "dcterms:subject")
+TYPE_FACETS = ("subject_type", "object_type")
+PROVENANCE_FACETS = ("source_path", "source_url", "artifact_id", "span_id", "command", "provider", "model", "route_id", "tool_id")
 
 
-def anchor_scores(df: DataFrame, q: AssertionQuery, cues: Sequence[str], rows: int = 20) -> DataFrame:
-    """The rows within the query's conditions by how they answer the cues: exact terms, then type facets, then words of the
-    text, each divided by the root of the number of rows that have the cue there; ties in the order of insertion. With ``why``."""
-    within = matching(df, q)
-    attributes = json_map(F.col("attributes_json"))
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-    def found(values: Column, where: str, weight: float) -> Column:
-        return F.transform(F.array_distinct(values), lambda v: F.struct(F.lit(where).alias("where"), F.lit(weight).alias("weight"), v.alias("cue")))
-
-    facets = F.array_compact(F.array(*(F.lower(string_attribute(attributes, n)) for n in ("subject_type", "object_type"))))
-    places = F.concat(found(F.array("subject", "predicate", "object_key"), "term", TERM), found(facets, "facet", FACET), found(words, "word", WORD))
-    wanted = list(dict.fromkeys(c.strip().lower() for c in cues if c.strip()))
-    hits = within.select("ingest_seq", F.explode(places).alias("p")).select("ingest_seq", "p.*").where(F.col("cue").isin(*wanted))
-    counts = hits.groupBy("where", "cue").agg(F.count("*").alias("n"))  # at most three rows a cue
-    scored = hits.join(F.broadcast(counts), ["where", "cue"]).groupBy("ingest_seq").agg(
-        F.sum(F.col("weight") / F.sqrt("n")).alias("score"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "where", "cue"))), ", ").alias("why")
+def anchor_hits(within: DataFrame, cues: Sequence[str]) -> DataFrame:
+    """(ingest_seq, where, cue): the places of each row that hold a cue. Arrays are cut down to the cues before they are exploded, and
+    texts are only looked through for the cues."""
+    wanted = F.array(*map(F.lit, cues)).cast("array<string>")
+    held = within.withColumns({"__attributes": json_map(F.col("attributes_json")), "__provenance": json_map(F.col("provenance_json"))})
+
+    def at(values: Column, where: str) -> Column:
+        return F.transform(F.array_intersect(values, wanted), lambda v: F.struct(F.lit(where).alias("where"), v.alias("cue")))
+
+    facets = [F.lower(string_attribute(F.col("__attributes"), n)) for n in TYPE_FACETS] + [F.lower(string_attribute(F.col("__provenance"), n)) for n in PROVENANCE_FACETS]
+    listed = [F.transform(strings_at(F.col("__provenance"), k), F.lower) for k in SOURCE_KEYS]
+    terms = words_of(F.col("object_key"))
+
+    def of_object(predicates: tuple[str, ...]) -> Column:
+        return F.when(F.col("predicate").isin(*predicates), F.array_append(terms, F.col("object_key"))).otherwise(F.array().cast("array<string>"))
+
+    text = F.lower("text")
+    words = F.array_compact(F.array(*(F.when(text.contains(c) & text.rlike(rf"(?<![\p{{L}}\p{{N}}]){c}(?![\p{{L}}\p{{N}}])"), F.lit(c)) for c in cues if c.isalnum()))).cast("array<string>")
+    places = F.concat(
+        at(F.array("subject", "predicate", "object_key"), "term"),
+        at(F.array_compact(F.concat(F.array(*facets), *listed)), "facet"),
+        at(of_object(LABEL_PREDICATES), "label"),
+        at(of_object(TOPIC_PREDICATES), "topic"),
+        at(words, "word"),
     )
+    return held.select("ingest_seq", F.explode(places).alias("p")).select("ingest_seq", "p.*")
+
+
+def anchor_scores(
+    df: DataFrame, q: AssertionQuery, cues: Sequence[str], rows: int = 20, *, least_length: int = 1, stop: Sequence[str] = (), max_share: float | None = None, related: bool = False
+) -> DataFrame:
+    """The rows within the query's conditions by how they answer the cues: exact terms, then facets of types and provenance, then labels and
+    topics, then words of the text, each divided by the root of the number of rows that have the cue there; ties in the order of
+    insertion. Cues that are short, or stop words, or that more than ``max_share`` of the rows hold in a place, count nothing there. With
+    ``related``, rows that have a subject or object in common with a row that a cue matched by term, as by a shared anchor, get a
+    lower score, also divided by the root of that anchor's frequency. ``why`` has (where, cue, contribution), the largest first."""
+    within = matching(df, q)
+    wanted = [c for c in dict.fromkeys(c.strip().lower() for c in cues) if c and len(c) >= least_length and c not in stop]
+    if not wanted:
+        return df.where(F.lit(False)).select("ingest_seq", F.lit(0.0).alias("score"), F.array().cast("array<struct<contribution:double,where:string,cue:string>>").alias("why"))
+    hits = checkpointed(anchor_hits(within, wanted))  # two short strings a hit, read twice
+    counts = hits.groupBy("where", "cue").agg(F.count("*").alias("n"))  # at most five rows a cue
+    if max_share is not None:
+        counts = counts.where(F.col("n") <= max_share * within.count())
+    weight = F.create_map(*(F.lit(x) for pair in WEIGHTS.items() for x in pair))[F.col("where")]
+    parts = hits.join(F.broadcast(counts), ["where", "cue"]).select("ingest_seq", (weight / F.sqrt("n")).alias("contribution"), "where", "cue")
+    if related:
+        ends = within.select("ingest_seq", F.explode(F.array_distinct(F.array("subject", "object_key"))).alias("anchor"))
+        shared = ends.join(hits.where("where = 'term'").select("ingest_seq").distinct(), "ingest_seq", "left_semi").select("anchor").distinct().where(~F.col("anchor").isin(*wanted))
+        near = checkpointed(ends.join(shared, "anchor"))
+        often = near.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+        if max_share is not None:
+            often = often.where(F.col("n") <= max_share * within.count())
+        near = near.join(often, "anchor").select("ingest_seq", (F.lit(RELATED) / F.sqrt("n")).alias("contribution"), F.lit("related").alias("where"), F.col("anchor").alias("cue"))
+        parts = parts.unionByName(near)
+    scored = parts.groupBy("ingest_seq").agg(F.sum("contribution").alias("score"), F.sort_array(F.collect_list(F.struct("contribution", "where", "cue")), asc=False).alias("why"))
     return scored.orderBy(F.desc("score"), "ingest_seq").limit(rows)
 
 
 @dataclass
 class Walk:
-    """Edges with the ``depth`` at which they were met, visited nodes with theirs, and why the walk stopped."""
+    """Edges with the ``depth`` at which they were met and the ``path`` of nodes that led to them, visited nodes with theirs, and why the
+    walk stopped."""
 
     edges: DataFrame
     nodes: DataFrame
@@ -111,11 +179,12 @@ def walk(
     direction: str = "out",
     predicates: Sequence[str] | None = None,
     max_hops: int = 2,
-    max_edges: int = 10_000,
-    max_nodes: int = 10_000,
+    max_edges: int | None = 10_000,
+    max_nodes: int | None = 10_000,
 ) -> Walk:
     """Breadth first from the nodes in ``seeds``; the query's conditions hold for every edge. Each hop joins the frontier to the
-    edges and takes away what was visited, so cycles end; a hop that would pass a budget takes its first edges by (node, other, ingest_seq)."""
+    edges and takes away what was visited, so cycles end. A hop is counted first; only if it would pass a budget (None: there is none) it is
+    sorted and cut, to its first edges by (node, other, ingest_seq). Of several paths to a node the least one counts."""
     if direction not in ("out", "in", "both"):
         raise ValueError("direction must be out, in or both")
     usable = matching(df, q or AssertionQuery())
@@ -127,28 +196,39 @@ def walk(
     if direction in ("in", "both"):
         ways.append(usable.select(F.col("object_key").alias("node"), F.col("subject").alias("other"), "predicate", "ingest_seq"))
     steps = ways[0] if len(ways) == 1 else ways[0].unionByName(ways[1])
-    frontier = checkpointed(seeds.select(F.col(seeds.columns[0]).cast("string").alias("node")).distinct().withColumn("depth", F.lit(0)))
+    node = F.col(seeds.columns[0]).cast("string")
+    frontier = checkpointed(seeds.select(node.alias("node")).distinct().select("node", F.lit(0).alias("depth"), F.array("node").alias("path")))
     nodes, edges = frontier, None
     n_nodes, n_edges, hops, partial, reason, warnings = frontier.count(), 0, 0, False, "max_hops", []
+
+    def within(rows: DataFrame, left: int | None, *order: str) -> tuple[DataFrame, int, bool]:
+        """The rows, or the first of them that the budget leaves; how many; whether some were cut off."""
+        rows = checkpointed(rows)
+        n = rows.count()
+        if left is None or n <= left:
+            return rows, n, False
+        return checkpointed(rows.orderBy(*order).limit(left)), left, True
+
     while hops < max_hops:
         met = frontier.drop("depth").join(steps, "node").withColumn("depth", F.lit(hops + 1))
         if edges is not None:
             met = met.join(edges.select("ingest_seq"), "ingest_seq", "left_anti")
-        met = met.dropDuplicates(["ingest_seq"])
-        if met.isEmpty():
+        met = met.withColumn("path", F.concat("path", F.array("other")))
+        if direction == "both":  # an edge between two nodes of the frontier is met from either
+            columns = met.columns
+            met = met.groupBy("ingest_seq").agg(F.min(F.struct("node", "other", "predicate", "depth", "path")).alias("m")).select("ingest_seq", "m.*").select(*columns)
+        met, more, cut = within(met, None if max_edges is None else max_edges - n_edges, "node", "other", "ingest_seq")
+        if not more and not cut:
             reason = "exhausted"
             break
-        met = checkpointed(met.orderBy("node", "other", "ingest_seq").limit(max_edges - n_edges + 1))
-        if (more := met.count()) > max_edges - n_edges:
-            met, partial, reason = met.orderBy("node", "other", "ingest_seq").limit(max_edges - n_edges), True, "max_edges"
-            more = max_edges - n_edges
+        if cut:
+            partial, reason = True, "max_edges"
         hops, n_edges = hops + 1, n_edges + more
         edges = met if edges is None else edges.unionByName(met)
-        new = met.select(F.col("other").alias("node")).distinct().join(nodes, "node", "left_anti").withColumn("depth", F.lit(hops))
-        new = checkpointed(new.orderBy("node").limit(max_nodes - n_nodes + 1))
-        if (more := new.count()) > max_nodes - n_nodes:
-            new, partial, reason = new.orderBy("node").limit(max_nodes - n_nodes), True, reason if partial else "max_nodes"
-            more = max_nodes - n_nodes
+        new = met.groupBy(F.col("other").alias("node")).agg(F.min("path").alias("path")).join(nodes, "node", "left_anti").select("node", F.lit(hops).alias("depth"), "path")
+        new, more, cut = within(new, None if max_nodes is None else max_nodes - n_nodes, "node")
+        if cut:
+            partial, reason = True, reason if partial else "max_nodes"
         n_nodes += more
         nodes, frontier = nodes.unionByName(new), new
         if partial:
@@ -158,5 +238,28 @@ def walk(
             reason = "exhausted"
             break
     if edges is None:
-        edges = steps.withColumn("depth", F.lit(0)).where(F.lit(False))
-    return Walk(edges.select("node", "predicate", "other", "ingest_seq", "depth"), nodes, hops, n_edges, n_nodes, partial, reason, warnings)
+        edges = steps.withColumns({"depth": F.lit(0), "path": F.array("node")}).where(F.lit(False))
+    return Walk(edges.select("node", "predicate", "other", "ingest_seq", "depth", "path"), nodes, hops, n_edges, n_nodes, partial, reason, warnings)
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """What a store holds, for readers that must not change it: frames in a fixed order, and what can't be shown."""
+
+    capabilities: object
+    assertions: DataFrame
+    scopes: DataFrame
+    sources: DataFrame
+    warnings: list[str]
+
+
+def snapshot(store: object, q: AssertionQuery | None = None) -> Snapshot:
+    """A read-only view of a store: its capabilities, the rows that answer the query in a fixed order, a summary of all scopes, and
+    the sources that the rows name. Nothing is written."""
+    q = q or AssertionQuery()
+    frame = store.frame()
+    warnings = [] if store.capabilities.vector else ["the store has no vectors"]
+    if q.semantic:
+        warnings.append("a snapshot is in time order; the semantic part of the query is left aside")
+    rows = in_time_order(matching(frame, q), q)
+    return Snapshot(store.capabilities, rows, scope_summary(frame).orderBy("scope", "owner_id"), sources(rows).orderBy("ingest_seq", "source_kind", "source_id"), warnings)

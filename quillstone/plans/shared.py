@@ -39,3 +39,11 @@ def forget(spark: SparkSession, path: str) -> None:
     """Deletes a table that nothing reads any more."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def renamed(spark: SparkSession, old: str, new: str) -> None:
+    """Moves a table."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    place = make(old)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(place, make(new)):
+        raise OSError(f"{old} could not be moved to {new}")

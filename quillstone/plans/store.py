@@ -1,11 +1,13 @@
 """Append-only stores of assertions: one engine, three profiles.
 
 ``volatile`` keeps its rows in the session, ``structured`` and ``vector`` in a Parquet dataset partitioned by scope, each append one
-job. ``structured`` holds no vectors and refuses semantic queries. A store has one writer at a time.
+job. ``structured`` holds no vectors and refuses semantic queries. A store has one writer at a time; ``compact`` merges the small
+files that many appends leave.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 from collections.abc import Callable, Iterable
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.normalize import normalized
 from quillstone.operators.request import AssertionQuery, by_score, in_time_order, matching
+from quillstone.plans.extensions import with_keywords
+from quillstone.plans.shared import forget, renamed, written
 from quillstone.sources.embedders import TextEmbedder, embedded
 from quillstone.sources.records import Assertion
 from quillstone.sources.schema import GIVEN, STORED, STORED_COLUMNS
@@ -36,11 +40,14 @@ class Capabilities:
 
 
 PROFILES = {
-    "volatile": Capabilities(False, True, True, True, False, "generic", True),
-    "structured": Capabilities(True, True, False, False, False, "generic", True),
-    "vector": Capabilities(True, True, True, True, False, "generic", True),
+    "volatile": Capabilities(False, True, True, True, True, "generic", True),
+    "structured": Capabilities(True, True, False, False, True, "generic", True),
+    "vector": Capabilities(True, True, True, True, True, "generic", True),
 }
 
+#: Appends that a volatile store holds as frames of their own; beyond them they are put together.
+HELD = 32
+
 
 class AssertionStore:
     """``add``, ``query`` and ``close`` for lists of assertions; ``add_frame``, ``query_frame`` and ``frame`` for tables."""
@@ -59,7 +66,7 @@ class AssertionStore:
                 raise ValueError(f"{given!r} is not a safe name")
         self.spark, self.embedder = spark, embedder
         self.vector_column = vector_column or "vector"
-        self.path = f"{path.rstrip('/')}/{name}" if path else None
+        self.path = f"{os.path.expanduser(path).rstrip('/')}/{name}" if path else None
         self.columns = [self.vector_column if c == "vector" else c for c in STORED_COLUMNS]
         self.schema = STORED.replace("vector array", f"`{self.vector_column}` array")
         self.held: list[DataFrame] = []
@@ -86,6 +93,11 @@ class AssertionStore:
         stored = normalized(given).withColumnRenamed("vector", self.vector_column).select(*self.columns)
         if self.path is None:
             self.held.append(stored)
+            if len(self.held) > HELD:
+                together = self.frame().persist()
+                together.count()
+                self.close()
+                self.held, self.cached = [together], [together]
         else:
             # sorted within files, so that statistics of row groups let the scan skip what other terms and times hold
             stored.sortWithinPartitions("scope", "subject", "predicate", "observed_at").write.mode("append").partitionBy("scope").parquet(self.path)
@@ -124,7 +136,14 @@ class AssertionStore:
         if make_embedder is not None and self.capabilities.vector:
             # the text is that of the normalized row, which is normalized again when it is written, to itself
             full = normalized(full).withColumn("vector", F.coalesce("vector", embedded(F.col("text"), make_embedder))).select(*full.columns)
-        placed = full.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+        placed = full.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1), "assertion_id": F.expr("uuid()")})
+        # the source is read once, so what it gives is what is counted, numbered and stored
+        path = None
+        if self.path is None:
+            placed = placed.persist()
+            self.cached.append(placed)
+        else:
+            placed, path = written(placed)
         # a number for each partition
         sizes = {r["__part"]: r["count"] for r in placed.groupBy("__part").count().collect()}
         first, begins = self._begin(), []
@@ -132,15 +151,12 @@ class AssertionStore:
             begins.append((part, first))
             first += sizes[part]
         total = first - self._begin()
-        if not total:
-            return 0
-        starts = self.spark.createDataFrame(begins, "__part int, __begin bigint")
-        rows = placed.join(F.broadcast(starts), "__part").withColumns({"ingest_seq": F.col("__begin") + F.col("__place"), "assertion_id": F.expr("uuid()")})
-        rows = rows.drop("__part", "__place", "__begin")
-        if self.path is None:
-            rows = rows.persist()  # so that ids stay what they are
-            self.cached.append(rows)
-        self._append(rows, total)
+        if total:
+            starts = self.spark.createDataFrame(begins, "__part int, __begin bigint")
+            rows = placed.join(F.broadcast(starts), "__part").withColumn("ingest_seq", F.col("__begin") + F.col("__place"))
+            self._append(rows.drop("__part", "__place", "__begin"), total)
+        if path:
+            forget(self.spark, path)
         return total
 
     def query_frame(self, q: AssertionQuery) -> DataFrame:
@@ -155,6 +171,25 @@ class AssertionStore:
         found = matching(self.frame(), q)
         return in_time_order(found, q) if vector is None else by_score(found, q, vector)
 
+    def keyword_frame(self, words: str, q: AssertionQuery | None = None) -> DataFrame:
+        """Rows within the query's conditions whose text has every word, in time order. Asked for by itself; no query falls back to it."""
+        q = q or AssertionQuery()
+        return in_time_order(with_keywords(matching(self.frame(), q), words), q)
+
+    def compact(self, file_rows: int = 1_000_000) -> None:
+        """Rewrites a dataset in files of about ``file_rows`` rows, sorted by scope, terms and time, and puts them in the place of the old
+        ones. Readers and writers have to wait; should it be stopped between the two last steps, the rows are in ``<path>.compacted``."""
+        if self.path is None:
+            raise ValueError("a volatile store has no files")
+        frame = self.frame()
+        if not (n := frame.count()):
+            return
+        order = ("scope", "subject", "predicate", "observed_at")
+        ranged = frame.repartitionByRange(-(-n // file_rows), *order, "ingest_seq").sortWithinPartitions(*order)
+        ranged.write.mode("overwrite").partitionBy("scope").parquet(f"{self.path}.compacted")
+        forget(self.spark, self.path)
+        renamed(self.spark, f"{self.path}.compacted", self.path)
+
     def query(self, q: AssertionQuery) -> list[Assertion]:
         return [Assertion.of_row(r) for r in self.query_frame(q).collect()]
 

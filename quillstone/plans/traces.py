@@ -21,9 +21,16 @@ from quillstone.sources.records import now_iso
 STOP_REASONS = ("complete", "max_candidates", "max_hops", "max_tokens", "deadline", "enough_evidence", "low_confidence", "operator_stop")
 
 TRACE = (
-    "trace_id string, query_json string, query_fingerprint string, recall_level string, searched_scopes array<string>, n_candidates bigint,"
-    " candidate_fingerprint string, budgets_json string, stop_reason string, partial boolean, warnings array<string>, observed_at string, provenance_json string"
+    "trace_id string, query_json string, query_fingerprint string, recall_level string, searched_scopes array<struct<scope:string,owner_id:string>>, n_candidates bigint,"
+    " candidate_fingerprint string, candidate_ids array<string>, selected_ids array<string>, visited_terms array<string>, budgets_json string, stop_reason string,"
+    " partial boolean, warnings array<string>, observed_at string, provenance_json string"
 )
+#: The candidates of a trace, for any number of them.
+CANDIDATES = "trace_id string, assertion_id string, selected boolean"
+TRACE_COLUMNS = [
+    "trace_id", "query_json", "query_fingerprint", "recall_level", "searched_scopes", "n_candidates", "candidate_fingerprint", "candidate_ids", "selected_ids",
+    "visited_terms", "budgets_json", "stop_reason", "partial", "warnings", "observed_at", "provenance_json",
+]
 ACCESS = "event_id string, trace_id string, assertion_id string, access_kind string, scope string, owner_id string, observed_at string, provenance_json string"
 
 
@@ -32,6 +39,15 @@ def query_json(q: AssertionQuery) -> str:
     return json.dumps({n: v for n, v in asdict(q).items() if v is not None}, sort_keys=True, ensure_ascii=False, separators=(",", ":"), default=list)
 
 
+def trace_candidates(trace_id: str, candidates: DataFrame, selected: DataFrame | None = None) -> DataFrame:
+    """A row of layout CANDIDATES for each candidate, however many there are."""
+    rows = candidates.select(F.lit(trace_id).alias("trace_id"), "assertion_id")
+    if selected is None:
+        return rows.withColumn("selected", F.lit(False))
+    marked = selected.select("assertion_id", F.lit(True).alias("selected")).distinct()
+    return rows.join(marked, "assertion_id", "left").select("trace_id", "assertion_id", F.coalesce("selected", F.lit(False)).alias("selected"))
+
+
 def candidate_fingerprint(candidates: DataFrame) -> DataFrame:
     """One row: ``n_candidates`` and a fingerprint of their ids that does not depend on their order. Sums, so it is made in part by
     every task."""
@@ -45,27 +61,48 @@ def recall_trace(
     candidates: DataFrame,
     *,
     recall_level: str | None = None,
-    searched_scopes: Sequence[str] = (),
+    searched_scopes: Sequence[str | tuple[str, str | None]] = (),
+    selected: DataFrame | None = None,
+    visited: Sequence[str] = (),
+    most_ids: int = 1000,
     budgets: Mapping[str, float | str] | None = None,
     stop_reason: str = "complete",
     partial: bool = False,
     warnings: Sequence[str] = (),
     provenance: Mapping[str, object] | None = None,
 ) -> DataFrame:
-    """One row of layout TRACE over the rows that a query considered."""
+    """One row of layout TRACE over the rows that a query considered. The ids of candidates and selected rows are in it, in order, if there are
+    ``most_ids`` at most; otherwise they are null, with a warning, and ``trace_candidates`` has them as a table. Scopes are names or
+    pairs with an owner."""
     if stop_reason not in STOP_REASONS:
         raise ValueError(f"stop_reason must be one of {', '.join(STOP_REASONS)}")
     text = query_json(q)
 
+    warnings = list(warnings)
+
     def strings(values: Sequence[str]) -> F.Column:
         return F.array(*map(F.lit, values)).cast("array<string>")
 
+    def ids(rows: DataFrame | None, what: str) -> F.Column:
+        found = [] if rows is None else sorted(r[0] for r in rows.select("assertion_id").limit(most_ids + 1).collect())
+        if len(found) <= most_ids:
+            return strings(found)
+        warnings.append(f"more than {most_ids} {what}; their ids are not in the trace")
+        return F.lit(None).cast("array<string>")
+
+    def scope(given: str | tuple[str, str | None]) -> F.Column:
+        name, owner = (given, None) if isinstance(given, str) else given
+        return F.struct(F.lit(name).alias("scope"), F.lit(owner).cast("string").alias("owner_id"))
+
+    scopes = searched_scopes or [(s, q.owner_id) for s in (q.scope,) if s]
+    listed = {"candidate_ids": ids(candidates, "candidates"), "selected_ids": ids(selected, "selected rows"), "visited_terms": strings(visited)}
     values = {
         "trace_id": F.lit(str(uuid.uuid4())),
         "query_json": F.lit(text),
         "query_fingerprint": F.lit(hashlib.sha256(text.encode()).hexdigest()),
         "recall_level": F.lit(recall_level).cast("string"),
-        "searched_scopes": strings(searched_scopes or [s for s in (q.scope,) if s]),
+        "searched_scopes": F.array(*map(scope, scopes)).cast("array<struct<scope:string,owner_id:string>>"),
+        **listed,
         "budgets_json": F.lit(json.dumps(dict(budgets or {}), sort_keys=True)),
         "stop_reason": F.lit(stop_reason),
         "partial": F.lit(partial),
@@ -73,7 +110,7 @@ def recall_trace(
         "observed_at": F.lit(now_iso()),
         "provenance_json": F.lit(json.dumps(dict(provenance or {}), sort_keys=True)),
     }
-    return candidate_fingerprint(candidates).withColumns(values).select(*(f.split()[0] for f in TRACE.split(", ")))
+    return candidate_fingerprint(candidates).withColumns(values).select(*TRACE_COLUMNS)
 
 
 def access_events(rows: DataFrame, access_kind: str, trace_id: str | None = None, provenance: Mapping[str, object] | None = None) -> DataFrame:

@@ -58,15 +58,19 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """document -- written in --> language, with the text's lines as evidence and context."""
-    d = table(spark, sf_dir, "documents")
+def texts(spark: SparkSession, sf_dir: str, bare: bool = False) -> DataFrame:
+    """document -- written in --> language, with the text's lines as evidence and context; with ``bare`` also a row for each region that
+    has neither, below zero."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    if bare:
+        r = table(spark, sf_dir, "region")
+        d = d.unionByName(r.select((-1 - F.col("r_regionkey")).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit("none").alias("lang"), F.lit("regions").alias("source")))
     attributes = F.to_json(
         F.struct(
             F.lit("document").alias("subject_type"),
             F.when(F.col("doc_id") % 3 == 0, F.lit("  ")).otherwise(F.lit(" language ")).alias("object_type"),
             F.substring_index("text", "\n", 1).alias("evidence_quote"),
-            F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("original_context"),
+            F.col("text").alias("original_context"),
         )
     )
     return normalized(
@@ -83,33 +87,40 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item -- labelled --> label, with vectors for four of five."""
-    v = table(spark, sf_dir, "embeddings")
-    return normalized(
-        v.select(
-            F.concat(F.lit("item:"), F.col("vec_id").cast("string")).alias("subject"),
-            F.lit("labelled").alias("predicate"),
-            F.concat(F.lit("label:"), F.col("label").cast("string")).alias("object"),
-            F.when(F.col("vec_id") % 2 == 0, F.lit("global")).otherwise(F.lit("session")).alias("scope"),
-            F.lit(None).cast("string").alias("owner_id"),
-            F.lit("2026-01-01T00:00:00+00:00").alias("observed_at"),
-            *(F.lit(None).cast("string").alias(c) for c in ("valid_from", "valid_until", "provenance_json")),
-            F.lit(None).cast("double").alias("confidence"),
-            F.when(F.col("vec_id") % 2 == 0, F.lit('{"_retrieval":{"metric":"given","note":1}}')).alias("attributes_json"),
-            F.when(F.col("vec_id") % 5 != 4, F.col("embedding").cast("array<double>")).alias("vector"),
-            F.col("vec_id").alias("ingest_seq"),
-        )
+def given_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item -- labelled --> label, with vectors; and a row without one for each region, below zero."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    r = table(spark, sf_dir, "region")
+    v = v.unionByName(r.select((-1 - F.col("r_regionkey")).cast("long").alias("vec_id"), F.lit(None).cast("array<float>").alias("embedding"), F.lit(-1).alias("label")))
+    return v.select(
+        F.concat(F.lit("item:"), F.col("vec_id").cast("string")).alias("subject"),
+        F.lit("labelled").alias("predicate"),
+        F.concat(F.lit("label:"), F.col("label").cast("string")).alias("object"),
+        F.when(F.col("vec_id") % 2 == 0, F.lit("global")).otherwise(F.lit("session")).alias("scope"),
+        F.lit(None).cast("string").alias("owner_id"),
+        F.lit("2026-01-01T00:00:00+00:00").alias("observed_at"),
+        *(F.lit(None).cast("string").alias(c) for c in ("valid_from", "valid_until", "provenance_json")),
+        F.lit(None).cast("double").alias("confidence"),
+        F.when(F.col("vec_id") % 2 == 0, F.lit('{"_retrieval":{"metric":"given","note":1}}')).alias("attributes_json"),
+        F.col("embedding").cast("array<double>").alias("vector"),
+        F.col("vec_id").alias("ingest_seq"),
     )
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalized(given_vectors(spark, sf_dir))
+
+
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """supplier, nation and region -- located in --> the next."""
-    n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
-    edges = n.select(
-        F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("subject"), F.concat(F.lit("region:"), F.col("n_regionkey").cast("string")).alias("object")
-    ).unionByName(s.select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("subject"), F.concat(F.lit("nation:"), F.col("s_nationkey").cast("string")).alias("object")))
+    """customer or supplier, nation and region -- located in --> the next."""
+
+    def edges(name: str, kind: str, key: str, parent: str, to: str) -> DataFrame:
+        return table(spark, sf_dir, name).select(F.concat(F.lit(f"{kind}:"), F.col(key).cast("string")).alias("subject"), F.concat(F.lit(f"{parent}:"), F.col(to).cast("string")).alias("object"))
+
+    all_edges = edges("nation", "nation", "n_nationkey", "region", "n_regionkey")
+    for kind in ("supplier", "customer"):
+        all_edges = all_edges.unionByName(edges(kind, kind, f"{kind[0]}_{kind[:4]}key", "nation", f"{kind[0]}_nationkey"))
     nothing = {c: F.lit(None).cast("string") for c in ("owner_id", "valid_from", "valid_until", "provenance_json", "attributes_json")}
     return normalized(
-        edges.withColumns({"predicate": F.lit("located in"), "scope": F.lit("global"), "observed_at": F.lit("2026-01-01T00:00:00+00:00"), "confidence": F.lit(None).cast("double"), "ingest_seq": F.xxhash64("subject")} | nothing)
+        all_edges.withColumns({"predicate": F.lit("located in"), "scope": F.lit("global"), "observed_at": F.lit("2026-01-01T00:00:00+00:00"), "confidence": F.lit(None).cast("double"), "ingest_seq": F.xxhash64("subject")} | nothing)
     )

@@ -48,7 +48,7 @@ def test_walk(store, spark):
 
 def test_lineage(store):
     def derived(name, sources, **attributes):
-        return Assertion(name, "p", "o", provenance={"source_ids": sources} if sources is not None else {}, attributes={"memory_kind": "summary"} | attributes)
+        return Assertion(name, "p", "o", provenance={"source_assertion_ids": sources} if sources is not None else {}, attributes={"memory_kind": "summary"} | attributes)
 
     store.add([derived("ok", ["1", "2"]), derived("none", None), derived("empty", []), derived("odd", ["1"], lineage_policy="guess"), edge("plain", "x")])
     names = {r.ingest_seq: r.subject for r in store.frame().collect()}
@@ -60,8 +60,42 @@ def test_anchors(store):
     store.add([edge("rare", "x"), edge("b", "y", attributes={"subject_type": "Rare"}), edge("c", "z", attributes={"evidence_quote": "a common thing"}), edge("d", "common"), edge("rare", "y", scope="other")])
     got = x.anchor_scores(store.frame(), AssertionQuery(scope="run"), ["RARE", "common", " "]).collect()
     why = {0: "term rare, word rare", 3: "term common, word common", 1: "facet rare, word rare", 2: "word common"}
-    assert [(r.ingest_seq, r.why) for r in got] == list(why.items())
-    assert got[0].score == pytest.approx(8 + 1 / 2**0.5)
+    assert [(r.ingest_seq, ", ".join(f"{w.where} {w.cue}" for w in r.why)) for r in got] == list(why.items())
+    assert got[0].score == pytest.approx(8 + 1 / 2**0.5) == pytest.approx(sum(w.contribution for w in got[0].why))
+
+
+def test_labels_topics_facets_and_guards(store):
+    more = {"provenance": {"source_path": "Docs/A.md", "source_urls": ["u:1"]}}
+    store.add([edge("e:1", "Ada Lovelace", "schema:name"), edge("n:1", "Engines", "schema:about"), edge("n:2", "x", **more), edge("e:1", "n:1"), edge("the", "y")])
+
+    def asked(cues, **given):
+        return {r.ingest_seq: [(w.where, w.cue) for w in r.why] for r in x.anchor_scores(store.frame(), AssertionQuery(), cues, **given).collect()}
+
+    assert asked(["lovelace"]) == {0: [("label", "lovelace"), ("word", "lovelace")]}
+    assert asked(["docs/a.md", "u:1"]) == {2: [("facet", "u:1"), ("facet", "docs/a.md")]}
+    assert asked(["ENGINES"])[1][:2] == [("term", "engines"), ("topic", "engines")]
+    assert asked(["the", "y"], stop=["the"]) == asked(["y"]) and asked(["x", "e:1"], least_length=2) == asked(["e:1"])
+    assert asked(["to", "engines"], max_share=0.4) == asked(["engines"])
+    assert asked(["ada lovelace"], related=True) == {0: [("term", "ada lovelace"), ("label", "ada lovelace")], 3: [("related", "e:1")]} | {0: [("term", "ada lovelace"), ("label", "ada lovelace"), ("related", "e:1")]}
+    assert asked([" "]) == asked([]) == {}
+
+
+def test_paths_and_sources(store, spark):
+    store.add([edge("a", "b"), edge("a", "c"), edge("b", "d"), edge("c", "d"), edge("d", "a", provenance={"source_urls": ["u", " "], "source_span_ids": ["s"], "source_artifact_ids": "no list"})])
+    done = x.walk(store.frame(), spark.createDataFrame([("a",)], "n string"), max_hops=5, max_edges=None, max_nodes=None)
+    assert {r.node: r.path for r in done.nodes.collect()} == {"a": ["a"], "b": ["a", "b"], "c": ["a", "c"], "d": ["a", "b", "d"]}
+    assert {(r.other, tuple(r.path)) for r in done.edges.collect()} >= {("a", ("a", "b", "d", "a"))}
+    assert sorted(tuple(r)[1:] for r in x.sources(store.frame()).collect()) == [("source_span_ids", "s"), ("source_urls", "u")]
+
+
+def test_snapshots_change_nothing(store):
+    store.add([edge("b", "x", provenance={"source_urls": ["u"]}), edge("a", "y", scope="s", owner_id="o")])
+    one, two = (x.snapshot(store, AssertionQuery(limit=1)) for _ in range(2))
+    assert one.assertions.collect() == two.assertions.collect() and len(one.assertions.collect()) == 1
+    assert [(r.scope, r.owner_id, r.n_rows) for r in one.scopes.collect()] == [("run", None, 1), ("s", "o", 1)]
+    assert one.capabilities is store.capabilities and one.warnings == [] and store.frame().count() == 2
+    assert [r.source_id for r in one.sources.collect()] == ["u"]
+    assert x.snapshot(store, AssertionQuery(query_text="w")).warnings
 
 
 def test_exports_summaries_latest_and_key_words(store):
@@ -73,7 +107,10 @@ def test_exports_summaries_latest_and_key_words(store):
     assert (summary.scope, summary.n_rows, summary.first_observed, summary.last_observed, summary.n_subjects) == ("run", 3, "2026", "2027", 2)
     assert sorted(r.object for r in x.latest(df).collect()) == ["new", "x"]
     assert [r.object for r in x.with_keywords(df, "WORD to").collect()] == ["big word"]
-    assert x.with_keywords(df, "wor").count() == 0
+    assert x.with_keywords(df, "wor").count() == x.with_keywords(df, " ;").count() == 0
+    store.add([edge("user:7", "o'clock"), edge("a-b", "z")])
+    for words in ("o'clock", "USER:7", "a-b"):
+        assert store.keyword_frame(words).count() == x.with_keywords(store.frame(), words).count() == 1
 
 
 def test_stream(spark, tmp_path):

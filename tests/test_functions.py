@@ -46,7 +46,7 @@ def test_canonical_text(spark):
         return "\n".join(lines)
 
     table = spark.createDataFrame([(i, json.dumps(c, ensure_ascii=False)) for i, c in enumerate(cases)] + [(4, "[]"), (5, None), (6, "{x")], "i int, a string")
-    got = {r.i: r.t for r in table.select("i", text.canonical_text(F.lit("s"), F.lit("p"), F.lit("O"), F.col("a")).alias("t")).collect()}
+    got = {r.i: r.t for r in table.select("i", text.canonical_text(F.lit("s"), F.lit("p"), F.lit("O"), terms.json_map(F.col("a"))).alias("t")).collect()}
     assert got == {i: want(c) for i, c in enumerate([*cases, {}, {}, {}])}
 
 
@@ -98,6 +98,8 @@ def test_requests():
         (b'{"data":[{"embedding":"x"}]}', "list"),
         (HTTPError("u", 401, "Unauthorized", {}, io.BytesIO()), "401.*token"),
         (HTTPError("u", 500, "Broken", {}, io.BytesIO()), "500"),
+        (HTTPError("u", 400, "Bad", {}, io.BytesIO(b" model is missing\n")), "400 Bad: model is missing$"),
+        (b'{"data":[{"embedding":["x"]}]}', "numbers"),
         (URLError("refused"), "refused"),
     ],
 )

@@ -144,6 +144,44 @@ def test_tables_are_added(make, spark):
         store.add_frame(table.drop("object"))
 
 
+def test_compaction_keeps_the_rows(make):
+    store = make()
+    if not store.capabilities.persistence:
+        with pytest.raises(ValueError, match="volatile"):
+            store.compact()
+        return
+    store.compact()
+    for n in range(4):
+        store.add([row(f"s{n}", scope=f"x{n % 2}")])
+    before = sorted(map(str, store.frame().collect()))
+    files = len(store.frame().inputFiles())
+    store.compact()
+    assert sorted(map(str, make().frame().collect())) == before and len(store.frame().inputFiles()) == 2 < files
+    make().add([row("more")])
+    assert [r.ingest_seq for r in make().frame().orderBy("ingest_seq").collect()] == list(range(5))
+
+
+def test_many_small_appends(make, spark):
+    store = make()
+    for n in range(40 if make.profile == "volatile" else 3):
+        store.add([row(f"s{n}")])
+        store.add_frame(spark.createDataFrame([(f"t{n}", "p", "o")], "subject string, predicate string, object string"))
+    rows = store.frame().orderBy("ingest_seq").collect()
+    assert [r.ingest_seq for r in rows] == list(range(len(rows))) and len({r.assertion_id for r in rows}) == len(rows)
+    assert len(store.held) <= 33
+
+
+def test_a_source_that_changes_is_read_once(make, spark):
+    store = make()
+    n = store.add_frame(spark.range(1000, numPartitions=4).where("rand() < 0.5").selectExpr("concat('s', id) AS subject", "'p' AS predicate", "'o' AS object"))
+    rows = store.frame().collect()
+    assert sorted(r.ingest_seq for r in rows) == list(range(n)) == list(range(len(rows)))
+
+
+def test_home_folder(spark):
+    assert not AssertionStore(spark, "~/data").path.startswith("~")
+
+
 def test_semantic_queries_need_vectors_and_an_embedder(make):
     store = make()
     store.add([row("a")])

@@ -37,8 +37,15 @@ def test_traces(spark, tmp_path):
     one = traces.recall_trace(q, found, stop_reason="max_hops", partial=True, warnings=["w"], budgets={"max_hops": 2}).first()
     two = traces.recall_trace(other, found.repartition(3)).first()
     assert one.query_fingerprint == two.query_fingerprint and one.candidate_fingerprint == two.candidate_fingerprint
-    assert (one.n_candidates, one.partial, one.stop_reason, one.warnings, one.searched_scopes) == (3, True, "max_hops", ["w"], ["run"])
+    assert (one.n_candidates, one.partial, one.stop_reason, one.warnings, [tuple(s) for s in one.searched_scopes]) == (3, True, "max_hops", ["w"], [("run", None)])
     assert json.loads(one.budgets_json) == {"max_hops": 2} and json.loads(one.query_json)["subject"] == "e:1"
+    full = traces.recall_trace(q, found, selected=found.limit(1), visited=["e:1"], searched_scopes=["a", ("b", "o")]).first()
+    assert len(full.candidate_ids) == 3 and set(full.selected_ids) < set(full.candidate_ids) and full.visited_terms == ["e:1"]
+    assert [tuple(s) for s in full.searched_scopes] == [("a", None), ("b", "o")]
+    many = traces.recall_trace(q, found, most_ids=2).first()
+    assert many.candidate_ids is None and len(many.warnings) == 1
+    listed = traces.trace_candidates(full.trace_id, found, found.limit(1)).collect()
+    assert len(listed) == 3 and sum(r.selected for r in listed) == 1 and not any(r.selected for r in traces.trace_candidates("t", found).collect())
     fewer = traces.recall_trace(q, found.limit(2)).first()
     none = traces.recall_trace(AssertionQuery(), found.limit(0)).first()
     assert len({one.candidate_fingerprint, fewer.candidate_fingerprint, none.candidate_fingerprint}) == 3
