@@ -1,20 +1,22 @@
 """Exact top-k search by distributed histogram selection.
 
-Queries and candidates are dealt to the cells of a grid, some hundred queries by some thousand candidates, and each
-cell scores its own by one matrix product. A round of selection histograms each query's scores over bins of the interval that is
-known to hold its kth score, adds the histograms of all cells, and goes on with the bin that holds it, until every interval
-is one value. A last round returns the scores that reach the kth, and ties go to the smaller id.
+Queries and candidates are dealt to the cells of a grid, some thousand queries by some thousand candidates, and each
+cell scores all its pairs by matrix products. A round of selection makes a histogram of all scores of each query over BINS bins of the
+interval that is known to hold its kth score; the histograms of all cells are added, and the query goes on with the bin that holds the kth
+score, until that bin is one value or has few scores more than are wanted. A last round returns the scores that reach the kth, ranks them, and
+gives ties to the smaller id.
 
-A cell need not tell more than its own k best of a query: bins where one cell alone reaches k lie at or above the kth score of
-all, and counts below cannot move it; among ties of a cell only the k of smallest id can be returned.
+A cell sends its histogram from the highest bin down to where it has k scores by itself: the kth score of all lies there or above, and
+counts below can't move it. Of the last round's scores a cell sends each query's k best at most.
 
 Scores are exact: products run in floating point where the sums of magnitudes stay within its integers, otherwise in 64-bit
-integers.
+integers, and pairs that may not fit these are computed one by one.
 
-Defined results: components count as floor(scale * x), saturated at 52 bits, and scores must fit 62 bits; of vectors of unequal
-length the missing components count as zero; vectors that are null or hold null or non-finite components, and rows with a null id,
-take no part; an id that is repeated is one query (its least vector) and as many candidates as rows, none of them for itself;
-with fewer candidates than k all are returned; empty tables give an empty table; other columns are left aside.
+Defined results: a component counts as floor(scale * x), where scale * x is the largest double if it is beyond; a score that no long can hold
+counts as the nearest long. Of vectors of unequal length the missing components count as zero; vectors that are null or hold null or
+non-finite components, and rows with a null id, take no part; an id that is repeated is one query (its least vector) and as many
+candidates as rows, none of them for itself; with fewer candidates than k all are returned; empty tables give an empty table; other
+columns, whatever their names, are left aside. Of long vectors a cell holds some thousand whole.
 """
 
 from __future__ import annotations
@@ -28,41 +30,47 @@ from pyspark.sql import functions as F
 
 from quillstone.plans.shared import checkpointed
 
-QUERIES, CANDIDATES = 1024, 8192
-BINS = 256
-FEWEST = -(2**62)
+QUERIES, CANDIDATES = 4096, 8192
+#: Queries of a cell that are scored at a time.
+STEP = 128
+BINS = 4096
+LONGS = np.iinfo(np.int64)
 KEPT = "query_id long, vec_id long, score long"
 
 
-def integers(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFrame:
-    """(id, v) of the rows that take part."""
-    most = float(2**52)
-
-    def bounded(x: Column) -> Column:
-        return F.greatest(F.lit(-most), F.least(F.lit(most), F.floor(F.lit(scale) * x).cast("double"))).cast("long")
-
+def scaled(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFrame:
+    """(id, v) of the rows that take part; v has scale * x, still to be rounded down."""
+    most = float(np.finfo(np.float64).max)
     usable = ~F.exists("x", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
-    return rows.where(F.col("id").isNotNull() & F.col("x").isNotNull() & usable).select("id", F.transform("x", bounded).alias("v"))
+    within = F.transform("x", lambda x: F.greatest(F.lit(-most), F.least(F.lit(most), F.lit(scale) * x)))
+    return rows.where(F.col("id").isNotNull() & F.col("x").isNotNull() & usable).select("id", within.alias("v"))
 
 
 def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    """Vectors as rows, with zeros behind the shorter ones."""
+    """Vectors as rows of whole numbers, with zeros behind the shorter ones."""
     lists = column.combine_chunks()
     sizes = lists.value_lengths().to_numpy()
-    out = np.zeros((len(lists), width), np.int64)
+    out = np.zeros((len(lists), width))
     out[np.arange(width) < sizes[:, None]] = lists.flatten().to_numpy()
-    return out
+    return np.floor(out)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of all rows, exact; float32, float64 or int64."""
+    """Inner products of all rows; float32 or float64 where these are exact, else int64."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
     if most < 2**24:
         return a.astype(np.float32) @ b.astype(np.float32).T
     if most < 2**53:
-        return a.astype(np.float64) @ b.astype(np.float64).T
-    return a @ b.T
+        return a @ b.T
+    fits = max(np.abs(a).max(), np.abs(b).max()) < 2**63
+    out = a.astype(np.int64) @ b.astype(np.int64).T if fits else np.zeros((len(a), len(b)), np.int64)
+    with np.errstate(all="ignore"):
+        doubtful = np.argwhere(~(np.abs(a) @ np.abs(b).T < 2**62) if fits else np.ones(out.shape, bool))
+    for i, j in doubtful.tolist():
+        exact = sum(int(x) * int(y) for x, y in zip(a[i], b[j]))
+        out[i, j] = min(max(exact, LONGS.min), LONGS.max)
+    return out
 
 
 def cells(queries: DataFrame, candidates: DataFrame, rows: int, columns: int) -> DataFrame:
@@ -75,53 +83,55 @@ def cells(queries: DataFrame, candidates: DataFrame, rows: int, columns: int) ->
     return left.unionByName(right)
 
 
-def in_cells(dealt: DataFrame, k: int, width: int, find: Callable, result: str) -> DataFrame:
-    """``find(ids, low, high, candidate ids, scores, which may count)`` for each cell."""
+def in_cells(dealt: DataFrame, width: int, find: Callable, result: str) -> DataFrame:
+    """``find(ids, low, high, candidate ids, scores, which count)`` for STEP queries of each cell at a time; a pair counts if its score is in
+    the query's interval and it is no row with itself."""
     kinds = [f.split() for f in result.split(", ")]
     types = {"long": pa.int64(), "int": pa.int32()}
 
     def run(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy()
         q, c = table.filter(pa.array(asks)), table.filter(pa.array(~asks))
+        found = [[np.zeros(0, np.int64)] for _ in kinds]
         if q.num_rows and c.num_rows:
-            scores = products(matrix(q.column("v"), width), matrix(c.column("v"), width))
+            asked, given = matrix(q.column("v"), width), matrix(c.column("v"), width)
             ids, others = q.column("id").to_numpy(), c.column("id").to_numpy()
+            low, high = q.column("low").to_numpy(), q.column("high").to_numpy()
             order = np.argsort(others, kind="stable")
             begin, end = np.searchsorted(others[order], ids), np.searchsorted(others[order], ids, side="right")
-            counts = np.ones(scores.shape, bool)
-            for i in np.flatnonzero(end > begin).tolist():
-                counts[i, order[begin[i] : end[i]]] = False
-            found = find(ids, q.column("low").to_numpy(), q.column("high").to_numpy(), others, scores, counts)
-        else:
-            found = [np.zeros(0, np.int64)] * len(kinds)
-        return pa.table({n: pa.array(f, types[t]) for (n, t), f in zip(kinds, found)})
+            for at in range(0, len(ids), STEP):
+                some = slice(at, at + STEP)
+                scores = products(asked[some], given).astype(np.int64)
+                counts = (scores >= low[some, None]) & (scores <= high[some, None])
+                for i in (np.flatnonzero(end[some] > begin[some]) + at).tolist():
+                    counts[i - at, order[begin[i] : end[i]]] = False
+                for column, part in zip(found, find(ids[some], low[some], high[some], others, scores, counts)):
+                    column.append(part)
+        return pa.table({n: pa.array(np.concatenate(f), types[t]) for (n, t), f in zip(kinds, found)})
 
     return dealt.groupBy("r", "c").applyInArrow(run, result)
 
 
 def histogram(k: int) -> Callable:
     def find(ids, low, high, others, scores, counts):  # noqa: ANN001
-        n = scores.shape[1]
-        lowest = np.iinfo(np.int64).min if scores.dtype == np.int64 else -np.inf
-        scores[~counts] = lowest
-        top = np.partition(scores, n - k, axis=1)[:, n - k :] if n > k else scores
-        use = top > lowest
-        top = np.where(use, top, 0).astype(np.int64)
-        use &= (top >= low[:, None]) & (top <= high[:, None])
-        step = (high - low + BINS) // BINS
-        at, place = np.nonzero(use)
-        bins = (top[at, place] - low[at]) // step[at]
-        pairs, n = np.unique(at * BINS + bins, return_counts=True)
-        return ids[pairs // BINS], pairs % BINS, n
+        # differences of 64-bit numbers, in 64 bits without a sign
+        width = high.view(np.uint64) - low.view(np.uint64)
+        step = width // np.uint64(BINS) + np.uint64(1)
+        at, place = np.nonzero(counts)
+        bins = (scores[at, place].view(np.uint64) - low.view(np.uint64)[at]) // step[at]
+        full = np.bincount(at * BINS + bins.astype(np.int64), minlength=len(ids) * BINS).reshape(-1, BINS)
+        above = full[:, ::-1].cumsum(1)[:, ::-1] - full
+        which, found = np.nonzero((full > 0) & (above < k))
+        return ids[which], found, full[which, found]
 
     return find
 
 
 def reaching(k: int) -> Callable:
     def find(ids, low, high, others, scores, counts):  # noqa: ANN001
-        at, place = np.nonzero((scores >= low[:, None]) & counts)
-        score, other = scores[at, place].astype(np.int64), others[place]
-        order = np.lexsort((other, -score, at))
+        at, place = np.nonzero(counts)
+        score, other = scores[at, place], others[place]
+        order = np.lexsort((other, ~score, at))
         at, score, other = at[order], score[order], other[order]
         rank = np.arange(len(at)) - np.searchsorted(at, at)
         keep = rank < k
@@ -133,32 +143,37 @@ def reaching(k: int) -> Callable:
 def search(vectors: DataFrame, asks: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: float = 64.0) -> DataFrame:
     """``query_id``, ``rank`` from 1, ``vec_id`` and ``score`` of the k best of all other rows for each row where ``asks`` holds, a
     condition on ``id``."""
-    rows = integers(vectors, key, vector, scale)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    rows = scaled(vectors, key, vector, scale)
+    # no score is farther from zero than the product of the lengths, each with one more for the rounding of every component
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (F.abs(x) + 1) * (F.abs(x) + 1)))
     n, asked, width, longest = rows.agg(F.count("*"), F.count_if(asks), F.max(F.size("v")), F.max(norm)).first()
     grid = max(1, -(-asked // QUERIES)), max(1, -(-n // CANDIDATES))
-    # no score is farther from zero than the product of the lengths
-    reach = F.least(F.ceil(norm * F.lit(float(longest or 0))) + 1, F.lit(2**61)).cast("long")
+    reach = norm * F.lit(float(longest or 0)) * 1.000001 + 1
+    bound = F.when(reach < 2.0**62, reach.cast("long")).otherwise(F.lit(LONGS.max))
     queries = rows.where(asks).groupBy("id").agg(F.min("v").alias("v"))
-    state = checkpointed(queries.select("id", "v", (-reach).alias("low"), reach.alias("high"), F.lit(0).cast("long").alias("above")))
-    step = F.expr(f"(high - low + {BINS}) div {BINS}")
-    while asked and state.where("low < high").limit(1).count():
-        counts = in_cells(cells(state, rows, *grid), k, width, histogram(k), "id long, bin long, n long").groupBy("id", "bin").agg(F.sum("n").alias("n"))
+    state = checkpointed(queries.select("id", "v", (-bound).alias("low"), bound.alias("high"), F.lit(0).cast("long").alias("above"), F.lit(LONGS.max).alias("inside")))
+    few = max(64, 4 * k)
+    going = (F.col("low") < F.col("high")) & (F.col("inside") > few)
+    while asked and state.where(going).limit(1).count():
+        counts = in_cells(cells(state.where(going), rows, *grid), width, histogram(k), "id long, bin long, n long").groupBy("id", "bin").agg(F.sum("n").alias("n"))
         higher = F.coalesce(F.sum("n").over(Window.partitionBy("id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         reached = counts.withColumn("higher", higher).join(state.select("id", "above"), "id").where(f"above + higher < {k} AND above + higher + n >= {k}")
-        chosen = reached.select("id", "bin", "higher")
-        joined = state.join(chosen, "id", "left").withColumn("step", step)
-        low = F.col("low") + F.col("bin") * F.col("step")
+        chosen = reached.select("id", "bin", "higher", "n")
+        wide = "decimal(38,0)"
+        step = F.floor((F.col("high").cast(wide) - F.col("low").cast(wide)) / BINS).cast(wide) + 1
+        low = F.col("low").cast(wide) + F.col("bin").cast(wide) * F.col("step")
+        joined = state.where(going).join(chosen, "id", "left").withColumn("step", step)
         # a query without a kth score takes all there are
-        state = checkpointed(
-            joined.select(
-                "id",
-                "v",
-                F.when(F.col("bin").isNull(), F.lit(FEWEST)).otherwise(low).alias("low"),
-                F.when(F.col("bin").isNull(), F.lit(FEWEST)).otherwise(F.least("high", low + F.col("step") - 1)).alias("high"),
-                (F.col("above") + F.coalesce("higher", F.lit(0))).alias("above"),
-            )
+        none = F.col("bin").isNull()
+        refined = joined.select(
+            "id",
+            "v",
+            F.when(none, F.lit(LONGS.min)).otherwise(low.cast("long")).alias("low"),
+            F.when(none, F.lit(LONGS.min)).otherwise(F.least(F.col("high").cast(wide), low + F.col("step") - 1).cast("long")).alias("high"),
+            (F.col("above") + F.coalesce("higher", F.lit(0))).alias("above"),
+            F.coalesce("n", F.lit(0)).alias("inside"),
         )
-    best = in_cells(cells(state, rows, *grid), k, width, reaching(k), KEPT)
+        state = checkpointed(refined.unionByName(state.where(~going)))
+    best = in_cells(cells(state.withColumn("high", F.lit(LONGS.max)), rows, *grid), width, reaching(k), KEPT)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
