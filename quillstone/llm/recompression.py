@@ -1,23 +1,29 @@
 """Substring deduplication by recompression.
 
 Rounds give names to runs of equal symbols and to pairs of neighbours, beginning with words. A name is a hash of what
-it stands for, so a run or pair has the same name in every document without a table of names. In a pairing round a
+it stands for, so a run or pair has the same name in every document of every task: naming is global without a table of names, which would
+cost a shuffle of all symbols in every round. In a pairing round a
 bit of each name says whether it may be the left or the right half of a pair; which symbols join depends on the
 neighbourhood alone, so equal passages are named alike but near their ends. Along with each symbol goes the interval of
-words that settled it. A symbol of ``phrase`` words or more is finished and is not joined further.
-
-1. A table of (symbol, document) over all documents says which symbols occur in more than one document.
-   A window whose words settle a symbol that no other document has, has no copy elsewhere, and is out.
-2. The windows that are left, among them those that settle no finished symbol, are verified: 96-bit hashes
-   of their words meet, each with the least document that has it.
+words that settled it. A symbol of ``phrase`` words or more is a phrase; further rounds name runs and pairs of phrases, up to sections of
+``section`` words or more.
+
+1. A first exchange tells for each symbol whether other documents have it, and whether an earlier one has.
+   A window whose words settle a phrase that no other document has, has no copy elsewhere, and is out. The windows inside a section that an
+   earlier document has begin there too, and are found: a high symbol reveals a long repeat at once. (Sections are compared by 96 bits
+   of hashes. The earliest holder of a window never has it found this way, so it still answers for it below.)
+2. The windows that are left, near the ends of repeats and in short ones, meet in a second exchange by 96-bit hashes
+   of their words, each with the least document that has it. Two different windows are taken for equal with a likelihood of 2**-96.
 3. Words of windows that begin in an earlier document too are removed.
 
 Documents travel in chunks of some megabytes. For each stretch of the hash space (bucket) a chunk sends its distinct hashes once,
 packed in one row with the least document of each, and gets two bits back for each; so a hash that
-very many documents have costs a bucket one entry for each chunk.
+very many documents have costs a bucket one entry for each chunk. There are as many buckets as keep a bucket's entries in a
+task's memory; from some terabytes on, when a chunk has few hashes for each, CHUNK_BYTES should grow with the root of the corpus.
 
 Defined results: rows with a null key are returned whole and give no copies to others; rows of equal key are the same
-document to each other; a null text has no words; an empty table gives an empty table; other columns are left aside.
+document to each other; a null text has no words; a very long text is a chunk of its own; an empty table gives an empty table; other
+columns, whatever their names, are left aside.
 """
 
 from __future__ import annotations
@@ -39,60 +45,90 @@ FEWEST_BUCKETS = 64
 FAR = 1 << 40
 NO_KEY = np.iinfo(np.int64).max
 
-#: Rounds of pairing; each shortens a sequence by a quarter at random bits.
+#: Rounds of pairing up to phrases, and from there to sections; each shortens a sequence by a quarter at random bits.
 ROUNDS = 6
+HIGH_ROUNDS = 10
+
 
+class Symbols:
+    """The symbols of a chunk in order: name, begin and end of their words, begin and end of the words that settle them, document."""
 
-def phrases(names: np.ndarray, firsts: np.ndarray, phrase: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Finished symbols of a chunk: name, begin and end of the words that settle it, document. ``firsts`` has the number of words before
-    each document, and of all."""
-    n = len(names)
-    document = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-    begin, end = np.arange(n), np.arange(1, n + 1)
-    low, high = begin.copy(), end.copy()
+    def __init__(self, names: np.ndarray, firsts: np.ndarray) -> None:
+        n = len(names)
+        self.names, self.document = names, np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+        self.begin, self.end = np.arange(n), np.arange(1, n + 1)
+        self.low, self.high = self.begin.copy(), self.end.copy()
 
-    def neighbours() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def neighbours(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Whether the next symbol is of the same document; how far the one before and the next reach."""
-        same = document[1:] == document[:-1]
-        before = np.full(len(names), -FAR)
-        before[1:][same] = low[:-1][same]
-        after = np.full(len(names), FAR)
-        after[:-1][same] = high[1:][same]
+        same = self.document[1:] == self.document[:-1]
+        before = np.full(len(self.names), -FAR)
+        before[1:][same] = self.low[:-1][same]
+        after = np.full(len(self.names), FAR)
+        after[:-1][same] = self.high[1:][same]
         return same, before, after
 
-    for turn in range(rounds):
-        if len(names) < 2:
-            break
-        if turn == 0:
-            same, before, after = neighbours()
-            first = np.flatnonzero(np.r_[True, ~same | (names[1:] != names[:-1])])
-            last = np.r_[first[1:], len(names)] - 1
-            sizes = last - first + 1
-            names = np.where(sizes > 1, mix(names[first] + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), names[first])
-            # that a run ends is settled by its neighbours
-            low, high = np.minimum(low[first], before[first]), np.maximum(high[last], after[last])
-            begin, end, document = begin[first], end[last], document[first]
-            if len(names) < 2:
-                break
-        same, before, after = neighbours()
-        done = end - begin >= phrase
+    def name_runs(self) -> None:
+        if len(self.names) < 2:
+            return
+        names = self.names
+        same, before, after = self.neighbours()
+        first = np.flatnonzero(np.r_[True, ~same | (names[1:] != names[:-1])])
+        last = np.r_[first[1:], len(names)] - 1
+        sizes = last - first + 1
+        self.names = np.where(sizes > 1, mix(names[first] + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), names[first])
+        # that a run ends is settled by its neighbours
+        self.low, self.high = np.minimum(self.low[first], before[first]), np.maximum(self.high[last], after[last])
+        self.begin, self.end, self.document = self.begin[first], self.end[last], self.document[first]
+
+    def name_pairs(self, turn: int, size: int) -> None:
+        """One round; symbols of ``size`` words or more join no further."""
+        if len(self.names) < 2:
+            return
+        names, low, high = self.names.copy(), self.low, self.high
+        same, before, after = self.neighbours()
+        done = self.end - self.begin >= size
         is_left = (mix(names + np.uint64(turn)) >> np.uint64(63)).astype(bool)
         joins = same & is_left[:-1] & ~is_left[1:] & ~done[:-1] & ~done[1:]
-        joined_left = np.r_[joins, False]
-        joined_right = np.r_[False, joins]
+        joined_left, joined_right = np.r_[joins, False], np.r_[False, joins]
         stays = ~done & ~joined_left & ~joined_right
         high = np.where(stays & is_left, np.maximum(high, after), high)
         low = np.where(stays & ~is_left, np.minimum(low, before), low)
         at = np.flatnonzero(joined_left)
-        names = names.copy()
         names[at] = mix(names[at] * np.uint64(0x9FB21C651E98DF25) + names[at + 1])
-        end[at] = end[at + 1]
+        self.end[at] = self.end[at + 1]
         low[at] = np.minimum(low[at], low[at + 1])
         high[at] = np.maximum(high[at], high[at + 1])
         keep = ~joined_right
-        names, begin, end, low, high, document = names[keep], begin[keep], end[keep], low[keep], high[keep], document[keep]
-    done = end - begin >= phrase
-    return names[done], low[done], high[done], document[done]
+        self.names, self.begin, self.end, self.low, self.high, self.document = (x[keep] for x in (names, self.begin, self.end, low, high, self.document))
+
+    def rise(self, size: int, turns: range) -> np.ndarray:
+        """Rounds of naming; which symbols then have ``size`` words or more."""
+        self.name_runs()
+        for turn in turns:
+            self.name_pairs(turn, size)
+        return self.end - self.begin >= size
+
+
+def phrases(symbols: Symbols, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Name, begin and end of the words that settle it, and document of each phrase."""
+    done = symbols.rise(phrase, range(ROUNDS))
+    return symbols.names[done], symbols.low[done], symbols.high[done], symbols.document[done]
+
+
+def sections(symbols: Symbols, section: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Name, begin, end and document of each section, from what ``phrases`` has left, and of each two symbols that follow each other, so
+    that windows across their border lie inside one too."""
+    done = np.flatnonzero(symbols.rise(section, range(ROUNDS, ROUNDS + HIGH_ROUNDS)))
+    names, document = symbols.names, symbols.document
+    left = np.flatnonzero(document[1:] == document[:-1])
+    pairs = mix(names[left] * np.uint64(0xC2B2AE3D27D4EB4F) + names[left + 1])
+    return (
+        np.concatenate([names[done], pairs]),
+        np.concatenate([symbols.begin[done], symbols.begin[left]]),
+        np.concatenate([symbols.end[done], symbols.end[left + 1]]),
+        np.concatenate([document[done], document[left]]),
+    )
 
 
 class Hashes:
@@ -137,7 +173,7 @@ class Hashes:
 class Chunk:
     """Documents of a chunk, their words and what is derived from them; the same each time it is made."""
 
-    def __init__(self, blob: bytes, window: int, phrase: int) -> None:
+    def __init__(self, blob: bytes, window: int, phrase: int, section: int) -> None:
         batch = pa.ipc.open_stream(blob).read_all().combine_chunks()
         keys = batch.column(0).combine_chunks()
         self.batch, self.window = batch, window
@@ -148,20 +184,37 @@ class Chunk:
         self.known = keys.is_valid().to_numpy(zero_copy_only=False)
         self.ids = keys.fill_null(NO_KEY).to_numpy()
         self.document = np.repeat(np.arange(len(self.ids)), np.diff(self.firsts))
-        names, low, high, owner = phrases(self.words, self.firsts, phrase)
+        symbols = Symbols(self.words, self.firsts)
+        names, low, high, owner = phrases(symbols, phrase)
         use = self.known[owner]
         names, self.low, self.high, self.owner = names[use], low[use], high[use], owner[use]
+        high_names, begin, end, owner = sections(symbols, section)
+        use = self.known[owner] & (end - begin >= window)
+        high_names, self.begin, self.end, self.holder = high_names[use], begin[use], end[use], owner[use]
         self.whole = np.flatnonzero(self.known & (np.diff(self.firsts) >= window))
         whole = mix(span_hashes(self.words, self.firsts[self.whole], self.firsts[self.whole + 1]) + np.uint64(1))
-        hashes = np.concatenate([names, whole])
-        self.first = Hashes(hashes, np.zeros(len(hashes), np.uint32), self.ids[np.concatenate([self.owner, self.whole])])
+        hashes = np.concatenate([names, high_names, whole])
+        other = mix(self.words + np.uint64(7))
+        wide = np.concatenate(
+            [
+                np.zeros(len(names), np.uint64),
+                *(span_hashes(other, b, e) >> np.uint64(32) for b, e in ((self.begin, self.end), (self.firsts[self.whole], self.firsts[self.whole + 1]))),
+            ]
+        )
+        self.first = Hashes(hashes, wide.astype(np.uint32), self.ids[np.concatenate([self.owner, self.holder, self.whole])])
 
     def verify(self, answers: list[dict], buckets: int) -> None:
         """From the first answers: which documents are whole copies, and the windows that need an answer."""
         shared = self.first.several | self.first.bits(answers, buckets, "shared")
         earlier = self.first.bits(answers, buckets, "earlier")
-        n = len(self.owner)
-        of = self.first.of[n:]
+        n, m = len(self.owner), len(self.holder)
+        of = self.first.of[n : n + m]
+        repeats = earlier[of] | (self.first.least[of] < self.ids[self.holder])
+        change = np.zeros(len(self.words) + 1, np.int32)
+        np.add.at(change, self.begin[repeats], 1)
+        np.add.at(change, self.end[repeats] - self.window + 1, -1)
+        self.found = np.cumsum(change)[:-1] > 0  # windows inside a section that an earlier document has
+        of = self.first.of[n + m :]
         self.copied = np.zeros(len(self.ids), bool)
         self.copied[self.whole] = earlier[of] | (self.first.least[of] < self.ids[self.whole])
         alone = ~shared[self.first.of[:n]]
@@ -176,7 +229,7 @@ class Chunk:
         total = max(0, len(self.words) - self.window + 1)
         starts = np.arange(total)
         fits = self.document[starts] == self.document[starts + self.window - 1]
-        self.starts = np.flatnonzero(fits & ~out[:total] & (self.known & ~self.copied)[self.document[:total]])
+        self.starts = np.flatnonzero(fits & ~out[:total] & ~self.found[:total] & (self.known & ~self.copied)[self.document[:total]])
         names = run_hashes(self.words, self.window, 0xA24BAED4963EE407)[self.starts]
         wide = run_hashes(mix(self.words + np.uint64(7)), self.window, 0x9FB21C651E98DF25)[self.starts]
         self.second = Hashes(names, (wide >> np.uint64(32)).astype(np.uint32), self.ids[self.document[self.starts]])
@@ -185,9 +238,10 @@ class Chunk:
         """From the second answers: whether each word goes."""
         earlier = self.second.bits(answers, buckets, "earlier")[self.second.of]
         earlier |= self.second.least[self.second.of] < self.ids[self.document[self.starts]]
+        gone = np.concatenate([self.starts[earlier], np.flatnonzero(self.found)])
         change = np.zeros(len(self.words) + 1, np.int32)
-        np.add.at(change, self.starts[earlier], 1)
-        np.add.at(change, self.starts[earlier] + self.window, -1)
+        np.add.at(change, gone, 1)
+        np.add.at(change, gone + self.window, -1)
         return (np.cumsum(change)[:-1] > 0) | self.copied[self.document]
 
 
@@ -261,7 +315,7 @@ def answers(entries: DataFrame, step: int) -> DataFrame:
     return entries.groupBy("bucket").applyInArrow(meet, ANSWER)
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13, phrase: int = 4) -> DataFrame:
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13, phrase: int = 4, section: int = 26) -> DataFrame:
     """``key``, ``n_words``, ``n_removed`` and ``kept`` (the words that stay, joined by one space) of each row."""
     packed = checkpointed(chunks(docs, key, text))
     buckets = max(FEWEST_BUCKETS, (packed.agg(F.sum("words")).first()[0] or 0) // BUCKET_WORDS)
@@ -269,18 +323,18 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     def first(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for number, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield from as_batch(Chunk(blob.as_py(), window, phrase).first.rows(buckets), number).to_batches()
+                yield from as_batch(Chunk(blob.as_py(), window, phrase, section).first.rows(buckets), number).to_batches()
 
     def second(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return as_batch([], 0)
-        chunk = Chunk(left.column("blob")[0].as_py(), window, phrase)
+        chunk = Chunk(left.column("blob")[0].as_py(), window, phrase, section)
         chunk.verify(right.to_pylist(), buckets)
         return as_batch(chunk.second.rows(buckets), left.column("chunk")[0].as_py())
 
     def last(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = right.to_pylist()
-        chunk = Chunk(left.column("blob")[0].as_py(), window, phrase)
+        chunk = Chunk(left.column("blob")[0].as_py(), window, phrase, section)
         chunk.verify([r for r in rows if r["step"] == 1], buckets)
         gone = chunk.removed([r for r in rows if r["step"] == 2], buckets)
         kept = []
