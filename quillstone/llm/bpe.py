@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.words import slices
 
 #: Bytes of text in a block, the unit of a replay; a longer text is a block of its own.
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 2_000_000
 #: Characters of distinct pieces that an encoder remembers from block to block.
 REMEMBERED = 4_000_000
 

@@ -4,16 +4,17 @@ A seed is a fixed mask over consecutive words that ignores some positions; its h
 of all benchmark items meet those of all documents by hash; each hit gives a document, an item and an offset between them. At
 that offset words are compared one by one: an item leaks into a document if within some ``window`` consecutive
 aligned words four of five are equal, whichever of them were replaced. Two masks of six words hit every such window of
-13 words; items of 5 to 12 words are compared whole and have masks of three words.
+13 words; items of 5 to 12 words are compared whole and have masks of three words. An item of one to four words tells nothing inside a
+text; it leaks into a document that consists of just these words, and its only seed is the whole item.
 
 Words are compared in lower case and without ASCII punctuation.
 
 The benchmark's seeds are broadcast if they are ``broadcast_seeds`` at most, counted first. Beyond that the seeds of both
 sides are tables that are joined by hash, and the hits are joined to the texts.
 
-Defined results: items of fewer than five words are too short to tell and never leak; null texts have no words; null and
-repeated keys are allowed, rows with equal key and text are reported once; an empty table gives an empty table; other columns are left
-aside.
+Defined results: items without words never leak; null texts have no words; null and
+repeated keys are allowed, rows with equal key and text are reported once; an empty table gives an empty table; other columns, whatever
+their names, are left aside; very long texts are searched whole.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.words import find_words, mix, slices, text_bytes, word_hashes
+from quillstone.llm.words import find_words, mix, slices, span_hashes, text_bytes, word_hashes
+from quillstone.plans.shared import checkpointed
 
 WINDOW = 13
 LEAST_WORDS = 5
@@ -34,6 +36,11 @@ LEAST_WORDS = 5
 LONG_MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 SHORT_MASKS = ((0, 1, 2), (0, 1, 3))
 MASKS = LONG_MASKS + SHORT_MASKS
+#: In the place of a mask: the whole of a text of fewer than LEAST_WORDS words.
+WHOLE = len(MASKS)
+KINDS = range(WHOLE + 1)
+#: Leaking texts (a number each) that are broadcast at most.
+BROADCAST = 1_000_000
 
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
@@ -57,7 +64,11 @@ def normal_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def seeds(words: np.ndarray, firsts: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the seeds of mask ``number`` and where each begins; a seed lies within one text."""
+    """Hashes of the seeds of mask ``number``, or of whole short texts, and where each begins; a seed lies within one text."""
+    if number == WHOLE:
+        sizes = np.diff(firsts)
+        short = np.flatnonzero((sizes > 0) & (sizes < LEAST_WORDS))
+        return span_hashes(words, firsts[short], firsts[short + 1]), firsts[short]
     mask = MASKS[number]
     n = len(words) - mask[-1]
     if n <= 0:
@@ -73,12 +84,14 @@ def seeds(words: np.ndarray, firsts: np.ndarray, number: int) -> tuple[np.ndarra
 
 def masks_for(n_words: int) -> range:
     if n_words < LEAST_WORDS:
-        return range(0)
+        return range(WHOLE, WHOLE + (n_words > 0))
     return range(len(LONG_MASKS)) if n_words >= WINDOW else range(len(LONG_MASKS), len(MASKS))
 
 
 def compare(document: np.ndarray, item: np.ndarray, offset: int) -> tuple[int, int] | None:
     """Equal and aligned words if the item's word q, at the document's word q + offset, leaks."""
+    if len(item) < LEAST_WORDS:
+        return (len(item), len(item)) if np.array_equal(document, item) else None
     begin, end = max(0, -offset), min(len(item), len(document) - offset)
     window = min(WINDOW, len(item))
     if end - begin < window:
@@ -103,7 +116,7 @@ class Benchmark:
                 hashes, at = seeds(own, np.array([0, len(own)]), mask)
                 rows += [(mask, h, n, a) for h, a in zip(hashes.tolist(), at.tolist())]
         self.by_mask = {}
-        for mask in range(len(MASKS)):
+        for mask in KINDS:
             mine = sorted(r[1:] for r in rows if r[0] == mask)
             if mine:
                 hashes = np.array([r[0] for r in mine], np.uint64)
@@ -170,7 +183,7 @@ def seed_table(texts: DataFrame, item: bool) -> DataFrame:
                 words, firsts = normal_words(part.column(2))
                 sizes = np.diff(firsts)
                 text = np.repeat(np.arange(len(sizes)), sizes)
-                for mask in range(len(MASKS)):
+                for mask in KINDS:
                     hashes, at = seeds(words, firsts, mask)
                     if item:
                         use = np.array([mask in masks_for(int(n)) for n in sizes], bool)[text[at]]
@@ -230,5 +243,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     """The rows of ``docs`` into whose key no item leaks; rows with a null key stay if their text is no leak."""
     marked = docs.withColumn("__print", F.xxhash64(F.col(text).cast("string")))
     rows = marked.select(F.col("__print").alias("key"), F.col(text).alias("text"))
-    found = leaks(rows, benchmark, "key", "text", **options).select(F.col("key").alias("__print")).distinct()
-    return marked.join(found, "__print", "left_anti").drop("__print")
+    found = checkpointed(leaks(rows, benchmark, "key", "text", **options).select(F.col("key").alias("__print")).distinct())
+    return marked.join(F.broadcast(found) if found.count() <= BROADCAST else found, "__print", "left_anti").drop("__print")

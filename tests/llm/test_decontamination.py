@@ -20,6 +20,8 @@ def brute(rows, items):
     for (key, text), (item, item_text) in itertools.product(set(rows), items):
         a, b = words_of(text), words_of(item_text)
         if len(b) < 5:
+            if b and a == b:
+                out.add((key, item, len(b), len(b), len(b)))
             continue
         window, best = min(13, len(b)), (0, 0)
         for offset in range(-len(b), len(a) + 1):
@@ -35,8 +37,9 @@ def corpus():
     rng = random.Random(8)
     vocabulary = [f"{a}{b}" for a in "abcdefgh" for b in "xyz"]
     items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate([4, 5, 6, 9, 12, 13, 14, 20, 40, 60])]
-    items += [(90, ""), (91, None), (92, "...")]
+    items += [(90, ""), (91, None), (92, "..."), (93, "Two words"), (94, "one")]
     rows = [(None, items[8][1]), (500, None), (501, ""), (502, items[9][1].upper().replace(" ", "!!! ") + "###")]
+    rows += [(510, "two words!"), (511, "two words more"), (512, "ONE"), (513, "one one"), (514, items[0][1]), (515, " ".join(rng.choices(vocabulary, k=50_000)) + " " + items[9][1])]
     for key in range(60):
         words = rng.choices(vocabulary, k=rng.randint(0, 60))
         _, text = rng.choice(items[:10])
