@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,8 @@ from quillstone.plans import extensions, traces
 from quillstone.plans.shared import shared_folder
 from quillstone.plans.store import AssertionStore
 from quillstone.sources import fixtures, frames
+from quillstone.sources.conventions import record
+from quillstone.sources.records import Assertion
 from quillstone.streaming import append
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -609,6 +611,81 @@ def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "scope", "predicate", "n_rows")
 
 
+_ASKED = [
+    {"subject": "  Ebenezer ", "predicate": "IS_A\t", "object": " ", "scope": " SESSION", "order": " ASC"},
+    {"owner_id": "  O1 ", "since": " ", "until": " 2026 ", "active_at": "\u2003", "order": "sideways", "limit": -5},
+    {"query_text": " Winter ", "vector_column": " ", "min_score": "0.5", "limit": 7},
+    {"query_text": "  ", "min_score": "high", "limit": "5", "vector_column": " emb "},
+    {"query_vector": [0.5], "min_score": float("nan"), "limit": 0},
+]
+
+
+@_register(
+    """SELECT * FROM (VALUES (0, 'ebenezer', 'is_a', NULL, 'session', NULL, NULL, NULL, NULL, NULL, 'vector', NULL::DOUBLE, 'asc', 100, false),
+        (1, NULL, NULL, NULL, NULL, 'O1', NULL, '2026', NULL, NULL, 'vector', NULL, 'desc', NULL, false),
+        (2, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'Winter', 'vector', 0.5, 'desc', 7, true),
+        (3, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'emb', NULL, 'desc', 100, false),
+        (4, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'vector', NULL, 'desc', NULL, true))
+        AS q(n, subject, predicate, object, scope, owner_id, since, until, active_at, query_text, vector_column, min_score, direction, n_rows, semantic)"""
+)
+def normalized_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of blank, padded, mixed-case and unusable parts of a question."""
+    names = ("subject", "predicate", "object", "scope", "owner_id", "since", "until", "active_at", "query_text", "vector_column", "min_score", "order")
+    asked = [AssertionQuery(**given) for given in _ASKED]
+    rows = [(n, *(getattr(q, c) for c in names), q.rows, q.semantic) for n, q in enumerate(asked)]
+    kinds = ", ".join(f"`{c}` {'double' if c == 'min_score' else 'string'}" for c in names)
+    return spark.createDataFrame(rows, f"n int, {kinds}, n_rows int, semantic boolean").withColumnRenamed("order", "direction")
+
+
+class _LetterCounts:
+    """Vectors of a text's length and number of letters e, for the queries' own use."""
+
+    def embed_texts(self, texts: Sequence[str]) -> list[list[float]]:
+        return [[float(len(t)), float(t.count("e"))] for t in texts]
+
+
+@_register(
+    f"""WITH texts AS ({_TEXT_SQL}) SELECT 'doc:' || ingest_seq AS subject, length(text)::DOUBLE AS n_chars, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS n_e FROM texts"""
+)
+def embedded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that executors embed as they are written."""
+    store = AssertionStore(spark, f"{shared_folder(spark)}/{uuid.uuid4()}", profile="vector")
+    store.add_frame(fixtures.texts(spark, sf_dir), _LetterCounts)
+    vector = F.col("vector")
+    return store.frame().select("subject", vector[0].alias("n_chars"), vector[1].alias("n_e"))
+
+
+@_register(_events_sql(f"WHERE predicate = 'purchase' AND scope = 'session' AND observed_at >= '{_SINCE}' AND {_ACTIVE.format(_AT)}", _STORED_ROW))
+def volatile_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same question, asked of rows that the session holds."""
+    store = AssertionStore(spark)
+    store.add_frame(fixtures.given_events(spark, sf_dir))
+    q = AssertionQuery(predicate="purchase", scope="session", since=_SINCE, active_at=_AT, limit=0)
+    return store.query_frame(q).select(*_STORED_COLUMNS)
+
+
+@_register("SELECT 0::BIGINT AS n_before, 1::BIGINT AS n_after, 's' AS subject")
+def store_before_first_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset that has not been written yet is empty, and then has what is added."""
+    store = AssertionStore(spark, f"{shared_folder(spark)}/{uuid.uuid4()}", profile="structured")
+    before = store.query_frame(AssertionQuery()).count()
+    store.add([Assertion(" S ", "p", "o")])
+    rows = store.query_frame(AssertionQuery())
+    return rows.groupBy("subject").agg(F.count("*").alias("n_after")).withColumn("n_before", F.lit(before).cast("long"))
+
+
+@_register(
+    """SELECT 'nation:' || n_nationkey AS subject, predicate, CASE predicate WHEN 'rdf:type' THEN 'schema:thing' WHEN 'skos:preflabel' THEN lower(n_name) ELSE 'region:' || n_regionkey END AS object
+        FROM nation, (VALUES ('rdf:type'), ('skos:preflabel'), ('schema:sameas')) AS p(predicate)"""
+)
+def record_conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as records of a kind, written through a store."""
+    store = AssertionStore(spark)
+    nations = fixtures.table(spark, sf_dir, "nation").collect()  # a table of fixed size
+    store.add(a for n in nations for a in record("entity", f"nation:{n.n_nationkey}", {"skos:prefLabel": n.n_name, "schema:sameAs": f"region:{n.n_regionkey}"}))
+    return store.frame().select("subject", "predicate", "object")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
