@@ -75,3 +75,15 @@ def test_tables_of_edits_and_odd_rows(spark, library):
     want = [(1, size("some text"), 2, size("other text!"))] * 2 + [(2, 0, 1, size("new one")), (3, size("kept"), 1, size("kept")), (None, size("x"), 0, size("x"))]
     assert sorted((tuple(r)[:4] for r in got), key=repr) == sorted(want, key=repr)
     assert counting.count(counting.with_edits(docs.limit(0), edits), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_long_runs(spark):
+    """A megabyte without a boundary, edited in its middle; time must not grow with its square."""
+    run = "a" * 1_000_000
+    docs = spark.createDataFrame([(1, run), (2, "=" * 300_000)], "doc_id long, text string")
+    edits = spark.createDataFrame([(1, 1, 500_000, 3, " "), (2, 1, 7, 1, "b")], "doc_id long, seq int, at int, removed int, inserted string")
+    got = {r.doc_id: r for r in counting.count(counting.with_edits(docs, edits), PATH, public_tokenizers.PATTERN, cut_at_spaces=True).collect()}
+    encoder = bpe.Encoder(open(PATH, "rb").read(), public_tokenizers.PATTERN)
+    assert (got[1].n_tokens, got[2].n_tokens) == (250_000, len(encoder.encode_block(["=" * 300_000])[0]))
+    after = ["a" * 500_000 + " " + "a" * 499_997, "=" * 7 + "b" + "=" * 299_992]
+    assert [got[1].n_tokens_after, got[2].n_tokens_after] == [len(i) for i in encoder.encode_block(after)]

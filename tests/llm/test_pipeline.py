@@ -49,3 +49,16 @@ def test_stages_keep_the_columns_and_bear_odd_rows(spark):
                 assert done.columns == docs.columns
     assert {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, SF).collect()} == {1, 2}
     assert corpus_pipeline.new_lines(spark, docs, SF).count() == 5
+
+
+def test_stages_keep_columns_of_clashing_names_and_long_texts(spark):
+    plain = " ".join(f"Some words of text number {i} are plain enough to read." for i in range(20_000))
+    names = ["score", "n_lines", "n_removed", "bits", "who", "least", "text_hash", "held_out"]
+    rows = [(n, text, "en", "s", len(text or ""), *(f"{c}{n}" for c in names)) for n, text in enumerate([plain, "A plain text of some words.\nWith two lines in it.", None, ""])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        done = stage(spark, docs, SF)
+        assert done.columns == docs.columns, name
+        assert all(r[c] == f"{c}{r.doc_id}" for r in done.collect() for c in names), name
+    got = {r.doc_id: r for r in corpus_pipeline.encoded(spark, docs, SF).collect()}
+    assert got[0].decoded_sha256 == hashlib.sha256(plain.encode()).hexdigest() and got[2].n_tokens == got[3].n_tokens == 0

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -79,5 +80,26 @@ def test_split_shards_find_the_same(spark, monkeypatch, frontier):
         assert {frozenset(g) for g in groups.values()} | alone == want
 
 
+def test_very_long_texts(spark):
+    rng = random.Random(6)
+    long = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "x" * 5000], k=60_000)) for _ in range(2)]
+    rows = [(1, long[0]), (2, long[0].upper()), (3, long[1]), (4, "word" * 300_000)]
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k][0] == f"{brute_print(t):016x}" for k, t in rows)
+    assert got[2][1] == 1 and got[4][1] == 4
+
+
+@pytest.mark.parametrize("together", [1, 50, 100_000])
+def test_shards_walked_some_at_a_time(spark, monkeypatch, together):
+    """However many rows are walked together, each shard is walked whole."""
+    monkeypatch.setattr(simhash, "TOGETHER", together)
+    rng = np.random.default_rng(7)
+    rows = [(int(s), int(i)) for i, s in enumerate(rng.integers(0, 9, 300))]
+    seen = simhash.by_shard(spark.createDataFrame(rows, "shard long, id long").repartition(3), lambda shard, own: pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.bincount(shard)[shard])], ["a", "b"]))
+    sizes = np.bincount([s for s, _ in rows])
+    got = [tuple(r) for r in seen.collect()]
+    assert len(got) == 300 and all(sizes[a] == b for a, b in got)
+
+
 def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
