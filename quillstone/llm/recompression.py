@@ -42,7 +42,7 @@ from quillstone.llm.words import find_words, mix, run_hashes, span_hashes, text_
 CHUNK_BYTES = 4_000_000
 BUCKET_WORDS = 4_000_000
 FEWEST_BUCKETS = 64
-FAR = 1 << 40
+FAR = 1 << 30
 NO_KEY = np.iinfo(np.int64).max
 
 #: Rounds of pairing up to phrases, and from there to sections; each shortens a sequence by a quarter at random bits.
@@ -55,16 +55,16 @@ class Symbols:
 
     def __init__(self, names: np.ndarray, firsts: np.ndarray) -> None:
         n = len(names)
-        self.names, self.document = names, np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-        self.begin, self.end = np.arange(n), np.arange(1, n + 1)
+        self.names, self.document = names, np.repeat(np.arange(len(firsts) - 1, dtype=np.int32), np.diff(firsts))
+        self.begin, self.end = np.arange(n, dtype=np.int32), np.arange(1, n + 1, dtype=np.int32)
         self.low, self.high = self.begin.copy(), self.end.copy()
 
     def neighbours(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Whether the next symbol is of the same document; how far the one before and the next reach."""
         same = self.document[1:] == self.document[:-1]
-        before = np.full(len(self.names), -FAR)
+        before = np.full(len(self.names), -FAR, np.int32)
         before[1:][same] = self.low[:-1][same]
-        after = np.full(len(self.names), FAR)
+        after = np.full(len(self.names), FAR, np.int32)
         after[:-1][same] = self.high[1:][same]
         return same, before, after
 
@@ -135,15 +135,27 @@ class Hashes:
     """Distinct hashes of a chunk in rising order, each with the least of its keys. ``of`` maps what was given to them."""
 
     def __init__(self, hashes: np.ndarray, wide: np.ndarray, keys: np.ndarray) -> None:
-        order = np.lexsort((keys, wide, hashes))
-        hashes, wide, keys = hashes[order], wide[order], keys[order]
-        new = np.r_[True, (hashes[1:] != hashes[:-1]) | (wide[1:] != wide[:-1])][: len(hashes)]
+        order = np.argsort(hashes, kind="stable")
+        new = self.changes(hashes[order], wide[order])
+        if new is None:  # equal hashes of unequal things: all must be sorted by both numbers
+            order = np.lexsort((wide, hashes))
+            new = np.r_[True, (hashes[order][1:] != hashes[order][:-1]) | (wide[order][1:] != wide[order][:-1])][: len(order)]
         number = np.cumsum(new) - 1
         self.of = np.empty(len(order), np.int64)
         self.of[order] = number
-        self.hashes, self.wide, self.least = hashes[new], wide[new], keys[new]
-        self.several = np.zeros(len(self.hashes), bool)
-        self.several[number] |= keys != self.least[number]
+        first = order[new]
+        self.hashes, self.wide = hashes[first], wide[first]
+        starts = np.flatnonzero(new)
+        sorted_keys = keys[order]
+        self.least = np.minimum.reduceat(sorted_keys, starts) if len(starts) else sorted_keys
+        most = np.maximum.reduceat(sorted_keys, starts) if len(starts) else sorted_keys
+        self.several = most != self.least
+
+    @staticmethod
+    def changes(hashes: np.ndarray, wide: np.ndarray) -> np.ndarray | None:
+        """Where sorted hashes change; None if their second numbers change elsewhere."""
+        new = np.r_[True, hashes[1:] != hashes[:-1]][: len(hashes)]
+        return None if (~new[1:] & (wide[1:] != wide[:-1])).any() else new
 
     def cuts(self, buckets: int) -> np.ndarray:
         """Where each bucket begins, and the end."""
@@ -315,7 +327,7 @@ def answers(entries: DataFrame, step: int) -> DataFrame:
     return entries.groupBy("bucket").applyInArrow(meet, ANSWER)
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13, phrase: int = 4, section: int = 26) -> DataFrame:
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13, phrase: int = 4, section: int = 48) -> DataFrame:
     """``key``, ``n_words``, ``n_removed`` and ``kept`` (the words that stay, joined by one space) of each row."""
     packed = checkpointed(chunks(docs, key, text))
     buckets = max(FEWEST_BUCKETS, (packed.agg(F.sum("words")).first()[0] or 0) // BUCKET_WORDS)

@@ -12,8 +12,10 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = np.random.default_rng(20).integers(0, 2**64, 256, np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-#: Powers are kept up to so many; longer texts make their own.
+#: Powers are kept up to so many; longer stretches make their own.
 KEPT_POWERS = 1_100_000
+#: Bytes whose words are hashed together.
+STRETCH = 250_000
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -72,7 +74,15 @@ def span_hashes(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.
 
 
 def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(_BYTE[data], begins, ends)
+    """Hashes of words in rising order, by stretches of some bytes, or one longer word, whose powers are at hand."""
+    out = np.empty(len(begins), np.uint64)
+    at = 0
+    while at < len(begins):
+        start = begins[at]
+        stop = max(at + 1, int(np.searchsorted(ends, start + STRETCH, side="right")))
+        out[at:stop] = span_hashes(_BYTE[data[start : ends[stop - 1]]], begins[at:stop] - start, ends[at:stop] - start)
+        at = stop
+    return out
 
 
 def run_hashes(words: np.ndarray, n: int, base: int) -> np.ndarray:
