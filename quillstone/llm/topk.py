@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.plans.shared import checkpointed
+from quillstone.plans.shared import forget, written
 
 QUERIES, CANDIDATES = 4096, 8192
 #: Queries of a cell that are scored at a time.
 STEP = 128
-BINS = 4096
+BIN_DIGITS = 12
+BINS = 1 << BIN_DIGITS
 LONGS = np.iinfo(np.int64)
 KEPT = "query_id long, vec_id long, score long"
 
@@ -112,14 +113,26 @@ def in_cells(dealt: DataFrame, width: int, find: Callable, result: str) -> DataF
     return dealt.groupBy("r", "c").applyInArrow(run, result)
 
 
+def bits_of(width: np.ndarray) -> np.ndarray:
+    """Binary digits of numbers without a sign."""
+    out = np.zeros(len(width), np.uint64)
+    for digits in range(64):
+        out += (width >> np.uint64(digits)) > 0
+    return out
+
+
 def histogram(k: int) -> Callable:
+    """Bins are 2**n values wide, the fewest that let BINS of them hold the interval."""
+
     def find(ids, low, high, others, scores, counts):  # noqa: ANN001
         # differences of 64-bit numbers, in 64 bits without a sign
-        width = high.view(np.uint64) - low.view(np.uint64)
-        step = width // np.uint64(BINS) + np.uint64(1)
-        at, place = np.nonzero(counts)
-        bins = (scores[at, place].view(np.uint64) - low.view(np.uint64)[at]) // step[at]
-        full = np.bincount(at * BINS + bins.astype(np.int64), minlength=len(ids) * BINS).reshape(-1, BINS)
+        begin = low.view(np.uint64)
+        digits = bits_of(high.view(np.uint64) - begin)
+        shift = np.where(digits > BIN_DIGITS, digits - np.uint64(BIN_DIGITS), np.uint64(0))
+        bins = (scores.view(np.uint64) - begin[:, None]) >> shift[:, None]
+        bins += (np.arange(len(ids), dtype=np.uint64) * np.uint64(BINS))[:, None]
+        bins[~counts] = len(ids) * BINS
+        full = np.bincount(bins.view(np.int64).ravel(), minlength=len(ids) * BINS + 1)[:-1].reshape(-1, BINS)
         above = full[:, ::-1].cumsum(1)[:, ::-1] - full
         which, found = np.nonzero((full > 0) & (above < k))
         return ids[which], found, full[which, found]
@@ -151,7 +164,7 @@ def search(vectors: DataFrame, asks: Column, k: int = 20, key: str = "vec_id", v
     reach = norm * F.lit(float(longest or 0)) * 1.000001 + 1
     bound = F.when(reach < 2.0**62, reach.cast("long")).otherwise(F.lit(LONGS.max))
     queries = rows.where(asks).groupBy("id").agg(F.min("v").alias("v"))
-    state = checkpointed(queries.select("id", "v", (-bound).alias("low"), bound.alias("high"), F.lit(0).cast("long").alias("above"), F.lit(LONGS.max).alias("inside")))
+    state, path = written(queries.select("id", "v", (-bound).alias("low"), bound.alias("high"), F.lit(0).cast("long").alias("above"), F.lit(LONGS.max).alias("inside")))
     few = max(64, 4 * k)
     going = (F.col("low") < F.col("high")) & (F.col("inside") > few)
     while asked and state.where(going).limit(1).count():
@@ -160,8 +173,9 @@ def search(vectors: DataFrame, asks: Column, k: int = 20, key: str = "vec_id", v
         reached = counts.withColumn("higher", higher).join(state.select("id", "above"), "id").where(f"above + higher < {k} AND above + higher + n >= {k}")
         chosen = reached.select("id", "bin", "higher", "n")
         wide = "decimal(38,0)"
-        step = F.floor((F.col("high").cast(wide) - F.col("low").cast(wide)) / BINS).cast(wide) + 1
-        low = F.col("low").cast(wide) + F.col("bin").cast(wide) * F.col("step")
+        digits = F.coalesce(F.length(F.bin(F.try_subtract("high", "low"))), F.lit(64))
+        step = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(digits - BIN_DIGITS, F.lit(0)))
+        low = F.col("low").cast(wide) + F.col("bin").cast(wide) * F.col("step").cast(wide)
         joined = state.where(going).join(chosen, "id", "left").withColumn("step", step)
         # a query without a kth score takes all there are
         none = F.col("bin").isNull()
@@ -173,7 +187,10 @@ def search(vectors: DataFrame, asks: Column, k: int = 20, key: str = "vec_id", v
             (F.col("above") + F.coalesce("higher", F.lit(0))).alias("above"),
             F.coalesce("n", F.lit(0)).alias("inside"),
         )
-        state = checkpointed(refined.unionByName(state.where(~going)))
+        # a table, as a checkpoint would hand on the constraints of its plan, which grow from round to round
+        old = path
+        state, path = written(refined.unionByName(state.where(~going)))
+        forget(state.sparkSession, old)
     best = in_cells(cells(state.withColumn("high", F.lit(LONGS.max)), rows, *grid), width, reaching(k), KEPT)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -41,10 +41,11 @@ def test_search_matches_sorting(spark, monkeypatch, size, k):
     assert sorted(map(tuple, got)) == brute(rows, k)
 
 
-@pytest.mark.parametrize("bins", [4, 4096])
-def test_every_round_narrows(spark, monkeypatch, bins):
+@pytest.mark.parametrize("digits", [1, 2, 12])
+def test_every_round_narrows(spark, monkeypatch, digits):
     """With few bins there are many rounds; more equal scores than are wanted must not stop them."""
-    monkeypatch.setattr(topk, "BINS", bins)
+    monkeypatch.setattr(topk, "BIN_DIGITS", digits)
+    monkeypatch.setattr(topk, "BINS", 1 << digits)
     monkeypatch.setattr(topk, "CANDIDATES", 100)
     rng = random.Random(3)
     rows = [(i, [float(rng.choice([1, 2, 3])), float(rng.randint(0, 5))]) for i in range(500)]
