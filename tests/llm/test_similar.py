@@ -6,6 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from quillstone.llm import similar, simhash
 
@@ -80,11 +81,16 @@ def test_groups_match_brute_force(spark):
     assert lost <= 0.02 * total
 
 
-def test_sets_and_fingerprints_do_not_depend_on_other_texts():
+@pytest.mark.parametrize("chunk", [similar.CHUNK, 7])
+def test_sets_and_fingerprints_do_not_depend_on_other_texts(monkeypatch, chunk):
+    monkeypatch.setattr(similar, "CHUNK", chunk)
     texts = copies(5)[:40]
     found, starts = similar.shingle_sets(pa.array(texts, pa.string()), 5)
     assert [int(n) for n in np.diff(starts)] == [len(shingles(t)) for t in texts]
     wide = similar.fingerprints(found, starts)
+    for i, own in enumerate(np.split(found, starts[1:-1])):
+        bits = np.unpackbits(np.stack([similar.mix(own ^ salt) for salt in similar._SALTS], 1).view(np.uint8).reshape(len(own), 32), axis=1, bitorder="little")
+        assert np.packbits(2 * bits.sum(0) > len(own), bitorder="little").view(np.uint64).tolist() == wide[i].tolist()
     for i, text in enumerate(texts):
         own, begin = similar.shingle_sets(pa.array([text], pa.string()), 5)
         assert own.tolist() == found[starts[i] : starts[i + 1]].tolist()
