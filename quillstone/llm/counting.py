@@ -8,7 +8,8 @@ texts have the same pre-tokens. Only the leaves that were touched, and the nodes
 
 Edits are (at, removed, inserted), in code points of the text as the edits before have left it; positions outside the text are moved
 to its ends. Defined results: a null text is empty; null edits are none, a null inserted text is empty; null and repeated
-keys are allowed, each row gives one row; an empty table gives an empty table; other columns are left aside.
+keys are allowed, each row gives one row; an empty table gives an empty table; other columns, whatever their names, are left aside; a very
+long text is a block of its own.
 """
 
 from __future__ import annotations

@@ -15,6 +15,7 @@ ASIDE_NAMES = (
     " popup modal alert newsletter subscribe signup form login search share social related recommended comments comment reply replies disqus discussion respond hidden tags pagination"
 ).split()
 COMMON_NAMES = "ad ads advert banner promo notice cookie sidebar related share".split()
+DRAWN_WORDS = 500
 #: For private use; taken out of the texts first.
 MARKS = ("\ue000", "\ue001")
 MAIN_NAMES = "content main article post entry story body text maincontent primary page".split()
@@ -49,12 +50,17 @@ def dressed(rng: random.Random, name: str) -> str:
     return f'{rng.choice(["class", "class", "id"])}="{shape.format(name)}"'
 
 
-def layout(rng: random.Random, main: list[str], other: list[str]) -> tuple[list[Leaf], list[bool]]:
-    """A page of these texts: marks in the texts tell its main blocks from the others after parsing."""
+def words_of(texts: list[str]) -> list[list[str]]:
+    """The words to draw layouts with, the first DRAWN_WORDS of each text; pages that mark their article are learned from whole."""
+    return [text.translate(dict.fromkeys(map(ord, MARKS))).split()[:DRAWN_WORDS] or ["x"] for text in texts]
+
+
+def layout(rng: random.Random, main: list[list[str]], other: list[list[str]]) -> tuple[list[Leaf], list[bool]]:
+    """A page of these texts' words: marks in the texts tell its main blocks from the others after parsing."""
     mark_main, mark_other = MARKS
 
-    def text(given: list[str], mark: str) -> str:
-        words = rng.choice(given).translate(dict.fromkeys(map(ord, MARKS))).split() or ["x"]
+    def text(given: list[list[str]], mark: str) -> str:
+        words = rng.choice(given)
         size = rng.choice([1, 2, 3, 6, 15, len(words)])
         # blocks may begin with elements that have no text
         return rng.choice([""] * 7 + ["<br>", "<img src='x'>", "<span></span>"]) + mark + escape(" ".join(words[:size]))
@@ -120,6 +126,6 @@ def training_pages(pages: list[str], drawn: int, seed: int = 6) -> list[tuple[li
     """The pages that mark their article, and ``drawn`` layouts of their texts."""
     rng = random.Random(seed)
     known = [(p, own) for p in map(leaves, pages) if (own := weak_labels(p))]
-    main = [leaf.text for p, own in known for leaf, x in zip(p, own) if x] or ["some words of a text", "more of them, and an end."]
-    other = [leaf.text for p, own in known for leaf, x in zip(p, own) if not x] or ["Home", "About us", "All rights reserved."]
+    main = words_of([leaf.text for p, own in known for leaf, x in zip(p, own) if x] or ["some words of a text", "more of them, and an end."])
+    other = words_of([leaf.text for p, own in known for leaf, x in zip(p, own) if not x] or ["Home", "About us", "All rights reserved."])
     return known + [layout(rng, main, other) for _ in range(drawn)]

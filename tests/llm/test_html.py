@@ -39,7 +39,7 @@ def test_layouts_not_seen(trained):
     rng = random.Random(11)
     main = ["The river rose in the night, and by morning the lower road was gone.", "Nobody had seen it so high.", "They went on foot."]
     other = ["Home", "Contact us", "All rights reserved", "Sign up for our newsletter today"]
-    drawn = [html_training.layout(rng, main, other) for _ in range(200)]
+    drawn = [html_training.layout(rng, html_training.words_of(main), html_training.words_of(other)) for _ in range(200)]
     wrong = sum(int(((trained.run(blocks.Sequences([p]))[0] > 0) != np.array(y)).sum()) for p, y in drawn if p)
     assert wrong / sum(len(y) for _, y in drawn) < 0.03
 
