@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from quillstone.llm.words import slices
 
 #: Bytes of text in a block, the unit of a replay; a longer text is a block of its own.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_500_000
 #: Characters of distinct pieces that an encoder remembers from block to block.
-REMEMBERED = 4_000_000
+REMEMBERED = 1_500_000
 
 #: A space before white space or the end, and one before anything else. At the latter the pattern starts a new match.
 LOOSE_SPACE = regex.compile(r" (?:\s|$)").search
@@ -71,7 +71,7 @@ class Pieces:
 
     def __init__(self) -> None:
         self.numbers, self.chars = Numbers(), 0
-        self.sizes, self.counts, self.tokens = Runs(np.int64), Runs(np.int64), Runs("<u4")
+        self.sizes, self.counts, self.tokens = Runs(np.int32), Runs(np.int32), Runs("<u4")
 
 
 class Encoder:
@@ -292,6 +292,7 @@ def encode(
                 part = batch.slice(begin, length)
                 ids = [i.tobytes() for i in encoder.encode_block(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(answer(encoder, ids, g) for g in give)], ["key", *give])
+        encoder.pieces = Pieces()  # the worker may go on with another stage, which needs the memory
 
     kind = docs.schema[key].dataType.simpleString()
     slim = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.bpe import BLOCK_BYTES, Encoder
+from quillstone.llm.bpe import BLOCK_BYTES, Encoder, Pieces
 from quillstone.llm.words import slices
 
 LEAF = 64
@@ -175,6 +175,7 @@ def count(docs: DataFrame, ranks_path: str, pattern: str, cut_at_spaces: bool =
                     encoded = sum(tree.edit(e["at"] or 0, e["removed"] or 0, e["inserted"] or "", find, tokens) for e in wanted if e)
                     rows.append((before, len(wanted), tree.count, encoded))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows))], names)
+        encoder.pieces = Pieces()
 
     names = ["key", "n_tokens", "n_edits", "n_tokens_after", "n_encoded"]
     kind = docs.schema[key].dataType.simpleString()
