@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, counting, decontamination, html_extraction, lines, oracles, quality, recompression, secrets, simhash, topk
+from quillstone.llm import bpe, chat, counting, decontamination, html_extraction, lines, merkle, oracles, quality, recompression, secrets, simhash, spelling, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,6 +86,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts look like the template's own marks."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    sly = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"), said.alias("text"))
+    return chat.digest(chat.examples(turns.unionByName(sly)))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, and what is seen of it if one row in seven says another number of characters."""
+    altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle.digest(merkle.manifest(table(spark, sf_dir, "documents"), altered=altered, claims={"n_chars": F.col("n_chars") + 1}))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -98,6 +116,9 @@ def queries() -> dict[str, Query]:
         "op8_simhash": op8_simhash,
         "op9_top_k": op9_top_k,
         "op10_secret_scan": op10_secret_scan,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_chat_formatting": op12_chat_formatting,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -106,4 +127,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_substring_dedup": oracles.SUBSTRINGS,
         "op9_top_k": oracles.TOP_K,
         "op10_secret_scan": oracles.SECRETS,
+        "op11_spelling_variants": oracles.SPELLING,
+        "op12_chat_formatting": oracles.CHAT,
+        "op13_merkle_manifest": oracles.MERKLE,
     }
