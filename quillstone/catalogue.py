@@ -12,7 +12,7 @@ from quillstone.functions.terms import WHITE_SPACE, iso_utc, json_map
 from quillstone.functions.vectors import cosine, vector_literal
 from quillstone.operators.request import AssertionQuery, by_score, in_time_order, matching
 from quillstone.plans import extensions, traces
-from quillstone.plans.shared import shared_folder
+from quillstone.plans.shared import forget, shared_folder
 from quillstone.plans.store import AssertionStore
 from quillstone.sources import fixtures, frames
 from quillstone.sources.conventions import record
@@ -188,6 +188,35 @@ def _stored_copy(spark: SparkSession, rows: DataFrame, profile: str) -> Assertio
     return store
 
 
+@_register(
+    f"""WITH {_EVENTS}, o AS (SELECT 'customer:' || o_custkey AS subject, 'placed' AS predicate, 'order:' || o_orderkey AS object, 'global' AS scope FROM orders)
+    SELECT predicate, scope, count(*)::BIGINT AS n, count(*)::BIGINT AS n_ids, count(*)::BIGINT AS n_seq, count(DISTINCT object)::BIGINT AS n_objects
+    FROM (SELECT subject, predicate, object, scope FROM events_stored UNION ALL SELECT * FROM o) GROUP BY ALL"""
+)
+def store_streamed_and_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables and a stream in turns, its last batch delivered again as after a failure before the checkpoint; and a compaction between."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    given = fixtures.given_events(spark, sf_dir).drop("ingest_seq").withColumn("vector", F.lit(None).cast("array<double>"))
+    store = AssertionStore(spark, f"{folder}/data", profile="structured")
+    store.add_frame(given.where("subject LIKE '%1\t'"))
+    given.where("subject NOT LIKE '%1\t'").repartition(2).write.parquet(f"{folder}/given")
+
+    def stream() -> None:
+        rows = append.given_stream(spark, f"{folder}/given", maxFilesPerTrigger=1)
+        append.append_stream(rows, store.path, f"{folder}/checkpoint").awaitTermination()
+
+    stream()
+    forget(spark, f"{folder}/checkpoint/commits/1")
+    store.compact()
+    stream()
+    store.add_frame(fixtures.orders(spark, sf_dir))
+    return (
+        store.frame()
+        .groupBy("predicate", "scope")
+        .agg(F.count("*").alias("n"), F.count_distinct("assertion_id").alias("n_ids"), F.count_distinct("ingest_seq").alias("n_seq"), F.count_distinct("object").alias("n_objects"))
+    )
+
+
 _STORES: dict[tuple[str, str, str], str] = {}
 
 

@@ -35,15 +35,33 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     return df.sparkSession.read.parquet(path), path
 
 
+def place_of(spark: SparkSession, path: str) -> tuple[object, object]:
+    """A path and its file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Deletes a table that nothing reads any more."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    place, files = place_of(spark, path)
+    files.delete(place, True)
 
 
 def renamed(spark: SparkSession, old: str, new: str) -> None:
-    """Moves a table."""
-    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    place = make(old)
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(place, make(new)):
+    """Moves a table to a place that is free."""
+    place, files = place_of(spark, old)
+    target, _ = place_of(spark, new)
+    if files.exists(target) or not files.rename(place, target):
         raise OSError(f"{old} could not be moved to {new}")
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names of what a folder holds; none if there is no such folder."""
+    place, files = place_of(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(place)) if files.exists(place) else []
+
+
+def made_folder(spark: SparkSession, path: str) -> None:
+    """An empty folder, with those above it."""
+    place, files = place_of(spark, path)
+    files.mkdirs(place)

@@ -1,26 +1,31 @@
 """Append-only stores of assertions: one engine, three profiles.
 
-``volatile`` keeps its rows in the session, ``structured`` and ``vector`` in a Parquet dataset partitioned by scope, each append one
-job. ``structured`` holds no vectors and refuses semantic queries. A store has one writer at a time; ``compact`` merges the small
-files that many appends leave.
+``volatile`` keeps its rows in the session, ``structured`` and ``vector`` in a dataset of Parquet folders partitioned by scope, one for each
+append (see ``batches``), which readers see as a whole or not at all. ``structured`` holds no vectors and refuses semantic queries.
+Lists, tables and batches of a stream are appended by the same writer, so they count on from each other. Writers of one process take turns; otherwise
+a store has one writer at a time. ``compact`` merges the folders that many appends leave.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import threading
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions.normalize import normalized
+from quillstone.functions.terms import optional
 from quillstone.operators.request import AssertionQuery, by_score, in_time_order, matching
+from quillstone.plans.batches import HIDDEN, Batch, counting, marks, publish, sweep, written_batches
 from quillstone.plans.extensions import with_keywords
-from quillstone.plans.shared import forget, renamed, written
+from quillstone.plans.shared import forget, written
 from quillstone.sources.embedders import TextEmbedder, embedded
 from quillstone.sources.records import Assertion
 from quillstone.sources.schema import GIVEN, STORED, STORED_COLUMNS
@@ -47,6 +52,15 @@ PROFILES = {
 
 #: Appends that a volatile store holds as frames of their own; beyond them they are put together.
 HELD = 32
+#: How rows are sorted within files, so that statistics of row groups let the scan skip what other terms and times hold.
+ORDER = ("scope", "subject", "predicate", "observed_at")
+_TURNS: dict[str, threading.RLock] = defaultdict(threading.RLock)
+
+
+def id_of(nonce: str, number: Column) -> Column:
+    """An assertion's id from its writer's nonce and its number: the same whenever it is computed."""
+    digits = F.md5(F.concat(F.lit(nonce), number.cast("string")).cast("binary"))
+    return F.concat_ws("-", *(F.substring(digits, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
 
 
 class AssertionStore:
@@ -70,44 +84,53 @@ class AssertionStore:
         self.columns = [self.vector_column if c == "vector" else c for c in STORED_COLUMNS]
         self.schema = STORED.replace("vector array", f"`{self.vector_column}` array")
         self.held: list[DataFrame] = []
-        self.cached: list[DataFrame] = []
-        self.next: int | None = None
+        self.paths: list[str] = []
+        self.next = 0  # of a volatile store
+
+    def batches(self) -> list[Batch]:
+        """The folders whose rows count; none of a dataset that has not been written yet."""
+        return counting(written_batches(self.spark, self.path))
 
     def frame(self) -> DataFrame:
         """All rows; none of a dataset that has not been written yet."""
-        empty = self.spark.createDataFrame([], self.schema).select(*self.columns)
         if self.path is None:
-            out = empty
+            out = self.spark.createDataFrame([], self.schema).select(*self.columns)
             for rows in self.held:
                 out = out.unionByName(rows)
             return out
-        try:
-            return self.spark.read.schema(self.schema).parquet(self.path).select(*self.columns)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return empty
-
-    def _append(self, given: DataFrame, rows: int) -> None:
-        """Rows of layout GIVEN with ``assertion_id`` and ``ingest_seq``, which counts on from ``next``."""
+        return self._read(self.batches())
+
+    def _read(self, batches: list[Batch]) -> DataFrame:
+        if not batches:
+            return self.spark.createDataFrame([], self.schema).select(*self.columns)
+        return self.spark.read.schema(self.schema).option("basePath", self.path).parquet(*(f"{self.path}/{b.name}" for b in batches)).select(*self.columns)
+
+    def _begin(self) -> int:
+        return self.next if self.path is None else max((b.end for b in self.batches()), default=0)
+
+    def _hold(self, rows: DataFrame, path: str | None = None) -> None:
+        """Rows of a volatile store: a list of the driver's, or a table in the shared folder, so the loss of an executor changes nothing."""
+        self.held.append(rows)
+        if path:
+            self.paths.append(path)
+        if len(self.held) > HELD:
+            together, path = written(self.frame())
+            self.close()
+            self.held, self.paths = [together], [path]
+
+    def _append(self, given: DataFrame, first: int, rows: int, seen: dict[str, int] | None = None, path: str | None = None) -> None:
+        """Rows of layout GIVEN with ``assertion_id`` and ``ingest_seq`` in [first, first + rows)."""
         stored = normalized(given).withColumnRenamed("vector", self.vector_column).select(*self.columns)
         if self.path is None:
-            self.held.append(stored)
-            if len(self.held) > HELD:
-                together = self.frame().persist()
-                together.count()
-                self.close()
-                self.held, self.cached = [together], [together]
+            self._hold(stored, path)
+            self.next = first + rows
         else:
-            # sorted within files, so that statistics of row groups let the scan skip what other terms and times hold
-            stored.sortWithinPartitions("scope", "subject", "predicate", "observed_at").write.mode("append").partitionBy("scope").parquet(self.path)
-        self.next += rows
+            self._write(stored.sortWithinPartitions(*ORDER), Batch(first, first + rows, 0), seen or {})
 
-    def _begin(self) -> int:
-        if self.next is None:
-            last = self.frame().agg(F.max("ingest_seq")).first()[0]
-            self.next = 0 if last is None else last + 1
-        return self.next
+    def _write(self, stored: DataFrame, batch: Batch, seen: dict[str, int]) -> None:
+        pending = f"{HIDDEN}{uuid.uuid4()}"
+        stored.write.partitionBy("scope").parquet(f"{self.path}/{pending}")
+        publish(self.spark, self.path, pending, batch, seen)
 
     def add(self, assertions: Iterable[Assertion]) -> list[str]:
         """The new rows' ids, in order. All texts are embedded before anything is written."""
@@ -119,44 +142,48 @@ class AssertionStore:
             texts = [r["text"] for r in normalized(self.spark.createDataFrame([a.given() for a in given], GIVEN)).select("text").collect()]
             found = [[float(x) for x in v] for v in self.embedder.embed_texts(texts)]
             vectors = [*found[: len(given)], *vectors[len(found) :]]
-        first = self._begin()
         ids = [str(uuid.uuid4()) for _ in given]
-        rows = [a.given(v) | {"assertion_id": i, "ingest_seq": first + n} for n, (a, v, i) in enumerate(zip(given, vectors, ids))]
-        self._append(self.spark.createDataFrame(rows, GIVEN + ", assertion_id string, ingest_seq bigint"), len(rows))
+        with _TURNS[self.path or str(id(self))]:
+            first = self._begin()
+            rows = [a.given(v) | {"assertion_id": i, "ingest_seq": first + n} for n, (a, v, i) in enumerate(zip(given, vectors, ids))]
+            self._append(self.spark.createDataFrame(rows, GIVEN + ", assertion_id string, ingest_seq bigint"), first, len(rows))
         return ids
 
-    def add_frame(self, given: DataFrame, make_embedder: Callable[[], TextEmbedder] | None = None) -> int:
+    def add_frame(self, given: DataFrame, make_embedder: Callable[[], TextEmbedder] | None = None, stream: tuple[str, int] | None = None) -> int:
         """Adds a table with some of the columns of layout GIVEN, in the order of its partitions; returns the number of rows. With
-        ``make_embedder`` the executors embed the texts of rows without a vector."""
+        ``make_embedder`` the executors embed the texts of rows without a vector. ``stream`` names a stream and the number of its batch, which is
+        left aside if the dataset has it already."""
         kinds = {f.split()[0]: f.split()[1] for f in GIVEN.split(", ")}
         missing = {"subject", "predicate", "object"} - set(given.columns)
         if missing:
             raise ValueError(f"missing columns: {', '.join(sorted(missing))}")
+        if stream and self.path is None:
+            raise ValueError("a stream needs a store with a path")
         full = given.select(*((F.col(c) if c in given.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()))
+        # one time for the whole table, which stays the same however often the rows are computed
+        full = full.withColumn("observed_at", F.coalesce(optional(F.col("observed_at")), F.lit(datetime.now(timezone.utc).isoformat(timespec="microseconds"))))
         if make_embedder is not None and self.capabilities.vector:
             # the text is that of the normalized row, which is normalized again when it is written, to itself
             full = normalized(full).withColumn("vector", F.coalesce("vector", embedded(F.col("text"), make_embedder))).select(*full.columns)
-        placed = full.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1), "assertion_id": F.expr("uuid()")})
-        # the source is read once, so what it gives is what is counted, numbered and stored
-        path = None
-        if self.path is None:
-            placed = placed.persist()
-            self.cached.append(placed)
-        else:
+        placed = full.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+        with _TURNS[self.path or str(id(self))]:
+            if stream and marks(self.spark, self.path, self.batches()).get(stream[0], -1) >= stream[1]:
+                return 0
+            # the source is read once, so what it gives is what is counted, numbered and stored
             placed, path = written(placed)
-        # a number for each partition
-        sizes = {r["__part"]: r["count"] for r in placed.groupBy("__part").count().collect()}
-        first, begins = self._begin(), []
-        for part in sorted(sizes):
-            begins.append((part, first))
-            first += sizes[part]
-        total = first - self._begin()
-        if total:
-            starts = self.spark.createDataFrame(begins, "__part int, __begin bigint")
-            rows = placed.join(F.broadcast(starts), "__part").withColumn("ingest_seq", F.col("__begin") + F.col("__place"))
-            self._append(rows.drop("__part", "__place", "__begin"), total)
-        if path:
-            forget(self.spark, path)
+            # a number for each partition
+            sizes = {r["__part"]: r["count"] for r in placed.groupBy("__part").count().collect()}
+            first, begins, total = self._begin(), [], 0
+            for part in sorted(sizes):
+                begins.append((part, first + total))
+                total += sizes[part]
+            if total:
+                starts = self.spark.createDataFrame(begins, "__part int, __begin bigint")
+                rows = placed.join(F.broadcast(starts), "__part").withColumn("ingest_seq", F.col("__begin") + F.col("__place"))
+                rows = rows.withColumn("assertion_id", id_of(str(uuid.uuid4()), F.col("ingest_seq")))
+                self._append(rows.drop("__part", "__place", "__begin"), first, total, dict([stream]) if stream else None, path)
+            if self.path or not total:
+                forget(self.spark, path)
         return total
 
     def query_frame(self, q: AssertionQuery) -> DataFrame:
@@ -177,23 +204,24 @@ class AssertionStore:
         return in_time_order(with_keywords(matching(self.frame(), q), words), q)
 
     def compact(self, file_rows: int = 1_000_000) -> None:
-        """Rewrites a dataset in files of about ``file_rows`` rows, sorted by scope, terms and time, and puts them in the place of the old
-        ones. Readers and writers have to wait; should it be stopped between the two last steps, the rows are in ``<path>.compacted``."""
+        """Rewrites a dataset in files of about ``file_rows`` rows, sorted by scope, terms and time. The new folder counts, and the old ones
+        don't, from one rename on; wherever this is stopped no row is lost or twice, and the next one clears away what was left. Readers that began
+        before have to be done when the old folders go."""
         if self.path is None:
             raise ValueError("a volatile store has no files")
-        frame = self.frame()
-        if not (n := frame.count()):
-            return
-        order = ("scope", "subject", "predicate", "observed_at")
-        ranged = frame.repartitionByRange(-(-n // file_rows), *order, "ingest_seq").sortWithinPartitions(*order)
-        ranged.write.mode("overwrite").partitionBy("scope").parquet(f"{self.path}.compacted")
-        forget(self.spark, self.path)
-        renamed(self.spark, f"{self.path}.compacted", self.path)
+        with _TURNS[self.path]:
+            batches = self.batches()
+            if rows := sum(b.end - b.first for b in batches):
+                ranged = self._read(batches).repartitionByRange(-(-rows // file_rows), *ORDER, "ingest_seq").sortWithinPartitions(*ORDER)
+                whole = Batch(batches[0].first, batches[-1].end, 1 + max(b.generation for b in batches))
+                self._write(ranged, whole, marks(self.spark, self.path, batches))
+            sweep(self.spark, self.path)
 
     def query(self, q: AssertionQuery) -> list[Assertion]:
         return [Assertion.of_row(r) for r in self.query_frame(q).collect()]
 
     def close(self) -> None:
-        """Lets go of what the session holds; may be called again."""
-        while self.cached:
-            self.cached.pop().unpersist()
+        """Lets go of what the session holds, and of the rows of a volatile store; may be called again."""
+        self.held = []
+        while self.paths:
+            forget(self.spark, self.paths.pop())

@@ -1,25 +1,35 @@
-"""Streaming appends: new files of given rows are normalized and added to a dataset."""
+"""Streaming appends: new files of given rows are added to a dataset by the store's own writer."""
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillstone.functions.normalize import normalized
-from quillstone.sources.schema import GIVEN, STORED_COLUMNS
+from quillstone.plans.store import AssertionStore
+from quillstone.sources.schema import GIVEN
 
 
-def given_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Parquet files of layout GIVEN with ``ingest_seq`` as they arrive in a folder."""
-    return spark.readStream.schema(GIVEN + ", ingest_seq bigint").parquet(folder)
+def given_stream(spark: SparkSession, folder: str, **options: object) -> DataFrame:
+    """Parquet files of layout GIVEN as they arrive in a folder; ``options`` are those of the source."""
+    return spark.readStream.schema(GIVEN).options(**options).parquet(folder)
 
 
 def append_stream(given: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Appends to the dataset at ``path``; the checkpoint makes every file count once."""
-    rows = normalized(given.withColumn("assertion_id", F.expr("uuid()"))).select(*STORED_COLUMNS)
-    writer = rows.writeStream.format("parquet").partitionBy("scope").option("checkpointLocation", checkpoint).outputMode("append")
-    return (writer.trigger(availableNow=True) if available_now else writer).start(path)
+    """Appends to the dataset at ``path`` (a store's own ``path``), one folder for each batch, numbered on from what any writer has added. The
+    dataset knows a stream by its checkpoint, and the number of its last batch; so a batch that comes again, as after a failure between the write
+    and the checkpoint, is left aside."""
+    folder, _, name = path.rpartition("/")
+    stream = sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+    def append(rows: DataFrame, batch: int) -> None:
+        AssertionStore(rows.sparkSession, folder, name=name).add_frame(rows, stream=(stream, batch))
+
+    writer = given.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def windowed_counts(given: DataFrame, window: str = "1 day", late: str = "2 days") -> DataFrame:
