@@ -73,22 +73,38 @@ MORE_RULES = (
 )
 
 
+def sums_before(values: Column) -> Column:
+    """For each of an array of longs the sum of those before it. The array is summed in blocks of about the root of its size, so what is copied as
+    arrays grow is the size's 1.5th power, and not its square."""
+
+    def scanned(xs: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<bigint>").alias("sums"))
+        return F.aggregate(xs, start, lambda s, x: F.struct((s["total"] + x).alias("total"), F.array_append(s["sums"], s["total"]).alias("sums")))
+
+    size = F.greatest(F.ceil(F.sqrt(F.size(values))), F.lit(1)).cast("int")
+    n_blocks = F.ceil(F.size(values) / size).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(n_blocks - 1, F.lit(0))), lambda b: scanned(F.slice(values, b * size + 1, size)))
+
+    def moved(blocks: Column) -> Column:
+        before = scanned(F.transform(blocks, lambda b: b["total"]))["sums"]
+        return F.flatten(F.zip_with(blocks, before, lambda b, n: F.transform(b["sums"], lambda x: x + n)))
+
+    return F.element_at(F.transform(F.array(blocks), moved), 1)
+
+
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
     """array<struct<start,kind_order,kind,stop>> of the rule's kept matches."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    kept_part = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
+    part = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
     gaps = F.slice(F.split(text, rule.pattern, -1), 1, F.size(whole))  # the piece before each match
-    zipped = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), kept_part.alias("part"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,kind_order:int,kind:string,stop:bigint>>").alias("found"))
+    sizes = F.arrays_zip(*(F.transform(x, lambda t: F.length(t).cast("long")).alias(n) for x, n in ((gaps, "gap"), (whole, "whole"), (part, "part"))))
 
-    def step(state: Column, piece: Column) -> Column:
-        begin = state["at"] + F.length(piece["gap"])
-        stop = begin + F.length(piece["whole"])
-        span = F.struct(begin.cast("long").alias("start"), F.lit(order).alias("kind_order"), F.lit(rule.kind).alias("kind"), stop.cast("long").alias("stop"))
-        found = F.when(F.length(piece["part"]) >= rule.min_length, F.concat(state["found"], F.array(span))).otherwise(state["found"])
-        return F.struct(stop.cast("long").alias("at"), found.alias("found"))
+    def placed(sizes: Column) -> Column:
+        before = sums_before(F.transform(sizes, lambda p: p["gap"] + p["whole"]))
+        return F.zip_with(sizes, before, lambda p, n: F.struct((n + p["gap"]).alias("start"), F.lit(order).alias("kind_order"), F.lit(rule.kind).alias("kind"), (n + p["gap"] + p["whole"]).alias("stop"), p["part"].alias("part")))
 
-    return F.aggregate(zipped, start, step, lambda state: state["found"])
+    kept = F.filter(F.element_at(F.transform(F.array(sizes), placed), 1), lambda s: s["part"] >= rule.min_length)
+    return F.transform(kept, lambda s: s.dropFields("part"))
 
 
 def no_spans() -> Column:

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 from quillstone.llm import secrets
 
@@ -144,5 +145,15 @@ def test_joined_by_row_beyond_the_broadcast(spark, monkeypatch):
     assert sorted(map(str, secrets.scan(docs).collect())) == want
 
 
+def test_very_many_spans_in_a_text(spark):
+    n = 100_000
+    docs = spark.createDataFrame([(1, "token=abcdef " * n + "é" + "0123456789abcdef" * 2), (2, "x " + "0123456789abcdef01234567-" * 3000)], "doc_id long, text string")
+    began = time.perf_counter()
+    found = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
+    assert time.perf_counter() - began < 60
+    assert [(s.start, s.stop) for s in found[1]] == [(13 * i, 13 * i + 12) for i in range(n)] + [(13 * n + 1, 13 * n + 33)]
+    assert [(s.start, s.stop) for s in found[2]] == [(2 + 25 * i, 26 + 25 * i) for i in range(3000)]
+
+
 def test_empty(spark):
     assert secrets.digest(secrets.scan(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
