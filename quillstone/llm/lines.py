@@ -8,8 +8,10 @@ lines that stand once in either are matched in the longest order common to both,
 treated alike, and equal lines beside matches join them. Aligned lines are deleted from the later document. Each document is
 judged on the input, so what is deleted elsewhere changes nothing.
 
-Shared lines that stay (their order differs, say) are tried with the next earliest holder, and so on, until IDLE rounds of new pairs
-in a row delete nothing. So rare lines settle in the first round, and frequent ones take as many as they need.
+Shared lines that stay (their order differs, say) are tried with further earlier holders, FEWEST of them in the first round and four times as
+many in each that follows, until they go or no holder is left. So a line goes if, and only if, some earlier document that has it aligns with it:
+other documents do not matter, and the number of rounds is the logarithm of the number of holders. Only lines that conflict in order with all
+earlier holders are tried with each.
 
 Documents are ordered by key and then by a hash of the text; rows equal in both are the same document and get the same result.
 
@@ -22,13 +24,14 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.plans.shared import checkpointed
+from quillstone.plans.shared import forget, written
 
 def longest_rising(values: list[int]) -> list[int]:
     """Places of a longest rising subsequence of distinct numbers, by patience sorting."""
@@ -85,8 +88,8 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 #: Rows that are broadcast at most, counted first.
 BROADCAST = 200_000
-#: Rounds in vain after which the lines that are left stay.
-IDLE = 4
+#: Further holders that a line is tried with in the first round.
+FEWEST = 4
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -183,49 +186,55 @@ def among(df: DataFrame, some: DataFrame, n: int) -> DataFrame:
 
 def deletions(docs: DataFrame) -> DataFrame:
     """(key, text_hash, gone): for each line from the first on whether it goes, where any does; later lines stay."""
-    lists = checkpointed(line_lists(docs))
+    spark, paths = docs.sparkSession, []
+
+    def kept(df: DataFrame) -> DataFrame:
+        df, path = written(df)
+        paths.append(path)
+        return df
+
+    lists = kept(line_lists(docs))
     who = F.struct("key", "text_hash").alias("who")
     rows = lists.select("who", F.explode(F.array_distinct("hashes")).alias("hash")).where("hash IS NOT NULL")
-    shared = checkpointed(rows.groupBy("hash").agg(F.min("who").alias("first"), F.max("who").alias("last")).where("first < last").select("hash"))
+    shared = kept(rows.groupBy("hash").agg(F.min("who").alias("first"), F.max("who").alias("last")).where("first < last").select("hash"))
     shared = rows.join(shared, "hash").groupBy("who").agg(F.collect_list("hash").alias("shared"))
     lists = lists.join(shared, "who").select("who.key", "who.text_hash", "hashes", "shared")
-    lists = checkpointed(lists.mapInArrow(link, "key long, text_hash long, hashes array<long>, links array<long>").select(who, "hashes", "links"))
+    lists = kept(lists.mapInArrow(link, "key long, text_hash long, hashes array<long>, links array<long>").select(who, "hashes", "links"))
     links = lists.select("who", F.explode("links").alias("hash"))
     first = links.groupBy("hash").agg(F.min("who").alias("first"), F.max("who").alias("last")).where("first < last").select("hash", "first")
-    met = checkpointed(links.join(checkpointed(first), "hash").where("first < who"))
-    tried = checkpointed(met.select("first", "who").distinct())
-    found = checkpointed(aligned(tried, lists))
-    gone = merged(found).select(who, "gone")
+    met = kept(links.join(kept(first), "hash").where("first < who"))
+    tried = kept(met.select("first", "who").distinct())
+    found = kept(aligned(tried, lists))
     shared = met.groupBy("who").agg(F.collect_set("hash").alias("shared"))
-    left = lists.join(shared, "who").join(gone, "who", "left").select("who.key", "who.text_hash", "hashes", "shared", "gone")
-    left = checkpointed(left.mapInArrow(stay, "key long, text_hash long, at int, hash long").select(who, "at", "hash"))
-    n = left.count()
+    left = lists.join(shared, "who").join(merged(found).select(who, "gone"), "who", "left").select("who.key", "who.text_hash", "hashes", "shared", "gone")
+    left = kept(left.mapInArrow(stay, "key long, text_hash long, at int, hash long").select(who, "at", "hash"))
+    n, batch = left.count(), FEWEST
     tried = among(tried, left.select("who").distinct(), n)
-    # of each line the holders later than the one that was tried; all steps are linear in them, however frequent a line is
     holders = among(lists.select("who", F.explode(F.array_distinct("hashes")).alias("hash")).where("hash IS NOT NULL"), left.select("hash").distinct(), n)
-    idle = 0
+    gone = [found]
     while n:
-        holders = checkpointed(holders)
-        holders = checkpointed(holders.join(holders.groupBy("hash").agg(F.min("who").alias("least")), "hash").where("who > least").select("who", "hash"))
-        least = holders.groupBy("hash").agg(F.min("who").alias("first"))
-        ahead = checkpointed(left.join(least, "hash").where("first < who"))
-        left = ahead.select("who", "at", "hash")
-        pairs = checkpointed(ahead.select("first", "who").distinct().join(tried, ["first", "who"], "left_anti"))
+        # the next holders of each line; a task keeps that many of a line at most before they are shuffled
+        rank = F.row_number().over(Window.partitionBy("hash").orderBy("who"))
+        following = kept(holders.withColumn("rank", rank).where(F.col("rank") <= batch).select("hash", F.col("who").alias("first")))
+        ahead = kept(left.join(following, "hash").where("first < who"))
+        pairs = kept(ahead.select("first", "who").distinct().join(tried, ["first", "who"], "left_anti"))
+        left = ahead.select("who", "at", "hash").distinct()
+        n_pairs = pairs.count()
+        if n_pairs:
+            ends = pairs.select("who").unionByName(pairs.select(F.col("first").alias("who"))).distinct()
+            gone.append(kept(aligned(pairs, among(lists, ends, 2 * n_pairs))))
+            left = left.join(gone[-1].select(who, F.explode("gone").alias("at")), ["who", "at"], "left_anti")
+            tried = tried.unionByName(pairs)
+        left = kept(left)
         if not (n := left.count()):
             break
-        if not (n_pairs := pairs.count()):
-            continue
-        tried = checkpointed(tried.unionByName(pairs))
-        ends = pairs.select("who").unionByName(pairs.select(F.col("first").alias("who"))).distinct()
-        more = checkpointed(aligned(pairs, among(lists, ends, 2 * n_pairs)))
-        found = found.unionByName(more)
-        left = checkpointed(left.join(more.select(who, F.explode("gone").alias("at")), ["who", "at"], "left_anti"))
-        before, n = n, left.count()
-        idle = 0 if n < before else idle + 1
-        if idle == IDLE:
-            break
-        holders = among(holders, left.select("hash").distinct(), n)
-    return merged(found)
+        last = following.groupBy("hash").agg(F.max("first").alias("last")).join(left.select("hash").distinct(), "hash", "left_semi")
+        holders = kept(holders.join(F.broadcast(last) if n <= BROADCAST else last, "hash").where("who > last").select("who", "hash"))
+        batch *= 4
+    done, _ = written(merged(reduce(DataFrame.unionByName, gone)))
+    for path in paths:
+        forget(spark, path)
+    return done
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
