@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.words import find_words, mix, slices, span_hashes, text_bytes, word_hashes
+from quillstone.llm.words import find_words, mix, slices, span_hashes, text_bytes, word_digests
 from quillstone.plans.shared import checkpointed
 
 WINDOW = 13
@@ -60,7 +60,7 @@ def normal_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.r_[0, np.cumsum(keep)][offsets]
     data = data[keep]
     begins, ends, firsts = find_words(data, offsets)
-    return word_hashes(data, begins, ends), firsts
+    return word_digests(data, begins, ends), firsts
 
 
 def seeds(words: np.ndarray, firsts: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:

@@ -11,9 +11,11 @@ words that settled it. A symbol of ``phrase`` words or more is a phrase; further
 1. A first exchange tells for each symbol whether other documents have it, and whether an earlier one has.
    A window whose words settle a phrase that no other document has, has no copy elsewhere, and is out. The windows inside a section that an
    earlier document has begin there too, and are found: a high symbol reveals a long repeat at once. (Sections are compared by 96 bits
-   of hashes. The earliest holder of a window never has it found this way, so it still answers for it below.)
+   of hashes of two kinds. The earliest holder of a window never has it found this way, so it still answers for it below.)
 2. The windows that are left, near the ends of repeats and in short ones, meet in a second exchange by 96-bit hashes
-   of their words, each with the least document that has it. Two different windows are taken for equal with a likelihood of 2**-96.
+   of their words, each with the least document that has it. Words have two hashes of 64 bits of all their bytes, each with a seed of its own, and a window one
+   of 64 bits of the first and one of 32 bits of the second, so two different windows are taken for equal with a likelihood of 2**-85 or less (words
+   that stand several times in a window cost some bits). No window is compared word by word.
 3. Words of windows that begin in an earlier document too are removed.
 
 Documents travel in chunks of some megabytes. For each stretch of the hash space (bucket) a chunk sends its distinct hashes once,
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.plans.shared import checkpointed
-from quillstone.llm.words import find_words, mix, run_hashes, span_hashes, text_bytes, word_hashes
+from quillstone.llm.words import find_words, mix, run_hashes, span_hashes, text_bytes, word_digests
 
 CHUNK_BYTES = 4_000_000
 BUCKET_WORDS = 4_000_000
@@ -192,7 +194,7 @@ class Chunk:
         data, offsets = text_bytes(batch.column(1))
         self.data = data
         self.begins, self.ends, self.firsts = find_words(data, offsets)
-        self.words = word_hashes(data, self.begins, self.ends)
+        self.words, self.other = (word_digests(data, self.begins, self.ends, seed) for seed in (0, 1))
         self.known = keys.is_valid().to_numpy(zero_copy_only=False)
         self.ids = keys.fill_null(NO_KEY).to_numpy()
         self.document = np.repeat(np.arange(len(self.ids)), np.diff(self.firsts))
@@ -206,11 +208,10 @@ class Chunk:
         self.whole = np.flatnonzero(self.known & (np.diff(self.firsts) >= window))
         whole = mix(span_hashes(self.words, self.firsts[self.whole], self.firsts[self.whole + 1]) + np.uint64(1))
         hashes = np.concatenate([names, high_names, whole])
-        other = mix(self.words + np.uint64(7))
         wide = np.concatenate(
             [
                 np.zeros(len(names), np.uint64),
-                *(span_hashes(other, b, e) >> np.uint64(32) for b, e in ((self.begin, self.end), (self.firsts[self.whole], self.firsts[self.whole + 1]))),
+                *(span_hashes(self.other, b, e, 1) >> np.uint64(32) for b, e in ((self.begin, self.end), (self.firsts[self.whole], self.firsts[self.whole + 1]))),
             ]
         )
         self.first = Hashes(hashes, wide.astype(np.uint32), self.ids[np.concatenate([self.owner, self.holder, self.whole])])
@@ -243,7 +244,7 @@ class Chunk:
         fits = self.document[starts] == self.document[starts + self.window - 1]
         self.starts = np.flatnonzero(fits & ~out[:total] & ~self.found[:total] & (self.known & ~self.copied)[self.document[:total]])
         names = run_hashes(self.words, self.window, 0xA24BAED4963EE407)[self.starts]
-        wide = run_hashes(mix(self.words + np.uint64(7)), self.window, 0x9FB21C651E98DF25)[self.starts]
+        wide = run_hashes(self.other, self.window, 0x9FB21C651E98DF25)[self.starts]
         self.second = Hashes(names, (wide >> np.uint64(32)).astype(np.uint32), self.ids[self.document[self.starts]])
 
     def removed(self, answers: list[dict], buckets: int) -> np.ndarray:

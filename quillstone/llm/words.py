@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -12,6 +14,9 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = np.random.default_rng(20).integers(0, 2**64, 256, np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_SEEDS = (0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93)
+#: Masks of the first bytes of eight, by their number.
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Powers are kept up to so many; longer stretches make their own.
 KEPT_POWERS = 1_100_000
 #: Bytes whose words are hashed together.
@@ -65,8 +70,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return begins, np.flatnonzero(ends) + 1, np.searchsorted(begins, offsets)
 
 
-def span_hashes(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the numbers in each span; equal numbers, equal hash, wherever they stand."""
+def _polynomials(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = _powers(len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=sums[1:])
@@ -74,13 +78,65 @@ def span_hashes(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.
 
 
 def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of words in rising order, by stretches of some bytes, or one longer word, whose powers are at hand."""
+    """Numbers of words in rising order, for buckets: words made to do so share one. By stretches of some bytes, or one longer word, whose
+    powers are at hand."""
     out = np.empty(len(begins), np.uint64)
+    for some, start, stop in _stretches(begins, ends):
+        out[some] = _polynomials(_BYTE[data[start:stop]], begins[some] - start, ends[some] - start)
+    return out
+
+
+def _stretches(begins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[slice, int, int]]:
+    """Words of about STRETCH bytes together, or one longer word, and the bytes in which they are."""
     at = 0
     while at < len(begins):
         start = begins[at]
         stop = max(at + 1, int(np.searchsorted(ends, start + STRETCH, side="right")))
-        out[at:stop] = span_hashes(_BYTE[data[start : ends[stop - 1]]], begins[at:stop] - start, ends[at:stop] - start)
+        yield slice(at, stop), start, ends[stop - 1]
+        at = stop
+
+
+def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The beginnings of consecutive spans of these sizes, and for each of their members its place in its span."""
+    starts = np.cumsum(sizes) - sizes
+    return starts, np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
+
+
+def _sums(values: np.ndarray, places: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of each span of ``values``: the sum of what mixes each value with its place in the span, mixed with the span's size."""
+    salts = mix(np.arange(int(places.max(initial=0)) + 1, dtype=np.uint64) * _BASE + np.uint64(_SEEDS[seed]))
+    out = np.zeros(len(sizes), np.uint64)
+    full = sizes > 0
+    if len(values):
+        out[full] = np.add.reduceat(mix(values + salts[places]), starts[full])
+    return mix(out + mix(sizes.astype(np.uint64) + np.uint64(_SEEDS[seed])))
+
+
+def word_digests(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of words in rising order, each byte of which counts at its place; those of two seeds are independent."""
+    out = np.empty(len(begins), np.uint64)
+    for some, start, stop in _stretches(begins, ends):
+        padded = np.r_[data[start:stop], np.zeros(8, np.uint8)]
+        eights = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))  # the eight bytes from each byte on
+        sizes = ends[some] - begins[some]
+        lanes = (sizes + 7) // 8
+        starts, places = _places(lanes)
+        left = np.repeat(sizes, lanes) - 8 * places
+        values = eights[np.repeat(begins[some] - start, lanes) + 8 * places] & _FIRST_BYTES[np.minimum(left, 8)]
+        out[some] = _sums(values, places, starts, sizes, seed)
+    return out
+
+
+def span_hashes(values: np.ndarray, begins: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the numbers in each span; equal numbers, equal hash, wherever they stand. Spans may overlap."""
+    out = np.empty(len(begins), np.uint64)
+    sizes = ends - begins
+    total = np.cumsum(sizes)
+    at = 0
+    while at < len(begins):
+        stop = max(at + 1, int(np.searchsorted(total, total[at] - sizes[at] + STRETCH, side="right")))
+        starts, places = _places(sizes[at:stop])
+        out[at:stop] = _sums(values[np.repeat(begins[at:stop], sizes[at:stop]) + places], places, starts, sizes[at:stop], seed)
         at = stop
     return out
 

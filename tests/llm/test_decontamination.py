@@ -79,3 +79,11 @@ def test_empty(spark):
     assert d.leaks(docs, benchmark).count() == 0
     assert d.leaks(some, benchmark).count() == 0
     assert d.clean(some, benchmark).count() == 1
+
+
+def test_words_made_to_collide(spark):
+    word, other = ("".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(1024)) for flip in (0, 1))
+    first = " ".join(f"w{i}" for i in range(10))
+    docs = spark.createDataFrame([(1, f"{first} {other} {other} {other}"), (2, f"{first} {word} {word} {word}"), (3, other)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, f"{first} {word} {word} {word}"), (2, word)], "item_id long, text string")
+    assert sorted(tuple(r)[:3] for r in d.leaks(docs, items).collect()) == [(2, 1, 13)]

@@ -1,5 +1,6 @@
 """Substring deduplication against brute force."""
 
+import itertools
 import random
 
 import numpy as np
@@ -115,6 +116,20 @@ def test_long_repeats_and_long_texts(spark, monkeypatch):
     assert sorted(map(tuple, recompression.deduplicate(docs).collect())) == sorted(brute(rows))
 
 
+def alternating(n, one, other):
+    """Thue and Morse's word, whose complement many sums over places can't tell from it."""
+    return [(one, other)[bin(i).count("1") % 2] for i in range(n)]
+
+
+def test_words_and_passages_made_to_collide(spark):
+    first = " ".join(f"w{i}" for i in range(12))
+    rows = [(n, f"{first} {''.join(alternating(size, *letters))}") for n, (size, letters) in enumerate(itertools.product((1024, 4096), ("ab", "ba")))]
+    rows += [(10 + n, " ".join(alternating(2048, *pair))) for n, pair in enumerate((("c", "d"), ("d", "c")))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(map(tuple, recompression.deduplicate(docs).collect()))
+    assert found == sorted(brute(rows)) and all(r[2] == 0 for r in found[:4])
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert recompression.digest(recompression.deduplicate(empty)).count() == 0
