@@ -13,7 +13,7 @@ import re
 import threading
 import uuid
 from collections import defaultdict
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -24,8 +24,12 @@ from quillstone.functions.normalize import normalized
 from quillstone.functions.terms import optional
 from quillstone.operators.request import AssertionQuery, by_score, in_time_order, matching
 from quillstone.plans.batches import HIDDEN, Batch, counting, marks, publish, sweep, written_batches
+from quillstone.plans import vector_index
+from quillstone.plans.clustering import bloom_options, with_place
 from quillstone.plans.extensions import with_keywords
-from quillstone.plans.shared import forget, written
+from quillstone.plans.moments import holding_at
+from quillstone.plans.nearest import nearest
+from quillstone.plans.shared import forget, names_in, renamed, written
 from quillstone.sources.embedders import TextEmbedder, embedded
 from quillstone.sources.records import Assertion
 from quillstone.sources.schema import GIVEN, STORED, STORED_COLUMNS
@@ -54,6 +58,13 @@ PROFILES = {
 HELD = 32
 #: How rows are sorted within files, so that statistics of row groups let the scan skip what other terms and times hold.
 ORDER = ("scope", "subject", "predicate", "observed_at")
+#: Columns that are looked up without those that rows are sorted by; each row group has a Bloom filter of them.
+LOOKED_UP = ("object_key", "owner_id")
+#: What compacted rows are near each other by.
+CLUSTERED = ("subject", "object_key", "observed_at")
+FILE_ROWS = 1_000_000
+#: How the folder of an index begins; the number of the first row that it lacks follows.
+INDEX = "_vectors-"
 _TURNS: dict[str, threading.RLock] = defaultdict(threading.RLock)
 
 
@@ -127,9 +138,10 @@ class AssertionStore:
         else:
             self._write(stored.sortWithinPartitions(*ORDER), Batch(first, first + rows, 0), seen or {})
 
-    def _write(self, stored: DataFrame, batch: Batch, seen: dict[str, int]) -> None:
+    def _write(self, stored: DataFrame, batch: Batch, seen: dict[str, int], **more: str) -> None:
         pending = f"{HIDDEN}{uuid.uuid4()}"
-        stored.write.partitionBy("scope").parquet(f"{self.path}/{pending}")
+        options = bloom_options(LOOKED_UP, min(batch.end - batch.first, FILE_ROWS))
+        stored.write.options(**options, **more).partitionBy("scope").parquet(f"{self.path}/{pending}")
         publish(self.spark, self.path, pending, batch, seen)
 
     def add(self, assertions: Iterable[Assertion]) -> list[str]:
@@ -186,8 +198,7 @@ class AssertionStore:
                 forget(self.spark, path)
         return total
 
-    def query_frame(self, q: AssertionQuery) -> DataFrame:
-        """The answer as a plan. A semantic query that the store can't answer is refused here, before any job."""
+    def _vector_of(self, q: AssertionQuery) -> list[float] | None:
         if q.semantic and not self.capabilities.semantic:
             raise ValueError("query_text and query_vector need a store with vectors; this one is structured only")
         vector = list(q.query_vector) if q.query_vector else None
@@ -195,6 +206,11 @@ class AssertionStore:
             if self.embedder is None:
                 raise ValueError("query_text needs an embedder; there is no fallback to key words")
             vector = self.embedder.embed_texts([q.query_text])[0]
+        return vector
+
+    def query_frame(self, q: AssertionQuery) -> DataFrame:
+        """The answer as a plan. A semantic query that the store can't answer is refused here, before any job."""
+        vector = self._vector_of(q)
         found = matching(self.frame(), q)
         return in_time_order(found, q) if vector is None else by_score(found, q, vector)
 
@@ -203,20 +219,59 @@ class AssertionStore:
         q = q or AssertionQuery()
         return in_time_order(with_keywords(matching(self.frame(), q), words), q)
 
-    def compact(self, file_rows: int = 1_000_000) -> None:
-        """Rewrites a dataset in files of about ``file_rows`` rows, sorted by scope, terms and time. The new folder counts, and the old ones
-        don't, from one rename on; wherever this is stopped no row is lost or twice, and the next one clears away what was left. Readers that began
-        before have to be done when the old folders go."""
+    def compact(self, file_rows: int = FILE_ROWS, cluster: Sequence[str] | None = CLUSTERED, group_bytes: int | None = None) -> None:
+        """Rewrites a dataset in files of about ``file_rows`` rows. Within a scope rows lie along a Z-order curve through the columns in ``cluster``, so
+        that a condition on any of them reads few row groups; without, they are sorted by terms and time. ``group_bytes`` is the size of
+        row groups. The new folder counts, and the old ones don't, from one rename on; wherever this is stopped no row is lost or twice, and the
+        next one clears away what was left. Readers that began before have to be done when the old folders go."""
         if self.path is None:
             raise ValueError("a volatile store has no files")
         with _TURNS[self.path]:
             batches = self.batches()
             if rows := sum(b.end - b.first for b in batches):
-                ranged = self._read(batches).repartitionByRange(-(-rows // file_rows), *ORDER, "ingest_seq").sortWithinPartitions(*ORDER)
+                frame, order = self._read(batches), ORDER
+                if cluster:
+                    frame, order = with_place(frame, cluster, "__place"), ("scope", "__place", *cluster)
+                frame = frame.repartitionByRange(-(-rows // file_rows), *order, "ingest_seq").sortWithinPartitions(*order)
                 whole = Batch(batches[0].first, batches[-1].end, 1 + max(b.generation for b in batches))
-                self._write(ranged, whole, marks(self.spark, self.path, batches))
+                more = {"parquet.block.size": str(group_bytes)} if group_bytes else {}
+                self._write(frame.select(*self.columns), whole, marks(self.spark, self.path, batches), **more)
             sweep(self.spark, self.path)
 
+    def nearest_frame(self, questions: DataFrame, q: AssertionQuery | None = None, k: int = 10, **given: object) -> DataFrame:
+        """The rows nearest to each of many questions (see ``nearest``)."""
+        if not self.capabilities.vector:
+            raise ValueError("nearest rows need a store with vectors; this one is structured only")
+        return nearest(self.frame(), questions, q or AssertionQuery(vector_column=self.vector_column), k=k, **given)
+
+    def index_vectors(self, lists: int | None = None) -> None:
+        """Writes an inverted file over the vectors (see ``vector_index``); what is added later is read beside it until the next one is written."""
+        if self.path is None or not self.capabilities.vector:
+            raise ValueError("an index needs a store with a path and vectors")
+        with _TURNS[self.path]:
+            end, pending = self._begin(), f"{HIDDEN}{uuid.uuid4()}"
+            vector_index.build(self.frame(), f"{self.path}/{pending}", self.vector_column, lists)
+            old = [n for n in names_in(self.spark, self.path) if n.startswith(INDEX)]
+            if f"{INDEX}{end:018d}" in old:
+                forget(self.spark, f"{self.path}/{pending}")
+                return
+            renamed(self.spark, f"{self.path}/{pending}", f"{self.path}/{INDEX}{end:018d}")
+            for name in old:
+                forget(self.spark, f"{self.path}/{name}")
+
+    def indexed(self, q: AssertionQuery) -> vector_index.Found:
+        """What ``query_frame`` answers to a semantic query, by the newest index; and how many of its lists were read."""
+        names = [n for n in names_in(self.spark, self.path) if n.startswith(INDEX)] if self.path else []
+        vector = self._vector_of(q)
+        if not names or vector is None:
+            raise ValueError("a semantic query and an index are needed")
+        later = self._read([b for b in self.batches() if b.end > int(names[-1].removeprefix(INDEX))]).where(F.col("ingest_seq") >= int(names[-1].removeprefix(INDEX)))
+        return vector_index.search(self.spark, f"{self.path}/{names[-1]}", q, vector, later)
+
+    def holding_frame(self, instants: DataFrame, q: AssertionQuery | None = None, at: str = "at", on: Sequence[str] = ("subject",)) -> DataFrame:
+        """The rows that held at each of many instants (see ``moments``)."""
+        return holding_at(self.frame(), instants, at, on, q)
+
     def query(self, q: AssertionQuery) -> list[Assertion]:
         return [Assertion.of_row(r) for r in self.query_frame(q).collect()]
 
