@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.terms import WHITE_SPACE, iso_utc, json_map
 from quillstone.functions.vectors import cosine, vector_literal
+from quillstone.operators.questions import normalized_questions
 from quillstone.operators.request import AssertionQuery, by_score, in_time_order, matching
 from quillstone.plans import extensions, traces
 from quillstone.plans.shared import forget, shared_folder
 from quillstone.plans.store import AssertionStore
 from quillstone.sources import fixtures, frames
-from quillstone.sources.conventions import record
-from quillstone.sources.records import Assertion
+from quillstone.sources.conventions import record_frame
 from quillstone.streaming import append
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -640,30 +640,44 @@ def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "scope", "predicate", "n_rows")
 
 
-_ASKED = [
-    {"subject": "  Ebenezer ", "predicate": "IS_A\t", "object": " ", "scope": " SESSION", "order": " ASC"},
-    {"owner_id": "  O1 ", "since": " ", "until": " 2026 ", "active_at": "\u2003", "order": "sideways", "limit": -5},
-    {"query_text": " Winter ", "vector_column": " ", "min_score": "0.5", "limit": 7},
-    {"query_text": "  ", "min_score": "high", "limit": "5", "vector_column": " emb "},
-    {"query_vector": [0.5], "min_score": float("nan"), "limit": 0},
-]
+_QUESTIONS = f"""asked AS (SELECT o_orderkey, {_WS} || ' ' || upper('customer:' || o_custkey) || ' ' AS subject, CASE o_orderkey % 3 WHEN 0 THEN 'Placed' || {_WS} WHEN 1 THEN '  ' END AS predicate,
+        CASE o_orderkey % 4 WHEN 0 THEN ' Session ' WHEN 1 THEN chr(8195) END AS scope, ' ' || o_orderpriority AS owner_id, CASE o_orderkey % 5 WHEN 0 THEN ' 2024 ' END AS since,
+        CASE o_orderkey % 6 WHEN 0 THEN ' ' WHEN 1 THEN ' Winter ' END AS query_text, CASE o_orderkey % 7 WHEN 0 THEN ' emb ' WHEN 1 THEN ' ' END AS vector_column,
+        CASE o_orderkey % 8 WHEN 0 THEN 'high' WHEN 1 THEN ' 0.5 ' WHEN 2 THEN 'nan' WHEN 3 THEN '-1e-3' WHEN 4 THEN '1d' END AS min_score,
+        CASE o_orderkey % 9 WHEN 0 THEN ' ASC' WHEN 1 THEN 'sideways' END AS "order", CASE o_orderkey % 10 WHEN 0 THEN 0 WHEN 1 THEN -5 WHEN 2 THEN 7 END AS "limit" FROM orders)"""
 
 
 @_register(
-    """SELECT * FROM (VALUES (0, 'ebenezer', 'is_a', NULL, 'session', NULL, NULL, NULL, NULL, NULL, 'vector', NULL::DOUBLE, 'asc', 100, false),
-        (1, NULL, NULL, NULL, NULL, 'O1', NULL, '2026', NULL, NULL, 'vector', NULL, 'desc', NULL, false),
-        (2, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'Winter', 'vector', 0.5, 'desc', 7, true),
-        (3, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'emb', NULL, 'desc', 100, false),
-        (4, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'vector', NULL, 'desc', NULL, true))
-        AS q(n, subject, predicate, object, scope, owner_id, since, until, active_at, query_text, vector_column, min_score, direction, n_rows, semantic)"""
+    f"""WITH {_QUESTIONS} SELECT o_orderkey, lower(trim(subject, {_WS})) AS subject, nullif(lower(trim(predicate, {_WS})), '') AS predicate, nullif(lower(trim(scope, {_WS})), '') AS scope,
+        trim(owner_id, {_WS}) AS owner_id, trim(since, {_WS}) AS since, nullif(trim(query_text, {_WS}), '') AS query_text, coalesce(nullif(trim(vector_column, {_WS}), ''), 'vector') AS vector_column,
+        CASE o_orderkey % 8 WHEN 1 THEN 0.5 WHEN 3 THEN -0.001 END::DOUBLE AS min_score, CASE WHEN o_orderkey % 9 = 0 THEN 'asc' ELSE 'desc' END AS direction,
+        CASE WHEN o_orderkey % 10 > 2 THEN 100 WHEN o_orderkey % 10 = 2 THEN 7 END AS n_rows, o_orderkey % 6 = 1 AS semantic FROM asked"""
 )
 def normalized_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What becomes of blank, padded, mixed-case and unusable parts of a question."""
-    names = ("subject", "predicate", "object", "scope", "owner_id", "since", "until", "active_at", "query_text", "vector_column", "min_score", "order")
-    asked = [AssertionQuery(**given) for given in _ASKED]
-    rows = [(n, *(getattr(q, c) for c in names), q.rows, q.semantic) for n, q in enumerate(asked)]
-    kinds = ", ".join(f"`{c}` {'double' if c == 'min_score' else 'string'}" for c in names)
-    return spark.createDataFrame(rows, f"n int, {kinds}, n_rows int, semantic boolean").withColumnRenamed("order", "direction")
+    """What becomes of blank, padded, mixed-case and unusable parts of questions: one for each order."""
+    k = F.col("o_orderkey")
+
+    def one_of(n: int, *cases: str | int) -> F.Column:
+        out = F.when(F.lit(False), F.lit(cases[0]))
+        for i, case in enumerate(cases):
+            out = out.when(k % n == i, F.lit(case))
+        return out
+
+    asked = fixtures.table(spark, sf_dir, "orders").select(
+        k,
+        F.concat(F.lit(WHITE_SPACE + " CUSTOMER:"), F.col("o_custkey").cast("string"), F.lit(" ")).alias("subject"),
+        one_of(3, "Placed" + WHITE_SPACE, "  ").alias("predicate"),
+        one_of(4, " Session ", "\u2003").alias("scope"),
+        F.concat(F.lit(" "), F.col("o_orderpriority")).alias("owner_id"),
+        one_of(5, " 2024 ").alias("since"),
+        one_of(6, " ", " Winter ").alias("query_text"),
+        one_of(7, " emb ", " ").alias("vector_column"),
+        one_of(8, "high", " 0.5 ", "nan", "-1e-3", "1d").alias("min_score"),
+        one_of(9, " ASC", "sideways").alias("order"),
+        one_of(10, 0, -5, 7).alias("limit"),
+    )
+    done = normalized_questions(asked).withColumnsRenamed({"order": "direction", "limit": "n_rows"})
+    return done.select("o_orderkey", "subject", "predicate", "scope", "owner_id", "since", "query_text", "vector_column", "min_score", "direction", "n_rows", "semantic")
 
 
 class _LetterCounts:
@@ -693,25 +707,30 @@ def volatile_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.query_frame(q).select(*_STORED_COLUMNS)
 
 
-@_register("SELECT 0::BIGINT AS n_before, 1::BIGINT AS n_after, 's' AS subject")
+@_register("SELECT 'customer:' || o_custkey AS subject, 0::BIGINT AS n_before, count(*)::BIGINT AS n_after FROM orders GROUP BY ALL")
 def store_before_first_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dataset that has not been written yet is empty, and then has what is added."""
+    """A dataset that has not been written yet is empty to each question, and then has what is added."""
     store = AssertionStore(spark, f"{shared_folder(spark)}/{uuid.uuid4()}", profile="structured")
-    before = store.query_frame(AssertionQuery()).count()
-    store.add([Assertion(" S ", "p", "o")])
-    rows = store.query_frame(AssertionQuery())
-    return rows.groupBy("subject").agg(F.count("*").alias("n_after")).withColumn("n_before", F.lit(before).cast("long"))
+    given = fixtures.orders(spark, sf_dir)
+    asked = given.select("subject").distinct()
+    before = asked.join(store.query_frame(AssertionQuery(limit=0)).select("subject", F.lit(1).alias("found")), "subject", "left").groupBy("subject").agg(F.count("found").alias("n_before"))
+    store.add_frame(given)
+    after = store.query_frame(AssertionQuery(limit=0)).groupBy("subject").agg(F.count("*").alias("n_after"))
+    return before.join(after, "subject")
 
 
 @_register(
     """SELECT 'nation:' || n_nationkey AS subject, predicate, CASE predicate WHEN 'rdf:type' THEN 'schema:thing' WHEN 'skos:preflabel' THEN lower(n_name) ELSE 'region:' || n_regionkey END AS object
-        FROM nation, (VALUES ('rdf:type'), ('skos:preflabel'), ('schema:sameas')) AS p(predicate)"""
+        FROM nation, (VALUES ('rdf:type'), ('skos:preflabel'), ('schema:sameas')) AS p(predicate)
+    UNION ALL SELECT 'customer:' || c_custkey, predicate, CASE predicate WHEN 'rdf:type' THEN 'schema:thing' ELSE lower(c_name) END FROM customer, (VALUES ('rdf:type'), ('schema:name')) AS p(predicate)"""
 )
 def record_conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as records of a kind, written through a store."""
+    """Nations and customers as records of a kind, written through a store."""
     store = AssertionStore(spark)
-    nations = fixtures.table(spark, sf_dir, "nation").collect()  # a table of fixed size
-    store.add(a for n in nations for a in record("entity", f"nation:{n.n_nationkey}", {"skos:prefLabel": n.n_name, "schema:sameAs": f"region:{n.n_regionkey}"}))
+    nations = fixtures.table(spark, sf_dir, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("s"), "n_name", F.concat(F.lit("region:"), F.col("n_regionkey").cast("string")).alias("region"))
+    store.add_frame(record_frame("entity", nations, "s", {"skos:prefLabel": "n_name", "schema:sameAs": "region"}))
+    customers = fixtures.table(spark, sf_dir, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("s"), "c_name")
+    store.add_frame(record_frame("entity", customers, "s", {"schema:name": "c_name"}, scope=F.lit("global")))
     return store.frame().select("subject", "predicate", "object")
 
 

@@ -9,10 +9,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.catalogue import _EVENTS, _ISO, _PROBE, _SCORED, _STORED_COLUMNS, _STORED_ROW, _events_sql
+from quillstone.catalogue import _EVENTS, _ISO, _PROBE, _SCORED, _STORED_COLUMNS, _STORED_ROW, _TEXT_SQL, _WORDS, _events_sql
 from quillstone.functions.terms import iso_utc
+from quillstone.operators.questions import answers
 from quillstone.operators.request import AssertionQuery
-from quillstone.plans import lineage
+from quillstone.plans import extensions, lineage, traces
 from quillstone.plans.moments import holding_at
 from quillstone.plans.nearest import nearest
 from quillstone.plans.shared import shared_folder
@@ -136,6 +137,86 @@ def store_held_at_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.holding_frame(firsts, at="moment").groupBy("subject", "moment").agg(F.count("*").alias("n"), F.min("object").alias("least"))
 
 
+# --- many structured questions ---------------------------------------------------------------------------------------
+
+_MANY = """q AS (SELECT c_custkey AS question_id, 'user:' || (c_custkey % 150) AS subject, CASE WHEN c_custkey % 3 > 0 THEN 'purchase' END AS predicate, CASE WHEN c_custkey % 4 = 0 THEN '2024-01-15' END AS since,
+        CASE WHEN c_custkey % 5 = 0 THEN '2024-01-12T12' END AS active_at, c_custkey % 2 = 0 AS rising, CASE WHEN c_custkey % 7 > 0 THEN 3 ELSE 100 END AS n FROM customer)"""
+
+
+@_register(
+    f"""WITH {_EVENTS}, {_MANY}, met AS (SELECT question_id, e.*, rising, n, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN rising THEN observed_at END,
+            CASE WHEN NOT rising THEN observed_at END DESC, ingest_seq) AS place FROM q JOIN events_stored e ON e.subject = q.subject AND (q.predicate IS NULL OR e.predicate = q.predicate)
+            AND (since IS NULL OR observed_at >= since) AND (active_at IS NULL OR ((valid_from IS NULL OR valid_from <= active_at) AND (valid_until IS NULL OR valid_until > active_at))))
+    SELECT question_id, place::INT AS place, {_STORED_ROW} FROM met WHERE place <= n"""
+)
+def many_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question for each customer: a user, for some a predicate, a beginning or an instant, either order, different limits."""
+    k = F.col("c_custkey")
+    asked = fixtures.table(spark, sf_dir, "customer").select(
+        k.alias("question_id"),
+        F.concat(F.lit(" USER:"), (k % 150).cast("string")).alias("subject"),
+        F.when(k % 3 > 0, " Purchase").alias("predicate"),
+        F.when(k % 4 == 0, "2024-01-15 ").alias("since"),
+        F.when(k % 5 == 0, "2024-01-12T12").alias("active_at"),
+        F.when(k % 2 == 0, "ASC").alias("order"),
+        F.when(k % 7 > 0, 3).alias("limit"),
+    )
+    return answers(fixtures.events(spark, sf_dir), asked).select("question_id", "place", *_STORED_COLUMNS)
+
+
+# --- words -----------------------------------------------------------------------------------------------------------
+
+
+@_register(f"WITH texts AS ({_TEXT_SQL}) SELECT 'doc:' || ingest_seq AS subject FROM texts WHERE list_contains({_WORDS}, 'the') AND list_contains({_WORDS}, 'of')")
+def store_keywords_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same words by the postings that two appends have written; a third has none and is looked through."""
+    rows = fixtures.texts(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    store = AssertionStore(spark, folder, profile="structured", keep_words=True)
+    for n in (0, 1):
+        store.add_frame(rows.where(F.col("ingest_seq") % 3 == n))
+    store = AssertionStore(spark, folder, profile="structured")
+    store.add_frame(rows.where("ingest_seq % 3 = 2"))
+    return store.keyword_frame("The; of?", AssertionQuery(limit=0)).select("subject")
+
+
+@_register(
+    f"""WITH texts AS ({_TEXT_SQL}),
+    hits AS (SELECT ingest_seq, 1.0 AS weight, cue FROM texts, (VALUES ('in fr', '([^\\p{{L}}\\p{{N}}]|^)in fr([^\\p{{L}}\\p{{N}}]|$)'), ('evidence:', '([^\\p{{L}}\\p{{N}}]|^)evidence:')) AS c(cue, expression)
+        WHERE regexp_matches(lower(text), expression))
+    SELECT ingest_seq, round(sum(weight / sqrt(n)), 9) AS score FROM hits JOIN (SELECT cue, count(*) AS n FROM hits GROUP BY ALL) USING (cue) GROUP BY ingest_seq ORDER BY sum(weight / sqrt(n)) DESC, ingest_seq LIMIT 50"""
+)
+def anchor_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cues of several words, and with signs."""
+    done = extensions.anchor_scores(fixtures.texts(spark, sf_dir), AssertionQuery(), ["In FR", "evidence:"], rows=50)
+    return done.select("ingest_seq", F.round("score", 9).alias("score"))
+
+
+# --- traces ----------------------------------------------------------------------------------------------------------
+
+
+@_register(_events_sql("WHERE subject = 'user:7'", "subject, predicate, object, scope, owner_id, observed_at"))
+def recall_trace_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows whose ids a trace lists, after it has been written and read again."""
+    store = _new_store(spark, fixtures.given_events(spark, sf_dir), "structured")
+    q = AssertionQuery(subject="user:7", limit=0)
+    path = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    traces.append(traces.recall_trace(q, store.query_frame(q), most_ids=10_000), path)
+    ids = spark.read.parquet(path).select(F.explode("candidate_ids").alias("assertion_id"))
+    return store.frame().join(ids, "assertion_id").select(*_STORED_COLUMNS)
+
+
+@_register(_events_sql("WHERE scope = 'session' GROUP BY ALL", "predicate, owner_id, count(*)::BIGINT AS n_events, count(*)::BIGINT AS n_ids"))
+def access_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the reads of a scope, kept beside the rows and joined with them again."""
+    store = _new_store(spark, fixtures.given_events(spark, sf_dir), "structured")
+    path = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    traces.append(traces.access_events(store.query_frame(AssertionQuery(scope="session", limit=0)), "read"), path)
+    seen = spark.read.parquet(path).where("access_kind = 'read'").select("assertion_id", "event_id")
+    rows = store.frame().join(seen, "assertion_id").groupBy("predicate", "owner_id")
+    return rows.agg(F.count("*").alias("n_events"), F.count_distinct("event_id").alias("n_ids"))
+
+
 # --- chains of sources -----------------------------------------------------------------------------------------------
 
 _LINKS = """links AS (SELECT 'a' || doc_id AS assertion_id, 'a' || doc_id // 2 AS source_id FROM documents

@@ -97,6 +97,13 @@ TYPE_FACETS = ("subject_type", "object_type")
 PROVENANCE_FACETS = ("source_path", "source_url", "artifact_id", "span_id", "command", "provider", "model", "route_id", "tool_id")
 
 
+def standing_alone(cue: str) -> str:
+    """An expression for a cue of any characters, blanks and signs too, that no letter or number continues on either side where it ends in one."""
+    quoted = "\\Q" + cue.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    before, after = (rf"(?{way}[\p{{L}}\p{{N}}])" if end.isalnum() else "" for way, end in (("<!", cue[0]), ("!", cue[-1])))
+    return before + quoted + after
+
+
 def anchor_hits(within: DataFrame, cues: Sequence[str]) -> DataFrame:
     """(ingest_seq, where, cue): the places of each row that hold a cue. Arrays are cut down to the cues before they are exploded, and
     texts are only looked through for the cues."""
@@ -114,7 +121,13 @@ def anchor_hits(within: DataFrame, cues: Sequence[str]) -> DataFrame:
         return F.when(F.col("predicate").isin(*predicates), F.array_append(terms, F.col("object_key"))).otherwise(F.array().cast("array<string>"))
 
     text = F.lower("text")
-    words = F.array_compact(F.array(*(F.when(text.contains(c) & text.rlike(rf"(?<![\p{{L}}\p{{N}}]){c}(?![\p{{L}}\p{{N}}])"), F.lit(c)) for c in cues if c.isalnum()))).cast("array<string>")
+    named = F.array_compact(F.concat(F.array("subject", "predicate", "object_key", *facets), *listed))
+
+    def in_text(cue: str) -> Column:
+        # the text begins with the terms, so what is a term, or a facet, counts there only as a single word
+        return text.contains(cue) & text.rlike(standing_alone(cue)) & (F.lit(cue.isalnum()) | ~F.array_contains(named, cue))
+
+    words = F.array_compact(F.array(*(F.when(in_text(c), F.lit(c)) for c in cues))).cast("array<string>")
     places = F.concat(
         at(F.array("subject", "predicate", "object_key"), "term"),
         at(F.array_compact(F.concat(F.array(*facets), *listed)), "facet"),
@@ -139,8 +152,9 @@ def anchor_scores(
         return df.where(F.lit(False)).select("ingest_seq", F.lit(0.0).alias("score"), F.array().cast("array<struct<contribution:double,where:string,cue:string>>").alias("why"))
     hits = checkpointed(anchor_hits(within, wanted))  # two short strings a hit, read twice
     counts = hits.groupBy("where", "cue").agg(F.count("*").alias("n"))  # at most five rows a cue
-    if max_share is not None:
-        counts = counts.where(F.col("n") <= max_share * within.count())
+    most = None if max_share is None else max_share * within.count()
+    if most is not None:
+        counts = counts.where(F.col("n") <= most)
     weight = F.create_map(*(F.lit(x) for pair in WEIGHTS.items() for x in pair))[F.col("where")]
     parts = hits.join(F.broadcast(counts), ["where", "cue"]).select("ingest_seq", (weight / F.sqrt("n")).alias("contribution"), "where", "cue")
     if related:
@@ -148,8 +162,8 @@ def anchor_scores(
         shared = ends.join(hits.where("where = 'term'").select("ingest_seq").distinct(), "ingest_seq", "left_semi").select("anchor").distinct().where(~F.col("anchor").isin(*wanted))
         near = checkpointed(ends.join(shared, "anchor"))
         often = near.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-        if max_share is not None:
-            often = often.where(F.col("n") <= max_share * within.count())
+        if most is not None:
+            often = often.where(F.col("n") <= most)
         near = near.join(often, "anchor").select("ingest_seq", (F.lit(RELATED) / F.sqrt("n")).alias("contribution"), F.lit("related").alias("where"), F.col("anchor").alias("cue"))
         parts = parts.unionByName(near)
     scored = parts.groupBy("ingest_seq").agg(F.sum("contribution").alias("score"), F.sort_array(F.collect_list(F.struct("contribution", "where", "cue")), asc=False).alias("why"))

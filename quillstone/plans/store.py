@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from quillstone.functions.normalize import normalized
 from quillstone.functions.terms import optional
 from quillstone.operators.request import AssertionQuery, by_score, in_time_order, matching
+from quillstone.plans import postings, vector_index
 from quillstone.plans.batches import HIDDEN, Batch, counting, marks, publish, sweep, written_batches
-from quillstone.plans import vector_index
 from quillstone.plans.clustering import bloom_options, with_place
-from quillstone.plans.extensions import with_keywords
+from quillstone.plans.extensions import with_keywords, words_of
 from quillstone.plans.moments import holding_at
 from quillstone.plans.nearest import nearest
 from quillstone.plans.shared import forget, names_in, renamed, written
@@ -65,6 +65,10 @@ CLUSTERED = ("subject", "object_key", "observed_at")
 FILE_ROWS = 1_000_000
 #: How the folder of an index begins; the number of the first row that it lacks follows.
 INDEX = "_vectors-"
+#: The postings of a folder's texts; rows that are found by number by a condition, and numbers that are broadcast, at most, both counted first.
+WORDS = "_words"
+FEW = 1_000
+BROADCAST = 1_000_000
 _TURNS: dict[str, threading.RLock] = defaultdict(threading.RLock)
 
 
@@ -78,8 +82,9 @@ class AssertionStore:
     """``add``, ``query`` and ``close`` for lists of assertions; ``add_frame``, ``query_frame`` and ``frame`` for tables."""
 
     def __init__(
-        self, spark: SparkSession, path: str | None = None, *, profile: str | None = None, embedder: TextEmbedder | None = None, vector_column: str = "vector", name: str = "assertions"
+        self, spark: SparkSession, path: str | None = None, *, profile: str | None = None, embedder: TextEmbedder | None = None, vector_column: str = "vector", name: str = "assertions", keep_words: bool = False
     ) -> None:
+        """``keep_words``: each append also writes the postings of its texts (see ``postings``)."""
         self.profile = profile or ("vector" if path else "volatile")
         if self.profile not in PROFILES:
             raise ValueError(f"profile must be one of {', '.join(PROFILES)}")
@@ -89,7 +94,7 @@ class AssertionStore:
         for given in (name, vector_column or "vector"):
             if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", given):
                 raise ValueError(f"{given!r} is not a safe name")
-        self.spark, self.embedder = spark, embedder
+        self.spark, self.embedder, self.keep_words = spark, embedder, keep_words
         self.vector_column = vector_column or "vector"
         self.path = f"{os.path.expanduser(path).rstrip('/')}/{name}" if path else None
         self.columns = [self.vector_column if c == "vector" else c for c in STORED_COLUMNS]
@@ -114,7 +119,10 @@ class AssertionStore:
     def _read(self, batches: list[Batch]) -> DataFrame:
         if not batches:
             return self.spark.createDataFrame([], self.schema).select(*self.columns)
-        return self.spark.read.schema(self.schema).option("basePath", self.path).parquet(*(f"{self.path}/{b.name}" for b in batches)).select(*self.columns)
+        return self._rows_at(*(b.name for b in batches))
+
+    def _rows_at(self, *folders: str) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("basePath", self.path).parquet(*(f"{self.path}/{f}" for f in folders)).select(*self.columns)
 
     def _begin(self) -> int:
         return self.next if self.path is None else max((b.end for b in self.batches()), default=0)
@@ -138,10 +146,12 @@ class AssertionStore:
         else:
             self._write(stored.sortWithinPartitions(*ORDER), Batch(first, first + rows, 0), seen or {})
 
-    def _write(self, stored: DataFrame, batch: Batch, seen: dict[str, int], **more: str) -> None:
+    def _write(self, stored: DataFrame, batch: Batch, seen: dict[str, int], words: bool = False, **more: str) -> None:
         pending = f"{HIDDEN}{uuid.uuid4()}"
         options = bloom_options(LOOKED_UP, min(batch.end - batch.first, FILE_ROWS))
         stored.write.options(**options, **more).partitionBy("scope").parquet(f"{self.path}/{pending}")
+        if self.keep_words or words:
+            postings.write(self._rows_at(pending), f"{self.path}/{pending}/{WORDS}")
         publish(self.spark, self.path, pending, batch, seen)
 
     def add(self, assertions: Iterable[Assertion]) -> list[str]:
@@ -215,9 +225,36 @@ class AssertionStore:
         return in_time_order(found, q) if vector is None else by_score(found, q, vector)
 
     def keyword_frame(self, words: str, q: AssertionQuery | None = None) -> DataFrame:
-        """Rows within the query's conditions whose text has every word, in time order. Asked for by itself; no query falls back to it."""
+        """Rows within the query's conditions whose text has every word, in time order. Asked for by itself; no query falls back to it. Folders that have
+        postings are asked by these, the texts of others are looked through."""
         q = q or AssertionQuery()
-        return in_time_order(with_keywords(matching(self.frame(), q), words), q)
+        if self.path is None:
+            return in_time_order(with_keywords(matching(self.frame(), q), words), q)
+        batches = self.batches()
+        told = [b for b in batches if WORDS in names_in(self.spark, f"{self.path}/{b.name}")]
+        found = with_keywords(matching(self._read([b for b in batches if b not in told]), q), words)
+        if told:
+            index = self.spark.read.parquet(*(f"{self.path}/{b.name}/{WORDS}" for b in told))
+            wanted = self.spark.range(1).select(F.explode(words_of(F.lit(words)))).collect()
+            numbers, path = written(postings.having_all(index, [r[0] for r in wanted]).select(F.explode("numbers").alias("ingest_seq")))
+            n = numbers.count()
+            if n <= FEW:  # a condition that reaches the scan
+                some = [r[0] for r in numbers.collect()]
+                rows = self._read([b for b in told if any(b.first <= i < b.end for i in some)]).where(F.col("ingest_seq").isin(some))
+                forget(self.spark, path)
+            else:
+                rows = self._read(told).join(F.broadcast(numbers) if n <= BROADCAST else numbers, "ingest_seq", "left_semi")
+            found = found.unionByName(matching(rows, q))
+        return in_time_order(found, q)
+
+    def index_words(self) -> None:
+        """Writes the postings of the folders that have none; appends of a store that keeps words bring theirs."""
+        for b in self.batches():
+            folder = f"{self.path}/{b.name}"
+            if WORDS not in names_in(self.spark, folder):
+                pending = f"{folder}/{HIDDEN}{uuid.uuid4()}"
+                postings.write(self._read([b]), pending)
+                renamed(self.spark, pending, f"{folder}/{WORDS}")
 
     def compact(self, file_rows: int = FILE_ROWS, cluster: Sequence[str] | None = CLUSTERED, group_bytes: int | None = None) -> None:
         """Rewrites a dataset in files of about ``file_rows`` rows. Within a scope rows lie along a Z-order curve through the columns in ``cluster``, so
@@ -235,7 +272,8 @@ class AssertionStore:
                 frame = frame.repartitionByRange(-(-rows // file_rows), *order, "ingest_seq").sortWithinPartitions(*order)
                 whole = Batch(batches[0].first, batches[-1].end, 1 + max(b.generation for b in batches))
                 more = {"parquet.block.size": str(group_bytes)} if group_bytes else {}
-                self._write(frame.select(*self.columns), whole, marks(self.spark, self.path, batches), **more)
+                told = any(WORDS in names_in(self.spark, f"{self.path}/{b.name}") for b in batches)
+                self._write(frame.select(*self.columns), whole, marks(self.spark, self.path, batches), told, **more)
             sweep(self.spark, self.path)
 
     def nearest_frame(self, questions: DataFrame, q: AssertionQuery | None = None, k: int = 10, **given: object) -> DataFrame:

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
+
 from quillstone.sources.records import Assertion
 
 TYPE = "rdf:type"
@@ -35,3 +39,22 @@ def record(kind: str, subject: str, values: Mapping[str, str | Iterable[str]], *
         raise ValueError(f"{kind} has no {', '.join(unknown)}")
     pairs = [(p, o) for p, given in values.items() for o in ([given] if isinstance(given, str) else given)]
     return [Assertion(subject, TYPE, type_, **fields), *(Assertion(subject, p, o, **fields) for p, o in pairs)]
+
+
+def record_frame(kind: str, subjects: DataFrame, subject: str, values: Mapping[str, str], **fields: Column) -> DataFrame:
+    """The rows of ``record`` for each row of a table, in layout GIVEN as far as they go: ``values`` names a column of strings, or of arrays of them, for
+    each predicate; nulls give no row. ``fields`` are Columns."""
+    if kind not in KINDS:
+        raise ValueError(f"kind must be one of {', '.join(KINDS)}")
+    type_, predicates = KINDS[kind]
+    if unknown := sorted(p for p in values if p.strip().lower() not in predicates):
+        raise ValueError(f"{kind} has no {', '.join(unknown)}")
+
+    def pairs(predicate: str, column: str) -> Column:
+        given = F.col(column)
+        many = given if isinstance(subjects.schema[column].dataType, ArrayType) else F.array(given.cast("string"))
+        return F.transform(F.filter(F.coalesce(many, F.array().cast("array<string>")), lambda x: x.isNotNull()), lambda x: F.struct(F.lit(predicate).alias("predicate"), x.alias("object")))
+
+    first = F.array(F.struct(F.lit(TYPE).alias("predicate"), F.lit(type_).alias("object")))
+    each = subjects.select("*", F.explode(F.concat(first, *(pairs(p, c) for p, c in values.items()))).alias("__pair"))
+    return each.select(F.col(subject).alias("subject"), "__pair.*", *(c.alias(n) for n, c in fields.items()))
