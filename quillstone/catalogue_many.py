@@ -13,12 +13,13 @@ from quillstone.catalogue import _EVENTS, _ISO, _PROBE, _SCORED, _STORED_COLUMNS
 from quillstone.functions.terms import iso_utc
 from quillstone.operators.questions import answers
 from quillstone.operators.request import AssertionQuery
-from quillstone.plans import extensions, lineage, traces
+from quillstone.plans import extensions, lineage, observer, traces
 from quillstone.plans.moments import holding_at
 from quillstone.plans.nearest import nearest
 from quillstone.plans.shared import shared_folder
 from quillstone.plans.store import AssertionStore
 from quillstone.sources import fixtures
+from quillstone.streaming import latest, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -249,6 +250,66 @@ def lineage_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.dangling(_derived(spark, sf_dir))
 
 
+@_register(
+    f"""WITH RECURSIVE {_LINKS}, reached AS (SELECT source_id AS id FROM links WHERE assertion_id IN ('a40', 'a700') UNION SELECT l.source_id FROM reached r JOIN links l ON l.assertion_id = r.id),
+    every AS (SELECT id FROM reached UNION SELECT unnest(['a40', 'a700']))
+    SELECT id AS assertion_id, doc_id IS NOT NULL AS known FROM every LEFT JOIN documents ON 'a' || doc_id = id"""
+)
+def snapshot_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two assertions come from, and what of it is missing."""
+    seeds = spark.createDataFrame([("a40",), ("a700",)], "id string")
+    found = observer.lineage_of(_derived(spark, sf_dir), seeds)
+    return found.assertions.select("assertion_id", F.lit(True).alias("known")).unionByName(found.missing.select("assertion_id", F.lit(False).alias("known")))
+
+
+@_register(
+    """WITH e AS (SELECT 'nation:' || n_nationkey AS subject, 'region:' || n_regionkey AS object FROM nation
+        UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer),
+    one AS (SELECT subject, object, 1 AS depth FROM e WHERE object = 'region:2'), two AS (SELECT e.subject, e.object, 2 AS depth FROM e JOIN one ON e.object = one.subject)
+    SELECT * FROM one UNION ALL SELECT * FROM two"""
+)
+def snapshot_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assertions around a region, against their direction."""
+    seeds = spark.createDataFrame([("region:2",)], "node string")
+    found = observer.neighbourhood(fixtures.places(spark, sf_dir), seeds, direction="in", max_hops=2, max_edges=None, max_nodes=None)
+    return found.assertions.select("subject", "object", "depth")
+
+
+# --- streams ---------------------------------------------------------------------------------------------------------
+
+
+@_register(_events_sql("QUALIFY row_number() OVER (PARTITION BY scope, owner_id, subject, predicate ORDER BY observed_at DESC, ingest_seq DESC) = 1", "ingest_seq, " + _STORED_ROW))
+def latest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last row of each key, of files that come in no order over three triggers."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    rows = fixtures.events(spark, sf_dir).select("ingest_seq", *_STORED_COLUMNS)
+    rows.repartition(3, F.xxhash64("ingest_seq")).write.parquet(f"{folder}/given")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/given")
+    latest.latest_stream(stream, f"{folder}/latest", f"{folder}/checkpoint").awaitTermination()
+    return latest.latest_rows(spark, f"{folder}/latest").select("ingest_seq", *_STORED_COLUMNS)
+
+
+@_register(
+    f"""WITH e AS (SELECT event_id, 'user:' || user_id AS trace_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 4 HOUR THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, sum(opens) OVER (PARTITION BY trace_id ORDER BY ts) AS session FROM e)
+    SELECT trace_id, {_ISO.format("min(ts)")} AS first, {_ISO.format("max(ts)")} AS last, count(*)::BIGINT AS n_events FROM s GROUP BY trace_id, session"""
+)
+def access_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of accesses by a stream that delivers some events again, at once and with a later file. A last event far ahead closes what is open."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    e = fixtures.table(spark, sf_dir, "events")
+    text = {"event_id": "CAST(event_id AS STRING)", "trace_id": "concat('user:', user_id)", "assertion_id": "CAST(event_id AS STRING)", "access_kind": "'read'", "scope": "'run'"}
+    rows = e.select("ts", *(F.expr(x).alias(n) for n, x in text.items()), F.lit(None).cast("string").alias("owner_id"), iso_utc(F.col("ts")).alias("observed_at"), F.lit("{}").alias("provenance_json"))
+    middle = "timestamp_ntz'2024-01-15'"
+    early = rows.where(f"ts < {middle}")
+    ahead = rows.agg(F.max("ts").alias("ts")).select(F.lit("end").alias("event_id"), F.lit("end").alias("trace_id"), iso_utc(F.expr("ts + interval 60 days")).alias("observed_at"))
+    for part in (early.unionByName(early), rows.where(f"ts >= {middle} - interval 30 minutes"), ahead.unionByName(rows.drop("ts").limit(0), True)):
+        part.drop("ts").select(*[f.split()[0] for f in traces.ACCESS.split(", ")]).coalesce(1).write.mode("append").parquet(f"{folder}/given")
+    found = sessions.access_sessions(sessions.access_stream(spark, f"{folder}/given", maxFilesPerTrigger=1), gap="4 hours")
+    found.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/sessions").awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{folder}/sessions").select("trace_id", "first", "last", "n_events")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
