@@ -6,8 +6,9 @@ labels every block as main text or not.
 
 The labeller is trained on the driver, from ``fit_pages`` pages at most, of those that mark their article with a semantic element: blocks in it
 are main text, those outside or in navigation, notices, forms and the like within it are not. As one site's pages have one layout, the
-sampled blocks are also set into layouts drawn at random (other containers, class names, boilerplate and reader comments). The
-trained model has a fixed size and is broadcast.
+sampled blocks are also set into layouts drawn at random (other containers, class names, boilerplate and reader comments, told by names or by
+their form alone), stretches of their texts from any place in them. A ``header`` or ``footer`` inside an article is taken for one, with what stands in it; class names of
+an article's own element don't make it another thing. The trained model has a fixed size and is broadcast.
 
 Character references are decoded, white space in a block becomes one space, main blocks are joined by a newline. Defined results: a
 null or empty page has an empty text; unclosed and misnested tags are tolerated; null and repeated keys are allowed, each row gives

@@ -15,7 +15,10 @@ ASIDE_NAMES = (
     " popup modal alert newsletter subscribe signup form login search share social related recommended comments comment reply replies disqus discussion respond hidden tags pagination"
 ).split()
 COMMON_NAMES = "ad ads advert banner promo notice cookie sidebar related share".split()
-DRAWN_WORDS = 500
+#: Names that an article may have on its own element, though others give them to what is none.
+OWN_NAMES = "social share tags tag widget post entry item reply hidden related search featured sponsored".split()
+#: Names of comment sections beside the usual ones; half of the sections that are drawn have names of letters at random.
+COMMENT_NAMES = "comments discussion replies reactions responses feedback opinions voices thread guestbook readers".split()
 #: For private use; taken out of the texts first.
 MARKS = ("\ue000", "\ue001")
 MAIN_NAMES = "content main article post entry story body text maincontent primary page".split()
@@ -50,20 +53,36 @@ def dressed(rng: random.Random, name: str) -> str:
     return f'{rng.choice(["class", "class", "id"])}="{shape.format(name)}"'
 
 
-def words_of(texts: list[str]) -> list[list[str]]:
-    """The words to draw layouts with, the first DRAWN_WORDS of each text; pages that mark their article are learned from whole."""
-    return [text.translate(dict.fromkeys(map(ord, MARKS))).split()[:DRAWN_WORDS] or ["x"] for text in texts]
+def unmarked(texts: list[str]) -> list[str]:
+    """The texts to draw layouts with."""
+    return [text.translate(dict.fromkeys(map(ord, MARKS))) for text in texts]
 
 
-def layout(rng: random.Random, main: list[list[str]], other: list[list[str]]) -> tuple[list[Leaf], list[bool]]:
+def odd_name(rng: random.Random) -> str:
+    return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9)))
+
+
+def layout(rng: random.Random, main: list[str], other: list[str]) -> tuple[list[Leaf], list[bool]]:
     """A page of these texts' words: marks in the texts tell its main blocks from the others after parsing."""
     mark_main, mark_other = MARKS
 
-    def text(given: list[list[str]], mark: str) -> str:
-        words = rng.choice(given)
+    def text(given: list[str], mark: str) -> str:
+        words = rng.choice(given).split() or ["x"]
         size = rng.choice([1, 2, 3, 6, 15, len(words)])
+        begin = rng.randint(0, max(0, len(words) - size))  # anywhere in the text
         # blocks may begin with elements that have no text
-        return rng.choice([""] * 7 + ["<br>", "<img src='x'>", "<span></span>"]) + mark + escape(" ".join(words[:size]))
+        return rng.choice([""] * 7 + ["<br>", "<img src='x'>", "<span></span>"]) + mark + escape(" ".join(words[begin : begin + size]))
+
+    def remarks() -> str:
+        """What readers say, told by names or by its form alone: items that repeat, each often with who says it first."""
+        t = lambda: text(other + main, mark_other)
+        name, item = (odd_name(rng), odd_name(rng)) if rng.random() < 0.4 else (rng.choice(COMMENT_NAMES), rng.choice(["comment", "reply", "response", "reaction", "message"]))
+        tag = rng.choice(["div", "section", "ol", "ul"])
+        own = "li" if tag in ("ol", "ul") else rng.choice(["div", "div", "article"])
+        who = rng.choice(["", "<b>{}</b>", "<strong>{}</strong>", "<p class=author>{}</p>", "<span>{}</span>"])
+        heading = rng.choice(["", f"<h2>{t()}</h2>", f"<h3>{t()}</h3>"])
+        items = "".join(f"<{own} {rng.choice(['class', 'class', 'id'])}={item}>{who.format(text(other, mark_other))}<p>{t()}</p></{own}>" for _ in range(rng.randint(1, 5)))
+        return f"<{tag} {dressed(rng, name)}>{heading}{items}</{tag}>"
 
     def aside() -> str:
         def t() -> str:
@@ -100,14 +119,19 @@ def layout(rng: random.Random, main: list[list[str]], other: list[list[str]]) ->
     def block(k: int) -> str:
         t = text(main, mark_main)
         if k == 0 and rng.random() < 0.7:
-            return f"<h1>{t}</h1>"
+            return rng.choice(["<h1>{}</h1>"] * 3 + ["<h2>{}</h2>", f"<{(h := rng.choice(['h1', 'h2']))} class='{rng.choice(MAIN_NAMES)}-title'>{{}}</{h}>"]).format(t)
         return rng.choice(["<p>{}</p>"] * 8 + ["<p><b>{}<br>", "<h2>{}</h2>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", "<div>{}</div>", "<p><a href='#'>{}</a></p>", "<pre>{}</pre>", "<table><tr><td>{}</td></tr></table>"]).format(t)
 
     blocks = [block(k) for k in range(rng.randint(1, 14))]
+    if len(blocks) > 1 and rng.random() < 0.25:  # all but the heading in an element of their own
+        blocks[1:] = [f"<div {dressed(rng, rng.choice(MAIN_NAMES))}>", *blocks[1:], "</div>"]
     for _ in range(rng.choice([0, 1, 2, 3])):
         blocks.insert(rng.randint(1, len(blocks)), aside())
-    tag = rng.choice(["article"] * 3 + ["main"] * 2 + ["div " + dressed(rng, rng.choice(MAIN_NAMES)), "section " + dressed(rng, rng.choice(MAIN_NAMES)), "div"])
-    body = f"<{tag}>{''.join(blocks)}</{tag.split()[0]}>"
+    named = [f'article class="{rng.choice(["post", "entry", "story", "item"])} {rng.choice(OWN_NAMES)}"', f'article class="{rng.choice(OWN_NAMES)}"']
+    tag = rng.choice(["article"] * 3 + named + ["main"] * 2 + ["div " + dressed(rng, rng.choice(MAIN_NAMES)), "section " + dressed(rng, rng.choice(MAIN_NAMES)), "div", "div", ""])
+    body = f"<{tag}>{''.join(blocks)}</{tag.split()[0]}>" if tag else "".join(blocks)
+    if rng.random() < 0.3:
+        body += remarks()
     if rng.random() < 0.3:
         body = f"<main>{body}</main>" if tag != "main" else f"<div class='container'>{body}</div>"
     before, after = ("".join(aside() for _ in range(rng.randint(0, 4))) for _ in range(2))
@@ -126,6 +150,6 @@ def training_pages(pages: list[str], drawn: int, seed: int = 6) -> list[tuple[li
     """The pages that mark their article, and ``drawn`` layouts of their texts."""
     rng = random.Random(seed)
     known = [(p, own) for p in map(leaves, pages) if (own := weak_labels(p))]
-    main = words_of([leaf.text for p, own in known for leaf, x in zip(p, own) if x] or ["some words of a text", "more of them, and an end."])
-    other = words_of([leaf.text for p, own in known for leaf, x in zip(p, own) if not x] or ["Home", "About us", "All rights reserved."])
+    main = unmarked([leaf.text for p, own in known for leaf, x in zip(p, own) if x] or ["some words of a text", "more of them, and an end."])
+    other = unmarked([leaf.text for p, own in known for leaf, x in zip(p, own) if not x] or ["Home", "About us", "All rights reserved."])
     return known + [layout(rng, main, other) for _ in range(drawn)]

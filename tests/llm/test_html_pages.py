@@ -66,6 +66,30 @@ PAGES = {
         "<body><ul class='breadcrumb'><li><a>Home</a></li><li><a>Nature</a></li></ul><article><h1>Otters</h1><div class='share-buttons'><a>Tweet</a><a>Mail</a></div><p>Otters have come back to the upper river.</p></article><div class='pagination'><a>1</a> <a>2</a></div></body>",
         ["Otters", "Otters have come back to the upper river."],
     ),
+    'social article': (
+        "<article class='post social'><h1>Mills</h1><p>The mill stands where the two brooks meet.</p><p>It has not ground corn since the war.</p></article>",
+        ['Mills', 'The mill stands where the two brooks meet.', 'It has not ground corn since the war.'],
+    ),
+    'social article short': (
+        '<article class="post social"><p>The mill stands where the two brooks meet.</p><p>It has not ground corn since the war.</p></article>',
+        ['The mill stands where the two brooks meet.', 'It has not ground corn since the war.'],
+    ),
+    'reactions': (
+        '<article><h1>Mills</h1><p>The mill stands where the two brooks meet.</p></article><section id=reactions><div class=reaction><b>bob</b><p>Great read, I had no idea of it.</p></div></section>',
+        ['Mills', 'The mill stands where the two brooks meet.'],
+    ),
+    'reactions two': (
+        '<article><h1>Mills</h1><p>The mill stands where the two brooks meet.</p></article><section id=reactions><div class=reaction><b>bob</b><p>Great read.</p></div><div class=reaction><b>ann</b><p>I was there as a child, it is all true.</p></div></section>',
+        ['Mills', 'The mill stands where the two brooks meet.'],
+    ),
+    'bare': (
+        '<html><body><h1>Mills</h1><p>The mill stands where the two brooks meet.</p><p>It has not ground corn since the war.</p></body></html>',
+        ['Mills', 'The mill stands where the two brooks meet.', 'It has not ground corn since the war.'],
+    ),
+    'bare div': (
+        '<div><h1>Mills</h1><p>The mill stands where the two brooks meet.</p><p>It has not ground corn since the war.</p></div>',
+        ['Mills', 'The mill stands where the two brooks meet.', 'It has not ground corn since the war.'],
+    ),
 }
 
 
@@ -85,5 +109,5 @@ def test_pages_written_by_hand(trained):
         wrong += [(name, *m) for m in mistakes]
     print(f"{total - len(wrong)} of {total} blocks, {whole} of {len(PAGES)} pages", wrong)
     assert len(wrong) <= 0.06 * total, wrong
-    first = [n for n in PAGES if n.startswith(("image", "break", "controls"))]
+    first = [n for n in PAGES if n.startswith(("image", "break", "controls", "social", "reactions", "bare"))]
     assert not [w for w in wrong if w[0] in first]
