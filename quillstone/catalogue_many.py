@@ -4,7 +4,7 @@ same results."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from quillstone.plans.nearest import nearest
 from quillstone.plans.shared import shared_folder
 from quillstone.plans.store import AssertionStore
 from quillstone.sources import fixtures
+from quillstone.sources.embedded_once import VectorTable
 from quillstone.streaming import latest, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -250,6 +251,26 @@ def lineage_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.dangling(_derived(spark, sf_dir))
 
 
+_SAID = "sha256('{\"subject\":\"doc:' || d.doc_id || '\",\"predicate\":\"written in\",\"object\":\"' || d.lang || '\",\"observed_at\":\"2026\"}')"
+
+
+@_register(
+    f"""WITH {_LINKS}, told AS (SELECT assertion_id, source_id || ':' || coalesce({_SAID}, '') AS one FROM links LEFT JOIN documents d ON 'a' || d.doc_id = source_id),
+    prints AS (SELECT assertion_id, sha256(string_agg(one, chr(10) ORDER BY one COLLATE C)) AS fingerprint, count(*)::INT AS n_sources FROM told GROUP BY ALL)
+    SELECT assertion_id, fingerprint, n_sources, substr(assertion_id, 2)::BIGINT % 3 = 0 AS changed FROM prints"""
+)
+def lineage_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sources of each document say, and whether that is what a third of the documents hold as said before."""
+    d = fixtures.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ingest_seq"), "lang")
+    text = {"subject": F.concat(F.lit("doc:"), F.col("ingest_seq").cast("string")), "predicate": F.lit("written in"), "object": F.col("lang"), "observed_at": F.lit("2026")}
+    rows = _derived(spark, sf_dir).join(d, "ingest_seq").withColumns(text)
+    prints = lineage.source_fingerprints(rows)
+    held = F.when(F.col("ingest_seq") % 3 == 0, F.lit("old")).otherwise(F.col("fingerprint"))
+    rows = rows.join(prints, "assertion_id", "left").withColumn("attributes_json", F.to_json(F.struct(held.alias("source_fingerprint"))))
+    changed = lineage.changed_sources(rows).select("assertion_id", F.lit(True).alias("changed"))
+    return prints.join(changed, "assertion_id", "left").withColumn("changed", F.coalesce("changed", F.lit(False)))
+
+
 @_register(
     f"""WITH RECURSIVE {_LINKS}, reached AS (SELECT source_id AS id FROM links WHERE assertion_id IN ('a40', 'a700') UNION SELECT l.source_id FROM reached r JOIN links l ON l.assertion_id = r.id),
     every AS (SELECT id FROM reached UNION SELECT unnest(['a40', 'a700']))
@@ -275,6 +296,49 @@ def snapshot_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.assertions.select("subject", "object", "depth")
 
 
+@_register(
+    """WITH edges AS (SELECT 'nation:' || n_nationkey AS subject, 'region:' || n_regionkey AS object, n_regionkey + 1 AS weight, 1 AS depth FROM nation),
+    summed AS (SELECT *, sum(weight) OVER (ORDER BY subject COLLATE C, object COLLATE C ROWS UNBOUNDED PRECEDING) AS total FROM edges)
+    SELECT subject, object, depth FROM summed WHERE total <= 40"""
+)
+def graph_walk_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A walk from all nations that stops when the edges weigh too much."""
+    seeds = fixtures.table(spark, sf_dir, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("node"))
+    weight = F.substring_index("object_key", ":", -1).cast("double") + 1
+    found = extensions.walk(fixtures.places(spark, sf_dir), seeds, max_hops=3, max_edges=None, max_nodes=None, weight=weight, max_weight=40)
+    return found.edges.select(F.col("node").alias("subject"), F.col("other").alias("object"), "depth")
+
+
+# --- vectors that are known ------------------------------------------------------------------------------------------
+
+
+class _LetterCounts:
+    """Vectors of a text's length and number of letters e."""
+
+    def embed_texts(self, texts: Sequence[str]) -> list[list[float]]:
+        return [[float(len(t)), float(t.count("e"))] for t in texts]
+
+
+class _NoEndpoint:
+    def embed_texts(self, texts: Sequence[str]) -> list[list[float]]:
+        raise RuntimeError("no text should be sent")
+
+
+@_register(
+    f"""WITH texts AS ({_TEXT_SQL}), v AS (SELECT 'doc:' || ingest_seq AS subject, length(text)::DOUBLE AS n_chars, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS n_e FROM texts)
+    SELECT *, 2::BIGINT AS n FROM v"""
+)
+def embedded_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that are embedded when they are first added, and never sent again."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    store = AssertionStore(spark, folder, profile="vector")
+    table = VectorTable(spark, f"{folder}/vectors", wait_s=0.01, tries=1)
+    for make in (_LetterCounts, _NoEndpoint):
+        store.add_frame(fixtures.texts(spark, sf_dir), make, vectors=table)
+    vector = F.col("vector")
+    return store.frame().groupBy("subject", vector[0].alias("n_chars"), vector[1].alias("n_e")).agg(F.count("*").alias("n"))
+
+
 # --- streams ---------------------------------------------------------------------------------------------------------
 
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.terms import json_map
 from quillstone.functions.text import string_attribute
 from quillstone.operators.request import AssertionQuery, in_time_order, matching
-from quillstone.plans.shared import checkpointed
+from quillstone.plans.shared import checkpointed, forget, written
 
 KEY = ("scope", "owner_id", "subject", "predicate")
 
@@ -185,6 +185,18 @@ class Walk:
     warnings: list[str] = field(default_factory=list)
 
 
+def first_by_weight(rows: DataFrame, weight: str, most: float, *order: str) -> DataFrame:
+    """The first rows in an order whose weights together are ``most`` at most. Weights are added up within sorted ranges, each of which begins with
+    the sum of those before it, so no task holds all rows."""
+    ranged, path = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
+    sums = ranged.groupBy("__part").agg(F.sum(weight).alias("__own"))  # a row for each range
+    before = sums.select("__part", (F.sum("__own").over(Window.orderBy("__part")) - F.col("__own")).alias("__before"))
+    within = F.sum(weight).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    kept = checkpointed(ranged.join(F.broadcast(before), "__part").where(F.col("__before") <= most).withColumn("__sum", F.col("__before") + within).where(F.col("__sum") <= most))
+    forget(rows.sparkSession, path)
+    return kept.drop("__part", "__before", "__sum")
+
+
 def walk(
     df: DataFrame,
     seeds: DataFrame,
@@ -195,25 +207,30 @@ def walk(
     max_hops: int = 2,
     max_edges: int | None = 10_000,
     max_nodes: int | None = 10_000,
+    weight: Column | None = None,
+    max_weight: float | None = None,
 ) -> Walk:
     """Breadth first from the nodes in ``seeds``; the query's conditions hold for every edge. Each hop joins the frontier to the
     edges and takes away what was visited, so cycles end. A hop is counted first; only if it would pass a budget (None: there is none) it is
-    sorted and cut, to its first edges by (node, other, ingest_seq). Of several paths to a node the least one counts."""
+    sorted and cut, to its first edges by (node, other, ingest_seq). With ``weight``, a Column over the rows (tokens of their texts, say; null is 0), the edges'
+    weights are added up in that order, and those that would pass ``max_weight`` are cut off. Of several paths to a node the least one counts."""
     if direction not in ("out", "in", "both"):
         raise ValueError("direction must be out, in or both")
     usable = matching(df, q or AssertionQuery())
+    usable = usable.withColumn("__weight", F.lit(0.0) if weight is None else F.coalesce(weight.cast("double"), F.lit(0.0)))
     if predicates is not None:
         usable = usable.where(F.col("predicate").isin(*predicates) if predicates else F.lit(False))
     ways = []
     if direction in ("out", "both"):
-        ways.append(usable.select(F.col("subject").alias("node"), F.col("object_key").alias("other"), "predicate", "ingest_seq"))
+        ways.append(usable.select(F.col("subject").alias("node"), F.col("object_key").alias("other"), "predicate", "ingest_seq", "__weight"))
     if direction in ("in", "both"):
-        ways.append(usable.select(F.col("object_key").alias("node"), F.col("subject").alias("other"), "predicate", "ingest_seq"))
+        ways.append(usable.select(F.col("object_key").alias("node"), F.col("subject").alias("other"), "predicate", "ingest_seq", "__weight"))
     steps = ways[0] if len(ways) == 1 else ways[0].unionByName(ways[1])
     node = F.col(seeds.columns[0]).cast("string")
     frontier = checkpointed(seeds.select(node.alias("node")).distinct().select("node", F.lit(0).alias("depth"), F.array("node").alias("path")))
     nodes, edges = frontier, None
     n_nodes, n_edges, hops, partial, reason, warnings = frontier.count(), 0, 0, False, "max_hops", []
+    spent = 0.0
 
     def within(rows: DataFrame, left: int | None, *order: str) -> tuple[DataFrame, int, bool]:
         """The rows, or the first of them that the budget leaves; how many; whether some were cut off."""
@@ -230,13 +247,20 @@ def walk(
         met = met.withColumn("path", F.concat("path", F.array("other")))
         if direction == "both":  # an edge between two nodes of the frontier is met from either
             columns = met.columns
-            met = met.groupBy("ingest_seq").agg(F.min(F.struct("node", "other", "predicate", "depth", "path")).alias("m")).select("ingest_seq", "m.*").select(*columns)
+            met = met.groupBy("ingest_seq").agg(F.min(F.struct("node", "other", "predicate", "depth", "path", "__weight")).alias("m")).select("ingest_seq", "m.*").select(*columns)
         met, more, cut = within(met, None if max_edges is None else max_edges - n_edges, "node", "other", "ingest_seq")
         if not more and not cut:
             reason = "exhausted"
             break
         if cut:
             partial, reason = True, "max_edges"
+        if max_weight is not None:
+            own = met.agg(F.coalesce(F.sum("__weight"), F.lit(0.0))).first()[0]
+            if spent + own > max_weight:
+                met = checkpointed(first_by_weight(met, "__weight", max_weight - spent, "node", "other", "ingest_seq"))
+                more, own = met.agg(F.count("*"), F.coalesce(F.sum("__weight"), F.lit(0.0))).first()
+                partial, reason = True, "max_weight"
+            spent += own
         hops, n_edges = hops + 1, n_edges + more
         edges = met if edges is None else edges.unionByName(met)
         new = met.groupBy(F.col("other").alias("node")).agg(F.min("path").alias("path")).join(nodes, "node", "left_anti").select("node", F.lit(hops).alias("depth"), "path")

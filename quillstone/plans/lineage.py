@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.functions.terms import json_map
+from quillstone.functions.text import string_attribute
 from quillstone.plans.extensions import sources
 from quillstone.plans.shared import forget, written
 
@@ -56,3 +58,20 @@ def closure(df: DataFrame, seeds: DataFrame | None = None) -> Closure:
     for old in (*paths, path, links_path):
         forget(spark, old)
     return Closure(reached, reached.where("assertion_id = source_id").select("assertion_id", "steps"), steps)
+
+
+def source_fingerprints(df: DataFrame) -> DataFrame:
+    """(assertion_id, fingerprint, n_sources): of each row with sources a digest of what these assertions say now, in the order of their ids; a missing one
+    counts as empty. Only a row's own sources are gathered, each as a digest."""
+    said = df.select(F.col("assertion_id").alias("source_id"), F.sha2(F.to_json(F.struct("subject", "predicate", "object", "observed_at")), 256).alias("said"))
+    said = said.groupBy("source_id").agg(F.min("said").alias("said"))
+    named = links(df).join(said, "source_id", "left").select("assertion_id", F.concat_ws(":", "source_id", F.coalesce("said", F.lit(""))).alias("one"))
+    each = named.groupBy("assertion_id").agg(F.sort_array(F.collect_list("one")).alias("all"))
+    return each.select("assertion_id", F.sha2(F.array_join("all", "\n"), 256).alias("fingerprint"), F.size("all").alias("n_sources"))
+
+
+def changed_sources(df: DataFrame) -> DataFrame:
+    """(assertion_id, was, now): derived rows whose attribute ``source_fingerprint`` is not that of their sources as they are."""
+    was = string_attribute(json_map(F.col("attributes_json")), "source_fingerprint")
+    told = df.select("assertion_id", was.alias("was")).where("was IS NOT NULL")
+    return told.join(source_fingerprints(df).select("assertion_id", F.col("fingerprint").alias("now")), "assertion_id", "left").where(~F.col("was").eqNullSafe(F.col("now")))

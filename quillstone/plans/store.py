@@ -30,6 +30,7 @@ from quillstone.plans.extensions import with_keywords, words_of
 from quillstone.plans.moments import holding_at
 from quillstone.plans.nearest import nearest
 from quillstone.plans.shared import forget, names_in, renamed, written
+from quillstone.sources.embedded_once import VectorTable
 from quillstone.sources.embedders import TextEmbedder, embedded
 from quillstone.sources.records import Assertion
 from quillstone.sources.schema import GIVEN, STORED, STORED_COLUMNS
@@ -171,9 +172,9 @@ class AssertionStore:
             self._append(self.spark.createDataFrame(rows, GIVEN + ", assertion_id string, ingest_seq bigint"), first, len(rows))
         return ids
 
-    def add_frame(self, given: DataFrame, make_embedder: Callable[[], TextEmbedder] | None = None, stream: tuple[str, int] | None = None) -> int:
+    def add_frame(self, given: DataFrame, make_embedder: Callable[[], TextEmbedder] | None = None, stream: tuple[str, int] | None = None, vectors: VectorTable | None = None) -> int:
         """Adds a table with some of the columns of layout GIVEN, in the order of its partitions; returns the number of rows. With
-        ``make_embedder`` the executors embed the texts of rows without a vector. ``stream`` names a stream and the number of its batch, which is
+        ``make_embedder`` the executors embed the texts of rows without a vector; with ``vectors`` too, only texts that this table lacks. ``stream`` names a stream and the number of its batch, which is
         left aside if the dataset has it already."""
         kinds = {f.split()[0]: f.split()[1] for f in GIVEN.split(", ")}
         missing = {"subject", "predicate", "object"} - set(given.columns)
@@ -186,7 +187,12 @@ class AssertionStore:
         full = full.withColumn("observed_at", F.coalesce(optional(F.col("observed_at")), F.lit(datetime.now(timezone.utc).isoformat(timespec="microseconds"))))
         if make_embedder is not None and self.capabilities.vector:
             # the text is that of the normalized row, which is normalized again when it is written, to itself
-            full = normalized(full).withColumn("vector", F.coalesce("vector", embedded(F.col("text"), make_embedder))).select(*full.columns)
+            whole = normalized(full)
+            if vectors is None:
+                full = whole.withColumn("vector", F.coalesce("vector", embedded(F.col("text"), make_embedder))).select(*full.columns)
+            else:
+                vectors.learn(whole.where("vector IS NULL").select("text"), make_embedder)
+                full = vectors.joined(whole, "text").select(*full.columns)
         placed = full.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
         with _TURNS[self.path or str(id(self))]:
             if stream and marks(self.spark, self.path, self.batches()).get(stream[0], -1) >= stream[1]:
