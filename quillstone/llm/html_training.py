@@ -53,8 +53,8 @@ def dressed(rng: random.Random, name: str) -> str:
     return f'{rng.choice(["class", "class", "id"])}="{shape.format(name)}"'
 
 
-def unmarked(texts: list[str]) -> list[str]:
-    """The texts to draw layouts with."""
+def words_of(texts: list[str]) -> list[str]:
+    """The texts whose words layouts are drawn with, without the marks; their words are told apart as they are drawn, so long texts take no more space."""
     return [text.translate(dict.fromkeys(map(ord, MARKS))) for text in texts]
 
 
@@ -150,6 +150,6 @@ def training_pages(pages: list[str], drawn: int, seed: int = 6) -> list[tuple[li
     """The pages that mark their article, and ``drawn`` layouts of their texts."""
     rng = random.Random(seed)
     known = [(p, own) for p in map(leaves, pages) if (own := weak_labels(p))]
-    main = unmarked([leaf.text for p, own in known for leaf, x in zip(p, own) if x] or ["some words of a text", "more of them, and an end."])
-    other = unmarked([leaf.text for p, own in known for leaf, x in zip(p, own) if not x] or ["Home", "About us", "All rights reserved."])
+    main = words_of([leaf.text for p, own in known for leaf, x in zip(p, own) if x] or ["some words of a text", "more of them, and an end."])
+    other = words_of([leaf.text for p, own in known for leaf, x in zip(p, own) if not x] or ["Home", "About us", "All rights reserved."])
     return known + [layout(rng, main, other) for _ in range(drawn)]
