@@ -20,7 +20,7 @@ from quillstone.plans.shared import shared_folder
 from quillstone.plans.store import AssertionStore
 from quillstone.sources import fixtures
 from quillstone.sources.embedded_once import VectorTable
-from quillstone.streaming import latest, sessions
+from quillstone.streaming import append, latest, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -309,6 +309,21 @@ def graph_walk_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.edges.select(F.col("node").alias("subject"), F.col("other").alias("object"), "depth")
 
 
+@_register(f"WITH {_EVENTS} SELECT substr(observed_at, 1, 10) AS day, scope, predicate, count(*)::BIGINT AS n_rows FROM events_stored GROUP BY ALL")
+def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by day of files that arrive one after the other; a last row far ahead closes the days."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    given = fixtures.given_events(spark, sf_dir).drop("ingest_seq").withColumn("vector", F.lit(None).cast("array<double>"))
+    day = F.substring("observed_at", 9, 2).cast("int")
+    ahead = given.orderBy(F.desc("observed_at")).limit(1).withColumn("observed_at", F.lit("2099-01-01T00:00:00+00:00"))
+    for part in (given.where(day <= 15), given.where(day > 15), ahead):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/given")
+    counts = append.windowed_counts(append.given_stream(spark, f"{folder}/given", maxFilesPerTrigger=1))
+    counts.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/counts").awaitTermination()
+    found = spark.read.schema(counts.schema).parquet(f"{folder}/counts").where("window.start < '2099-01-01'")
+    return found.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "scope", "predicate", "n_rows")
+
+
 # --- vectors that are known ------------------------------------------------------------------------------------------
 
 

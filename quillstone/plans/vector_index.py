@@ -10,11 +10,11 @@ answer is that of a full scan. The lists are partitions of a copy of the rows; t
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,18 +57,21 @@ def build(df: DataFrame, path: str, vector: str = "vector", lists: int | None =
     given = [r["v"] for r in chosen.select("v").collect()]
     centres = centres_of(_unit(np.array(given)), lists) if given else np.zeros((1, size))
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors = batch.column(1)
-            matrix = _unit(vectors.flatten().to_numpy().reshape(len(vectors), size))
-            product = matrix @ centres.T
+    @F.pandas_udf("list int, angle double")
+    def assigned(vectors: pd.Series) -> pd.DataFrame:
+        own = vectors.notna().to_numpy()
+        out = pd.DataFrame({"list": np.full(len(own), APART, np.int32), "angle": np.full(len(own), np.nan)})
+        if own.any():
+            product = _unit(np.stack(vectors[own].to_list())) @ centres.T
             at = product.argmax(1)
-            angle = np.arccos(np.clip(product[np.arange(len(at)), at], -1, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.int32()), pa.array(angle)], ["ingest_seq", "list", "angle"])
-
-    placed = rows.where(usable & (F.size(column) == size)).select("ingest_seq", column.alias("v")).mapInArrow(assign, "ingest_seq long, list int, angle double")
-    full = rows.join(placed, "ingest_seq", "left").withColumn("list", F.coalesce("list", F.lit(APART)))
-    full.repartition("list", F.pmod(F.xxhash64("ingest_seq"), F.lit(8))).write.mode("overwrite").partitionBy("list").parquet(f"{path}/rows")
+            out.loc[own, "list"] = at.astype(np.int32)
+            out.loc[own, "angle"] = np.arccos(np.clip(product[np.arange(len(at)), at], -1, 1))
+        return out
+
+    placed = assigned(F.when(usable & (F.size(column) == size), column))
+    full = rows.withColumn("__placed", placed).select("*", F.col("__placed.list").alias("list"), F.when(~F.isnan("__placed.angle"), F.col("__placed.angle")).alias("angle")).drop("__placed")
+    # a large list is several ranges
+    full.repartitionByRange("list", "ingest_seq").write.mode("overwrite").partitionBy("list").parquet(f"{path}/rows")
     told = spark.read.parquet(f"{path}/rows").groupBy("list").agg(F.max("angle").alias("radius"), F.count("*").alias("n"))
     known = spark.createDataFrame([(n, c.tolist()) for n, c in enumerate(centres)], "list int, centre array<double>")
     told.join(known, "list", "left").coalesce(1).write.mode("overwrite").parquet(f"{path}/lists")
