@@ -139,6 +139,16 @@ def store_held_at_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.holding_frame(firsts, at="moment").groupBy("subject", "moment").agg(F.count("*").alias("n"), F.min("object").alias("least"))
 
 
+@_register(_events_sql("WHERE valid_from IS NOT NULL", "ingest_seq, 'from' AS bound"))
+def active_at_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At the first instant of its validity each event holds; at the instant of its end none does. All bounds are asked, each of the rows of its user."""
+    e = fixtures.events(spark, sf_dir).where("valid_from IS NOT NULL")
+    bounds = e.select("subject", F.explode(F.array("valid_from", "valid_until")).alias("moment")).where("moment IS NOT NULL").distinct()
+    held = holding_at(e, bounds, "moment")
+    ends = [held.where(F.col("moment") == F.col(c)).select("ingest_seq", F.lit(n).alias("bound")) for c, n in (("valid_from", "from"), ("valid_until", "until"))]
+    return ends[0].unionByName(ends[1])
+
+
 # --- many structured questions ---------------------------------------------------------------------------------------
 
 _MANY = """q AS (SELECT c_custkey AS question_id, 'user:' || (c_custkey % 150) AS subject, CASE WHEN c_custkey % 3 > 0 THEN 'purchase' END AS predicate, CASE WHEN c_custkey % 4 = 0 THEN '2024-01-15' END AS since,

@@ -18,15 +18,15 @@ def given_stream(spark: SparkSession, folder: str, **options: object) -> DataFra
     return spark.readStream.schema(GIVEN).options(**options).parquet(folder)
 
 
-def append_stream(given: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def append_stream(given: DataFrame, path: str, checkpoint: str, available_now: bool = True, **options: object) -> StreamingQuery:
     """Appends to the dataset at ``path`` (a store's own ``path``), one folder for each batch, numbered on from what any writer has added. The
     dataset knows a stream by its checkpoint, and the number of its last batch; so a batch that comes again, as after a failure between the write
-    and the checkpoint, is left aside."""
+    and the checkpoint, is left aside. ``options`` are those of the store (``vector_column``, ``keep_words``)."""
     folder, _, name = path.rpartition("/")
     stream = sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
     def append(rows: DataFrame, batch: int) -> None:
-        AssertionStore(rows.sparkSession, folder, name=name).add_frame(rows, stream=(stream, batch))
+        AssertionStore(rows.sparkSession, folder, name=name, **options).add_frame(rows, stream=(stream, batch))
 
     writer = given.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
