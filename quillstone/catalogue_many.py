@@ -229,6 +229,21 @@ def access_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n_events"), F.count_distinct("event_id").alias("n_ids"))
 
 
+@_register(_events_sql("WHERE scope = 'session' GROUP BY ALL", "predicate, count(*)::BIGINT AS n_events, 0::BIGINT AS n_other"))
+def trace_records_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Access events written as lines of JSON and read again: as many as there were, and none that was not."""
+    store = _new_store(spark, fixtures.given_events(spark, sf_dir), "structured")
+    path = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    traces.append(traces.access_events(store.query_frame(AssertionQuery(scope="session", limit=0)), "read", "trace", {"by": "a test"}), path)
+    events = spark.read.parquet(path)
+    traces.as_json(events, traces.ACCESS).write.text(f"{path}.json")
+    back = traces.from_json(spark.read.text(f"{path}.json"), traces.ACCESS, "value").where("NOT error").drop("error")
+    names = back.columns
+    same = back.join(events.withColumn("known", F.lit(1)), [back[c].eqNullSafe(events[c]) if c == "owner_id" else back[c] == events[c] for c in names], "left").select(back["assertion_id"], "known")
+    rows = store.frame().select("assertion_id", "predicate").join(same, "assertion_id").groupBy("predicate")
+    return rows.agg(F.count("*").alias("n_events"), F.count(F.when(F.col("known").isNull(), 1)).alias("n_other"))
+
+
 # --- chains of sources -----------------------------------------------------------------------------------------------
 
 _LINKS = """links AS (SELECT 'a' || doc_id AS assertion_id, 'a' || doc_id // 2 AS source_id FROM documents

@@ -135,8 +135,8 @@ class AssertionStore:
             self.paths.append(path)
         if len(self.held) > HELD:
             together, path = written(self.frame())
-            self.close()
-            self.held, self.paths = [together], [path]
+            self.held = [together]
+            self.paths.append(path)  # the others stay until the store is closed, as frames that were given out read them
 
     def _append(self, given: DataFrame, first: int, rows: int, seen: dict[str, int] | None = None, path: str | None = None) -> None:
         """Rows of layout GIVEN with ``assertion_id`` and ``ingest_seq`` in [first, first + rows)."""

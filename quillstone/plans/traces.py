@@ -13,6 +13,7 @@ from dataclasses import asdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillstone.operators.request import AssertionQuery
 from quillstone.sources.records import now_iso
@@ -34,6 +35,10 @@ TRACE_COLUMNS = [
 ACCESS = "event_id string, trace_id string, assertion_id string, access_kind string, scope string, owner_id string, observed_at string, provenance_json string"
 
 
+def from_ddl(layout: str) -> StructType:
+    return StructType.fromDDL(layout)
+
+
 def query_json(q: AssertionQuery) -> str:
     """The query's conditions in a fixed order, without those that are not set."""
     return json.dumps({n: v for n, v in asdict(q).items() if v is not None}, sort_keys=True, ensure_ascii=False, separators=(",", ":"), default=list)
@@ -127,6 +132,20 @@ def access_events(rows: DataFrame, access_kind: str, trace_id: str | None = None
     )
 
 
+def as_json(records: DataFrame, layout: str = TRACE) -> DataFrame:
+    """``json``: a record of a layout (TRACE, CANDIDATES or ACCESS) in each row, with all its fields, nulls too, in the layout's order; equal records give
+    equal texts."""
+    names = [f.name for f in from_ddl(layout).fields]
+    return records.select(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def from_json(lines: DataFrame, layout: str = TRACE, column: str = "json") -> DataFrame:
+    """The records of ``as_json``, and ``error``: true for a row that holds no record of the layout, whose fields are null then."""
+    read = F.from_json(column, from_ddl(layout), {"mode": "PERMISSIVE"})
+    first = from_ddl(layout).fields[0].name
+    return lines.select(read.alias("r")).select("r.*", F.col(f"r.{first}").isNull().alias("error"))
+
+
 def append(records: DataFrame, path: str) -> None:
     """Adds traces or events to a dataset."""
     records.write.mode("append").parquet(path)

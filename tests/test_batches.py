@@ -158,3 +158,15 @@ def test_volatile_rows_outlive_their_source(spark):
     assert "uuid(" not in plan and "InMemoryRelation" not in plan
     with pytest.raises(ValueError, match="path"):
         store.add_frame(spark.range(1).selectExpr("'s' AS subject", "'p' AS predicate", "'o' AS object"), stream=("s", 0))
+
+
+def test_frames_given_out_stay_readable(spark):
+    store = AssertionStore(spark)
+    store.add_frame(spark.createDataFrame([("a", "p", "o")], TERMS))
+    early = store.frame()
+    for n in range(stores.HELD + 2):
+        store.add([Assertion(f"s{n}", "p", "o")])
+    assert len(store.held) < stores.HELD and early.count() == 1 and store.frame().count() == stores.HELD + 3
+    store.close()
+    store.close()
+    assert store.frame().count() == 0

@@ -8,6 +8,7 @@ from quillstone.operators.request import AssertionQuery
 from quillstone.plans import traces
 from quillstone.plans.store import PROFILES, AssertionStore
 from quillstone.sources.conventions import KINDS, record
+from quillstone.sources.records import Assertion
 
 
 @pytest.mark.parametrize("profile", list(PROFILES))
@@ -57,3 +58,19 @@ def test_traces(spark, tmp_path):
     rows = spark.read.parquet(path).collect()
     assert len(rows) == 6 and len({r.event_id for r in rows}) == 6 and {r.trace_id for r in rows} == {one.trace_id}
     assert store.frame().count() == 3
+
+
+def test_records_are_read_back_from_json(spark):
+    store = AssertionStore(spark)
+    store.add([Assertion(f"s{i}", "p", "o", scope="é", owner_id=None if i else 'x"y') for i in range(3)])
+    q = AssertionQuery(scope="é", query_vector=[0.5])
+    trace = traces.recall_trace(q, store.frame(), searched_scopes=["é", ("b", "o")], budgets={"hops": 2}, warnings=["w"], provenance={"a": [1]})
+    trace = spark.createDataFrame(trace.collect(), trace.schema)
+    for records, layout in ((trace, traces.TRACE), (traces.access_events(store.frame(), "read").limit(3), traces.ACCESS)):
+        records = spark.createDataFrame(records.collect(), records.schema)
+        lines = traces.as_json(records, layout)
+        back = traces.from_json(lines, layout)
+        assert sorted(map(str, back.where("NOT error").drop("error").collect())) == sorted(map(str, records.collect()))
+        assert sorted(r.json for r in lines.collect()) == sorted(r.json for r in traces.as_json(back, layout).collect())
+    broken = spark.createDataFrame([("{",), ("[]",), (None,), ("{}",)], "json string")
+    assert [r.error for r in traces.from_json(broken).collect()] == [True] * 4
