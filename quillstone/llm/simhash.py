@@ -5,8 +5,8 @@ the radius share at least one, so every link lies within the shard of some block
 BK-tree is built whose children are keyed by their Hamming distance to the parent, and each fingerprint follows only the
 edges whose key is within the radius of its own distance to the node. A set of all fingerprints has no size
 bound, so the trees are not broadcast: shards and queries meet by the shuffle, and a task walks the trees of some
-shards at a time, level by level. A shard larger than ``split_over`` is dealt again, once, by blocks of its
-other bits.
+shards at a time, level by level. A shard larger than ``split_over`` is dealt again by blocks of its
+other bits, which holds for them too, until none is larger: a shard of which w bits are not dealt yet has 2**w fingerprints at most, so this ends.
 
 Within a shard only links that join two sets not yet joined go on to the components, one fewer than fingerprints
 at most; they reach what all links reach.
@@ -20,6 +20,7 @@ very long texts are taken whole.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -172,34 +173,34 @@ def by_shard(rows: DataFrame, walk: Callable[[np.ndarray, list[np.ndarray]], pa.
     return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long")
 
 
-def dealt(df: DataFrame, width: int, parts: int) -> DataFrame:
-    """``df`` with a row for each of ``parts`` blocks of the lowest ``width`` bits of ``dealt_by``: its number and value."""
-    cuts = [width * i // parts for i in range(parts + 1)]
-    blocks = [
-        F.struct(F.lit(i).alias("part"), F.shiftrightunsigned("dealt_by", a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")).alias("value"))
-        for i, (a, b) in enumerate(zip(cuts, cuts[1:]))
-    ]
-    return df.withColumn("b", F.explode(F.array(*blocks)))
+def dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """``rows`` (shard, bits, left, width) in a shard for each of ``parts`` blocks of the ``width`` lowest bits of ``left``, which go
+    on without that block."""
+    shift_left, shift_right = (lambda value, by, name=name: F.call_function(name, value, by) for name in ("shiftleft", "shiftrightunsigned"))
+    one = F.lit(1).cast("long")
+    cut = rows.withColumn("part", F.explode(F.array(*map(F.lit, range(parts)))))
+    cut = cut.withColumn("low", F.expr(f"cast(width * part div {parts} as int)")).withColumn("high", F.expr(f"cast(width * (part + 1) div {parts} as int)"))
+    value = shift_right(F.col("left"), F.col("low")).bitwiseAND(shift_left(one, F.col("high") - F.col("low")) - one)
+    # a shift by all 64 bits would be one by none
+    above = F.when(F.col("high") < 64, shift_left(shift_right(F.col("left"), F.col("high")), F.col("low"))).otherwise(F.lit(0).cast("long"))
+    below = F.col("left").bitwiseAND(shift_left(one, F.col("low")) - one)
+    return cut.select(F.xxhash64("shard", "part", value).alias("shard"), "bits", above.bitwiseOR(below).alias("left"), (F.col("width") - F.col("high") + F.col("low")).alias("width"))
 
 
 def sharded(prints: DataFrame, radius: int, split_over: int) -> DataFrame:
-    """(shard, bits): each distinct fingerprint in one shard for each block, or in more where a shard was split."""
+    """(shard, bits): each distinct fingerprint in one shard for each block, or in more where a shard was dealt again."""
     parts = radius + 1
-    top = dealt(prints.select("bits", F.col("bits").alias("dealt_by")), 64, parts)
-    top = top.select(F.col("b.part").alias("block"), F.xxhash64("b.part", "b.value").alias("shard"), "bits")
-    sizes = top.groupBy("shard").count().where(F.col("count") > split_over)
-    if sizes.isEmpty():
-        return top.select("shard", "bits")
-    marked = top.join(sizes, "shard", "left")
-    out = marked.where("count IS NULL").select("shard", "bits")
-    for block in range(parts):
-        # what lies above the block moves down to its place
-        low, high = 64 * block // parts, 64 * (block + 1) // parts
-        below = F.col("bits").bitwiseAND(F.lit((1 << low) - 1).cast("long"))
-        above = F.shiftleft(F.shiftrightunsigned("bits", high), low) if high < 64 else F.lit(0).cast("long")
-        own = marked.where((F.col("block") == block) & F.col("count").isNotNull()).withColumn("dealt_by", below.bitwiseOR(above))
-        out = out.unionByName(dealt(own, 64 - high + low, parts).select(F.xxhash64("shard", "b.part", "b.value").alias("shard"), "bits"))
-    return out
+    rows = dealt(prints.select(F.lit(0).cast("long").alias("shard"), "bits", F.col("bits").alias("left"), F.lit(64).alias("width")), parts)
+    small = []
+    while True:
+        # fewer bits than blocks can't be dealt, and tell few fingerprints apart
+        sizes = rows.where(F.col("width") >= parts).groupBy("shard").count().where(F.col("count") > split_over)
+        if sizes.isEmpty():
+            small.append(rows.select("shard", "bits"))
+            return reduce(DataFrame.unionByName, small)
+        marked = rows.join(sizes, "shard", "left")
+        small.append(marked.where("count IS NULL").select("shard", "bits"))
+        rows = checkpointed(dealt(marked.where("count IS NOT NULL").select(*rows.columns), parts))
 
 
 def links(prints: DataFrame, radius: int = 3, split_over: int = 20_000) -> DataFrame:

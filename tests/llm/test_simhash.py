@@ -80,6 +80,23 @@ def test_split_shards_find_the_same(spark, monkeypatch, frontier):
         assert {frozenset(g) for g in groups.values()} | alone == want
 
 
+def test_shards_are_dealt_until_small(spark):
+    """Fingerprints that share three blocks are dealt by the last one, and any two within the radius still share a shard."""
+    rng = np.random.default_rng(8)
+    bits = sorted({int(b) for b in rng.integers(0, 2**12, 700)} | {int(b) << 52 for b in rng.integers(0, 2**11, 300)} | {-int(b) for b in rng.integers(1, 2**63, 50)})
+    shards = {}
+    for r in simhash.sharded(spark.createDataFrame([(b,) for b in bits], "bits long"), 3, 40).collect():
+        shards.setdefault(r.shard, set()).add(r.bits)
+    assert max(map(len, shards.values())) <= 40
+    of = {}
+    for shard, own in shards.items():
+        for b in own:
+            of.setdefault(b, set()).add(shard)
+    assert set(of) == set(bits)
+    near = [(a, b) for i, a in enumerate(bits) for b in bits[:i] if ((a ^ b) & (2**64 - 1)).bit_count() <= 3]
+    assert len(near) > 10_000 and all(of[a] & of[b] for a, b in near)
+
+
 def test_very_long_texts(spark):
     rng = random.Random(6)
     long = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "x" * 5000], k=60_000)) for _ in range(2)]
