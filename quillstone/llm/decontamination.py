@@ -10,7 +10,10 @@ text; it leaks into a document that consists of just these words, and its only s
 Words are compared in lower case and without ASCII punctuation.
 
 The benchmark's seeds are broadcast if they are ``broadcast_seeds`` at most, counted first. Beyond that the seeds of both
-sides are tables that are joined by hash, and the hits are joined to the texts.
+sides are tables that are joined by hash, and the hits are joined to the texts. A seed that is a common phrase would pair all its documents
+with all its items: where the benchmark has a seed more than ``hot_seeds`` times, both sides complete it to windows, by some of the window's other
+words. These are dealt to one group more than words may be replaced, so of a leak some group is whole, and meets. The
+hashes of hot seeds are a million at most, since ``hot_seeds`` grows with the benchmark, and are broadcast.
 
 Defined results: items without words never leak; null texts have no words; null and
 repeated keys are allowed, rows with equal key and text are reported once; an empty table gives an empty table; other columns, whatever
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +43,8 @@ MASKS = LONG_MASKS + SHORT_MASKS
 #: In the place of a mask: the whole of a text of fewer than LEAST_WORDS words.
 WHOLE = len(MASKS)
 KINDS = range(WHOLE + 1)
+#: Hashes of hot seeds that are broadcast at most.
+MOST_HOT = 1_000_000
 #: Leaking texts (a number each) that are broadcast at most.
 BROADCAST = 1_000_000
 
@@ -88,6 +94,35 @@ def masks_for(n_words: int) -> range:
     return range(len(LONG_MASKS)) if n_words >= WINDOW else range(len(LONG_MASKS), len(MASKS))
 
 
+def windows(number: int) -> list[tuple[int, int]]:
+    """Sizes of the windows in which a seed of mask ``number`` may lie, and its places in them."""
+    sizes = (WINDOW,) if number < len(LONG_MASKS) else range(LEAST_WORDS, WINDOW)
+    return [(n, place) for n in sizes for place in range(n - MASKS[number][-1])]
+
+
+def completed(words: np.ndarray, firsts: np.ndarray, number: int, hashes: np.ndarray, at: np.ndarray, item: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds of mask ``number`` with a group of the other words of each window around them, and where the seeds begin. An item of fewer
+    than WINDOW words is its own window."""
+    text = np.searchsorted(firsts, at, side="right") - 1
+    low, high = firsts[text], firsts[text + 1]
+    more_hashes, more_at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for n, place in windows(number):
+        begin = at - place
+        within = (begin >= low) & (begin + n <= high)
+        if item and n < WINDOW:
+            within &= high - low == n
+        free = [p for p in range(n) if p - place not in MASKS[number]]
+        groups = n - needed(n) + 1
+        for group in range(groups):
+            out = hashes[within] + np.uint64((n * WINDOW + place) * WINDOW + group + 1)
+            for p in free[group::groups]:
+                out *= np.uint64(0xD1342543DE82EF95)
+                out += words[begin[within] + p]
+            more_hashes.append(mix(out))
+            more_at.append(at[within])
+    return np.concatenate(more_hashes), np.concatenate(more_at)
+
+
 def compare(document: np.ndarray, item: np.ndarray, offset: int) -> tuple[int, int] | None:
     """Equal and aligned words if the item's word q, at the document's word q + offset, leaks."""
     if len(item) < LEAST_WORDS:
@@ -173,8 +208,9 @@ def by_broadcast(docs: DataFrame, items: DataFrame, result: str) -> DataFrame:
     return docs.mapInArrow(search, result)
 
 
-def seed_table(texts: DataFrame, item: bool) -> DataFrame:
-    """(hash, id, print, at) of the seeds of all texts (key, print, text); of items only by the masks for their length."""
+def seed_table(texts: DataFrame, item: bool, hot: Broadcast | None = None) -> DataFrame:
+    """(hash, id, print, at) of the seeds of all texts (key, print, text); of items only by the masks for their length. Those of
+    ``hot``, sorted, are completed."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,6 +224,10 @@ def seed_table(texts: DataFrame, item: bool) -> DataFrame:
                     if item:
                         use = np.array([mask in masks_for(int(n)) for n in sizes], bool)[text[at]]
                         hashes, at = hashes[use], at[use]
+                    if hot is not None and mask != WHOLE and len(hot.value):
+                        common = hot.value[np.searchsorted(hot.value, hashes).clip(max=len(hot.value) - 1)] == hashes
+                        more_hashes, more_at = completed(words, firsts, mask, hashes[common], at[common], item)
+                        hashes, at = np.r_[hashes[~common], more_hashes], np.r_[at[~common], more_at]
                     owner = pa.array(text[at])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(hashes.view(np.int64)), part.column(0).take(owner), part.column(1).take(owner), pa.array(at - firsts[text[at]], pa.int64())],
@@ -198,11 +238,13 @@ def seed_table(texts: DataFrame, item: bool) -> DataFrame:
     return texts.mapInArrow(make, f"hash long, key {kind}, print long, at long")
 
 
-def by_join(docs: DataFrame, items: DataFrame, result: str) -> DataFrame:
+def by_join(docs: DataFrame, items: DataFrame, result: str, hot_seeds: int) -> DataFrame:
     """For a benchmark of any size: hits by a join on the hash, compared beside both texts."""
-    tests = seed_table(items.select("key", F.lit(0).cast("long").alias("print"), "text"), True)
-    tests = tests.select("hash", F.col("key").alias("item_id"), F.col("at").alias("place"))
-    hits = seed_table(docs, False).join(tests, "hash").select("key", "print", "item_id", (F.col("at") - F.col("place")).alias("offset")).distinct()
+    slim = items.select("key", F.lit(0).cast("long").alias("print"), "text")
+    common = seed_table(slim, True).groupBy("hash").count().where(F.col("count") > hot_seeds).select("hash").collect()
+    hot = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in common], np.int64).view(np.uint64)))
+    tests = seed_table(slim, True, hot).select("hash", F.col("key").alias("item_id"), F.col("at").alias("place"))
+    hits = seed_table(docs, False, hot).join(tests, "hash").select("key", "print", "item_id", (F.col("at") - F.col("place")).alias("offset")).distinct()
     offsets = hits.groupBy("key", "print", "item_id").agg(F.collect_set("offset").alias("offsets"))
     texts = docs.dropDuplicates(["key", "print"])
     same = offsets["key"].eqNullSafe(texts["key"]) & (offsets["print"] == texts["print"])
@@ -224,7 +266,7 @@ def by_join(docs: DataFrame, items: DataFrame, result: str) -> DataFrame:
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", broadcast_seeds: int = 1_000_000
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", broadcast_seeds: int = 1_000_000, hot_seeds: int = 50
 ) -> DataFrame:
     """``key``, ``item_id``, ``n_equal`` of ``n_aligned`` words at the best offset, and ``item_words``, for each document and
     item that leaks into it."""
@@ -233,8 +275,11 @@ def leaks(
     kinds = {"kind": slim.schema["key"].dataType.simpleString(), "item": items.schema["key"].dataType.simpleString()}
     # a text has a seed for each mask and pair of bytes at most
     bound = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] * len(LONG_MASKS) // 2
-    search = by_broadcast if bound <= broadcast_seeds else by_join
-    found = search(slim, items, RESULT.format(**kinds))
+    if bound <= broadcast_seeds:
+        found = by_broadcast(slim, items, RESULT.format(**kinds))
+    else:
+        # of so many seeds a million at most are there more often
+        found = by_join(slim, items, RESULT.format(**kinds), max(hot_seeds, bound // MOST_HOT))
     merged = found.groupBy("key", "print", "item_id").agg(F.max(F.struct("n_equal", "n_aligned", "item_words")).alias("best"))
     return merged.select(F.col("key").alias(key), F.col("item_id").alias(item_key), "best.*")
 

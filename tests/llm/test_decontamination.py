@@ -4,7 +4,9 @@ import itertools
 import random
 import string
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillstone.llm import decontamination as d
 
@@ -52,16 +54,16 @@ def corpus():
     return rows, items
 
 
-@pytest.mark.parametrize("broadcast_seeds", [1_000_000, 0])
-def test_leaks_match_brute_force(spark, broadcast_seeds):
+@pytest.mark.parametrize("options", [{}, {"broadcast_seeds": 0}, {"broadcast_seeds": 0, "hot_seeds": 0}])
+def test_leaks_match_brute_force(spark, options):
     rows, items = corpus()
     docs = spark.createDataFrame([(k, t, "clash") for k, t in rows], "doc_id long, text string, print string").repartition(3)
     benchmark = spark.createDataFrame([(k, t, "clash") for k, t in items], "item_id long, text string, hash string")
-    got = [tuple(r) for r in d.leaks(docs, benchmark, broadcast_seeds=broadcast_seeds).collect()]
+    got = [tuple(r) for r in d.leaks(docs, benchmark, **options).collect()]
     want = brute(rows, [(k, t) for k, t in items])
     assert len(want) > 30
     assert sorted(got, key=repr) == sorted(want, key=repr)
-    clean = {r.doc_id for r in d.clean(docs, benchmark, broadcast_seeds=broadcast_seeds).collect()}
+    clean = {r.doc_id for r in d.clean(docs, benchmark, **options).collect()}
     assert clean == {k for k, _ in rows} - {w[0] for w in want}
 
 
@@ -72,6 +74,37 @@ def test_masks_hit_every_leak():
             assert any(not {p + m for m in d.MASKS[k]} & set(replaced) for k in d.masks_for(n) for p in range(n - d.MASKS[k][-1]))
 
 
+def test_completed_seeds_meet_in_every_leak():
+    """Whatever words are replaced, text and item share a completed seed at the same place of both."""
+    rng = np.random.default_rng(4)
+    for n in range(d.LEAST_WORDS, d.WINDOW + 1):
+        item = rng.integers(1, 2**63, n).astype(np.uint64)
+        for replaced in itertools.combinations(range(n), n - d.needed(n)):
+            text = item.copy()
+            text[list(replaced)] += np.uint64(1)
+            met = False
+            for mask in d.masks_for(n):
+                both = [set(zip(*(x.tolist() for x in d.completed(w, np.array([0, n]), mask, *d.seeds(w, np.array([0, n]), mask), own)))) for w, own in ((text, False), (item, True))]
+                met = met or bool(both[0] & both[1])
+            assert met, (n, replaced)
+
+
+def test_a_common_phrase_does_not_pair_all_texts(spark):
+    """Thirty documents and items that share a phrase of eight words meet in few rows once the phrase is completed."""
+    phrase = "which of the following is not a valid"
+    docs = spark.createDataFrame([(i, 0, f"a{i} b{i} c{i} {phrase} d{i} e{i} f{i} g{i}") for i in range(30)], "key long, print long, text string")
+    items = spark.createDataFrame([(i, 0, f"h{i} i{i} j{i} {phrase} k{i} l{i} m{i} n{i}") for i in range(29)] + [(29, 0, f"a7 b7 c7 {phrase} d7 other f7")], "key long, print long, text string")
+    hot = spark.sparkContext.broadcast(np.sort(np.array([r.hash for r in d.seed_table(items, True).groupBy("hash").count().where("count > 20").collect()], np.int64).view(np.uint64)))
+    assert len(hot.value) == 2
+
+    def met(*options):
+        return d.seed_table(docs, False, *options).join(d.seed_table(items, True, *options).select("hash", F.col("key").alias("item")), "hash").select("key", "item").distinct().count()
+
+    assert met() == 900 and met(hot) == 1
+    leaks = d.leaks(docs.withColumnRenamed("key", "doc_id"), items.withColumnRenamed("key", "item_id"), broadcast_seeds=0, hot_seeds=20)
+    assert [(r.doc_id, r.item_id) for r in leaks.collect()] == [(7, 29)]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     benchmark = spark.createDataFrame([], "item_id long, text string")
