@@ -4,6 +4,8 @@ Instants meet validities by time buckets: the borders of BUCKETS of them are dra
 buckets, which is cut into the fewest nodes of the binary tree over all buckets, two a level at most; an instant looks in the nodes above its bucket. Each
 validity and instant that may meet do so at one node exactly, and are then compared as text, so results do not depend on the borders. A side that
 is open reaches to the first or last bucket, so what always holds is the tree's root, and meets each instant once.
+
+Each side has many rows for one of its table, which no estimate by the sizes of files knows of; so the sides meet by a shuffle, and neither is broadcast.
 """
 
 from __future__ import annotations
@@ -46,6 +48,6 @@ def holding_at(df: DataFrame, instants: DataFrame, at: str = "at", on: Sequence[
     first = rank(F.col("valid_from"), between)  # 0 where there is none
     last = F.when(F.col("valid_until").isNull(), (1 << LEVELS) - 1).otherwise(rank(F.col("valid_until"), between))
     held = matching(df, q or AssertionQuery()).withColumn("__node", F.explode(_nodes(first, last)))
-    met = asked.join(held, [*on, "__node"])
+    met = asked.join(held.hint("merge"), [*on, "__node"])
     true = (F.col("valid_from").isNull() | (F.col("valid_from") <= F.col(at))) & (F.col("valid_until").isNull() | (F.col("valid_until") > F.col(at)))
     return met.where(true).drop("__node")

@@ -171,6 +171,12 @@ def test_instants_meet_validities_as_text(spark):
     assert sorted((r.n, r.ingest_seq) for r in one.collect()) == [x for x in want if held[x[1]][1] == "s1"]
 
 
+def test_no_side_of_instants_is_broadcast(spark):
+    df = spark.createDataFrame([(1, "s", "2026", None)], "ingest_seq long, subject string, valid_from string, valid_until string")
+    found = moments.holding_at(df, spark.createDataFrame([(1, "s", "2027")], "n long, subject string, at string"))
+    assert found.count() == 1 and "Broadcast" not in plan_of(found)
+
+
 def test_what_always_holds_is_one_node(spark):
     df = spark.createDataFrame([(1, 0, 1023), (2, 5, 5), (3, 1, 1022), (4, 9, 3)], "id int, a int, b int")
     nodes = {r.id: sorted(map(tuple, r.n)) for r in df.select("id", moments._nodes(F.col("a"), F.col("b")).alias("n")).collect()}
