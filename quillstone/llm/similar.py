@@ -8,8 +8,12 @@ BK-tree, its children keyed by their Hamming distance to the parent, finds the p
 
 Of a shard's pairs only those of FORESTS minimum spanning forests by distance go on, the second made without the pairs of the first, and so on:
 fewer than FORESTS times its texts, however dense a group of copies is. Each is then verified by the exact similarity of the two shingle sets,
-in a join; components of the links that hold are the groups. (Links of a minimum spanning forest that pass a threshold join what all links
-that pass it join, as far as the distance orders pairs as their similarity does; the further forests are for where it does not.) A shard of more than ``split_over`` texts, as of one huge group, is dealt again by further bits of its table.
+in a join; components of the links that hold are groups so far. A shard of more than ``split_over`` texts, as of one huge group, is dealt again by further bits of its table.
+
+What fingerprints have not joined is settled exactly (``rest``): two sets of the similarity have a shingle in common among the first few of each, in any order
+of all shingles, as many as a set may lack and one. Texts meet at those shingles, unless all that meet there are in one group already; pairs of different groups
+whose sizes and places allow the similarity are verified as above. Frequent shingles come last in the order, and those at which many texts still meet are
+dealt to cells of two blocks each. So the groups are the components of all links that reach the similarity, whatever the fingerprints have found.
 
 Defined results: words are those of operator 8, in lower case; a text with fewer words than a shingle has one shingle; texts without words are
 equal to each other and to no others; rows of equal shingle sets are one text; rows with a null key take part, and stand behind all
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +43,12 @@ RADIUS = 48
 SHARD = 256
 FURTHER = 12
 FORESTS = 3
+#: Texts that meet at a shingle before it counts as frequent, how many shingles do at most, and the rounds in which they are looked for.
+FREQUENT = 64
+MOST_FREQUENT = 100_000
+ROUNDS = 3
+#: Texts of a block, two of which make a cell.
+BLOCK = 500
 #: Keys of rows that are broadcast at most.
 MOST_BROADCAST = 500_000
 _LOWER = np.frombuffer(LOWER, np.uint8)
@@ -178,8 +189,89 @@ def candidates(distinct: DataFrame, n: int, radius: int, recall: float, split_ov
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose sets (id, items) are so similar."""
     first, second = (sets.select(F.col("id").alias(c), F.col("items").alias(f"{c}_items")) for c in ("a", "b"))
-    common = F.size(F.array_intersect("a_items", "b_items"))
-    return pairs.join(first, "a").join(second, "b").where(common >= similarity * (F.size("a_items") + F.size("b_items") - common)).select("a", "b")
+    common, least = F.size(F.array_intersect("a_items", "b_items")).cast("long"), exact(similarity)
+    every = F.size("a_items") + F.size("b_items") - common
+    return pairs.join(first, "a").join(second, "b").where(common * least.denominator >= every * least.numerator).select("a", "b")
+
+
+def exact(similarity: float) -> Fraction:
+    """The number as it is written in decimals, so that a similarity equal to it reaches it."""
+    return Fraction(str(similarity))
+
+
+def heads(sets: DataFrame, similarity: float, frequent: np.ndarray) -> DataFrame:
+    """(item, id, root, size, place): the first shingles of each set (id, root, items), those in ``frequent`` (rising) last; as many as a set of the
+    similarity may lack, and one."""
+    least = exact(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, roots_, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            sizes = lists.value_lengths().to_numpy().astype(np.int64)
+            items = lists.flatten().to_numpy()
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            if len(frequent):
+                at = np.minimum(np.searchsorted(frequent, items), len(frequent) - 1)
+                items = items[np.lexsort((frequent[at] == items, owner))]  # stable: otherwise as they were
+            place = np.arange(len(items)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            own = np.flatnonzero(place < (sizes + (-least.numerator * sizes) // least.denominator + 1)[owner])
+            of = owner[own]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (items[own], ids[of], roots_[of], sizes[of].astype(np.int32), place[own].astype(np.int32))], names)
+
+    names = ["item", "id", "root", "size", "place"]
+    return sets.select("id", "root", "items").mapInArrow(run, "item long, id long, root long, size int, place int")
+
+
+def rest(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of the sets (id, root, items) of different roots that may be so similar."""
+    least = exact(similarity)
+    frequent = np.zeros(0, np.int64)
+    for _ in range(ROUNDS):
+        rows = heads(sets, similarity, frequent)
+        many = rows.groupBy("item").agg(F.count("*").alias("n"), F.min("root").alias("first"), F.max("root").alias("last")).where(f"n > {FREQUENT} AND first < last")
+        large = checkpointed(many.select("item", "n"))
+        found = [r[0] for r in large.orderBy(F.desc("n"), "item").limit(MOST_FREQUENT).collect()]
+        more = np.union1d(frequent, np.array(found, np.int64))[:MOST_FREQUENT]
+        if len(more) == len(frequent):
+            break
+        frequent = more
+    else:
+        rows = heads(sets, similarity, frequent)
+        large = checkpointed(rows.groupBy("item").count().where(F.col("count") > FREQUENT).select("item", F.col("count").alias("n")))
+
+    # a few texts meet in one cell; many in one for every two of their blocks
+    blocks = F.ceil(F.coalesce("n", F.lit(1)) / BLOCK)
+    mine = F.pmod(F.xxhash64("id"), "blocks")
+    met = rows.join(F.broadcast(large) if large.count() <= MOST_BROADCAST else large, "item", "left").withColumn("blocks", blocks).withColumn("mine", mine)
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.when(F.col("blocks") == 1, F.col("item")).otherwise(F.xxhash64("item", F.least("mine", "other"), F.greatest("mine", "other")))
+    side = F.when(F.col("mine") == F.col("other"), -1).otherwise(F.col("mine").cast("int"))
+
+    def walk(shard: np.ndarray, own: list[np.ndarray]) -> pa.RecordBatch:
+        order = np.lexsort((own[2], shard))
+        shard, (ids, of, sizes, places, sides) = shard[order], (x[order] for x in own)
+        sizes, places = sizes.astype(np.int64), places.astype(np.int64)
+        begins = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+        ends = np.r_[begins[1:], len(shard)]
+        mixed = np.minimum.reduceat(of, begins) < np.maximum.reduceat(of, begins)
+        end = np.repeat(np.where(mixed, ends, 0), ends - begins)
+        live, by, pairs = np.arange(len(shard)), 0, [np.zeros((0, 2), np.int64)]
+        while True:
+            by += 1
+            live = live[live + by < end[live]]
+            # sizes rise within a cell, so what is too large once stays so
+            live = live[sizes[live] * least.denominator >= sizes[live + by] * least.numerator]
+            if not len(live):
+                break
+            i, j = live, live + by
+            common = np.minimum(sizes[i] - places[i], sizes[j] - places[j])  # at most, where this is the first that they share
+            use = (of[i] != of[j]) & ((sides[i] != sides[j]) | (sides[i] == -1)) & (common * (least.numerator + least.denominator) >= (sizes[i] + sizes[j]) * least.numerator)
+            if use.any():
+                pairs.append(np.stack([np.maximum(ids[i[use]], ids[j[use]]), np.minimum(ids[i[use]], ids[j[use]])], 1))
+        found = np.unique(np.concatenate(pairs), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], ["a", "b"])
+
+    return by_shard(met.select(cell.alias("shard"), "id", "root", "size", "place", side.alias("side")), walk).distinct()
 
 
 def shingle_table(texts: DataFrame, words: int) -> DataFrame:
@@ -201,11 +293,19 @@ def groups(rows: DataFrame, words: int, similarity: float, radius: int, recall:
     made = checkpointed(prints(rows, words))
     distinct = checkpointed(made.groupBy(F.col("shingles").alias("id")).agg(F.min("who").alias("least"), *(F.first(f"p{k}").alias(f"p{k}") for k in range(WORDS_OF_64))))
     pairs = checkpointed(candidates(distinct, distinct.count(), radius, recall, split_over))
-    members = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(distinct.select("id", F.col("least").alias("who")), "id")
-    texts = rows.join(members, "who").dropDuplicates(["id"]).select("id", "text")
-    links = checkpointed(verified(pairs, checkpointed(shingle_table(texts, words)), similarity))
+    texts = rows.join(distinct.select("id", F.col("least").alias("who")), "who").dropDuplicates(["id"]).select("id", "text")
+    sets = checkpointed(shingle_table(texts, words))
+    links = checkpointed(verified(pairs, sets, similarity))
     root = connected(links).select(F.col("node").alias("id"), "root")
-    placed = distinct.select("id", "least").join(root, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root"))
+    placed = checkpointed(distinct.select("id", "least").join(root, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")))
+    joined = placed.where("root != id").select("id", "root")
+    known = sets.join(F.broadcast(joined) if joined.count() <= MOST_BROADCAST else joined, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "items")
+    more = checkpointed(verified(checkpointed(rest(known, similarity)), sets, similarity))
+    if not more.isEmpty():
+        for c in ("a", "b"):
+            more = more.join(placed.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root")), c)
+        whole = connected(more.select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("whole"))
+        placed = placed.join(whole, "root", "left").select("id", "least", F.coalesce("whole", "root").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("least"))
     return made.select("who", F.col("shingles").alias("id")).join(placed.select("id", "root"), "id").join(named, "root").select("who", "least")
 

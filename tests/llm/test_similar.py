@@ -81,6 +81,25 @@ def test_groups_match_brute_force(spark):
     assert lost <= 0.02 * total
 
 
+@pytest.mark.parametrize(("frequent", "block"), [(64, 500), (2, 3)])
+def test_links_that_fingerprints_do_not_find(spark, monkeypatch, frequent, block):
+    monkeypatch.setattr(similar, "FREQUENT", frequent)
+    monkeypatch.setattr(similar, "BLOCK", block)
+    texts = [*copies(3), *(" ".join(f"w{i}" for i in range(k, k + 40)) for k in range(12))]
+    want = groups_of(len(texts), brute_links([shingles(t) for t in texts]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "who long, text string")
+    # at this radius fingerprints find next to nothing
+    got = {r.who: r.least for r in similar.groups(rows, 5, 0.8, 1, 0.5, 20_000).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_a_similarity_that_is_just_reached(spark):
+    sets = spark.createDataFrame([(1, list(range(100))), (2, list(range(55)))], "id long, items array<long>")
+    pairs = spark.createDataFrame([(2, 1)], "a long, b long")
+    assert similar.verified(pairs, sets, 0.55).count() == 1
+    assert similar.verified(pairs, sets, 0.56).count() == 0
+
+
 @pytest.mark.parametrize("chunk", [similar.CHUNK, 7])
 def test_sets_and_fingerprints_do_not_depend_on_other_texts(monkeypatch, chunk):
     monkeypatch.setattr(similar, "CHUNK", chunk)
