@@ -13,6 +13,8 @@ from quillstone.plans.extensions import sources
 from quillstone.plans.shared import forget, written
 
 KIND = "source_assertion_ids"
+#: Pairs of a stride for each link at most.
+WIDE = 4
 
 
 @dataclass(frozen=True)
@@ -37,27 +39,35 @@ def dangling(df: DataFrame) -> DataFrame:
 
 
 def closure(df: DataFrame, seeds: DataFrame | None = None) -> Closure:
-    """All sources of the rows of ``df``, or of the assertions in ``seeds`` (one column of ids). Semi-naive: each round joins only the
-    pairs that the last one found to the links and keeps those that are new, so it ends after as many rounds as the longest way has steps, in cycles
-    too. Rows without sources reach nothing; an id that several rows have stands for all of them."""
+    """All sources of the rows of ``df``, or of the assertions in ``seeds`` (one column of ids). Rows without sources reach nothing; an id that several rows
+    have stands for all of them.
+
+    Ways are doubled: where all pairs of up to n steps are known, a shortest way of n + 1 to n + stride steps is one of more than n - stride steps to
+    a pair of exactly ``stride`` steps. The stride is the largest power of two up to n with no more than WIDE times as many pairs as there are links, so chains take
+    the logarithm of their length in rounds, and dense graphs, whose far pairs are very many, are followed by links alone. It ends with the round
+    that finds no new pair, in cycles too. Strides are those of all rows; with ``seeds`` the ways begin there, and only links are followed."""
     spark = df.sparkSession
     held, links_path = written(links(df))
     first = held
     if seeds is not None:
         first = held.join(seeds.select(F.col(seeds.columns[0]).alias("assertion_id")).distinct(), "assertion_id", "left_semi")
     fresh, path = written(first.withColumn("steps", F.lit(1)))
-    reached, steps, paths = fresh, 0, []
-    while not fresh.isEmpty():
-        steps += 1
+    paths, counts, known = [path], {1: fresh.count()}, 1
+    most = WIDE * held.count() if seeds is None else 0
+    while counts.get(known):
+        stride = 1
+        while 2 * stride <= known and counts[2 * stride] <= most:
+            stride *= 2
+        reached = spark.read.parquet(*paths)
+        by = (held.withColumn("steps", F.lit(1)) if stride == 1 else reached.where(F.col("steps") == stride)).select(F.col("assertion_id").alias("source_id"), F.col("source_id").alias("further"))
+        met = reached.where(F.col("steps") > known - stride).join(by, "source_id").groupBy("assertion_id", F.col("further").alias("source_id")).agg(F.min("steps").alias("steps"))
+        fresh, path = written(met.join(reached.select("assertion_id", "source_id"), ["assertion_id", "source_id"], "left_anti").withColumn("steps", F.col("steps") + stride))
         paths.append(path)
-        on = held.select(F.col("assertion_id").alias("source_id"), F.col("source_id").alias("further"))
-        met = fresh.join(on, "source_id").select("assertion_id", F.col("further").alias("source_id")).distinct()
-        fresh, path = written(met.join(reached, ["assertion_id", "source_id"], "left_anti").withColumn("steps", F.lit(steps + 1)))
-        reached = reached.unionByName(fresh)
-    reached, _ = written(reached)
-    for old in (*paths, path, links_path):
-        forget(spark, old)
-    return Closure(reached, reached.where("assertion_id = source_id").select("assertion_id", "steps"), steps)
+        counts |= {r["steps"]: r["count"] for r in fresh.groupBy("steps").count().collect()}
+        known += stride
+    reached = spark.read.parquet(*paths)
+    forget(spark, links_path)
+    return Closure(reached, reached.where("assertion_id = source_id").select("assertion_id", "steps"), max((n for n in counts if counts[n]), default=0))
 
 
 def source_fingerprints(df: DataFrame) -> DataFrame:

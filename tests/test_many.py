@@ -184,6 +184,24 @@ def test_what_always_holds_is_one_node(spark):
     assert len(nodes[3]) == 18 and sum(1 << level for level, _ in nodes[3]) == 1022
 
 
+def test_ways_are_doubled(spark, monkeypatch):
+    rng = random.Random(6)
+    chain = {f"c{i}": [f"c{i + 1}"] for i in range(40)} | {f"r{i}": [f"r{(i + 1) % 7}", f"c{30 + i}"] for i in range(7)} | {f"m{i}": [f"m{rng.randrange(9)}", f"m{rng.randrange(9)}"] for i in range(9)}
+    want = {}
+    for start in chain:
+        level, steps = set(chain[start]), 1
+        while level:
+            want |= {(start, x): steps for x in level}
+            level, steps = {y for x in level for y in chain.get(x, ()) if (start, y) not in want}, steps + 1
+    text = {k: '{"source_assertion_ids":[' + ",".join(f'"{x}"' for x in v) + "]}" for k, v in chain.items()}
+    df = spark.createDataFrame([(n, k, t) for n, (k, t) in enumerate(text.items())], "ingest_seq long, assertion_id string, provenance_json string")
+    rounds, real = [], lineage.written
+    monkeypatch.setattr(lineage, "written", lambda x: rounds.append(1) or real(x))
+    got = lineage.closure(df)
+    assert {(r.assertion_id, r.source_id): r.steps for r in got.reached.collect()} == want and got.steps == 40
+    assert len(rounds) < 12
+
+
 def test_closure_of_sources(spark):
     named = {"a": ["b", " c "], "b": ["d"], "c": ["d"], "d": [], "x": ["y"], "y": ["z"], "z": ["x"], "u": ["gone"], "v": ["v"]}
     text = {k: '{"source_assertion_ids":[' + ",".join(f'"{x}"' for x in v) + "]}" for k, v in named.items()}
