@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 SAMPLE = 10_000
 CHARS = 64
 BITS = 6
+#: Borders from which a rank is looked up in an array, as a tree of comparisons would be too large to compile.
+FEW = 1 << BITS
 
 
 def borders(df: DataFrame, columns: Sequence[str], bits: int = BITS, sample: int = SAMPLE) -> dict[str, list[str]]:
@@ -29,6 +31,15 @@ def rank(value: Column, between: Sequence[str]) -> Column:
     """How many of the rising ``between`` are no more than the value, by halving; below 2**n for 2**n - 1 of them."""
     if not between:
         return F.lit(0)
+    if len(between) < FEW:  # comparisons that are compiled
+
+        def half(low: int, high: int) -> Column:
+            if low == high:
+                return F.lit(low)
+            middle = (low + high) // 2
+            return F.when(F.lit(between[middle]) <= value, half(middle + 1, high)).otherwise(half(low, middle))
+
+        return half(0, len(between))
     held = F.array(*map(F.lit, between))
     steps = [1 << i for i in reversed(range(len(between).bit_length()))]
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) <= value, at + step).otherwise(at))
