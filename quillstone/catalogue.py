@@ -199,10 +199,10 @@ def store_streamed_and_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = fixtures.given_events(spark, sf_dir).drop("ingest_seq").withColumn("vector", F.lit(None).cast("array<double>"))
     store = AssertionStore(spark, f"{folder}/data", profile="structured")
     store.add_frame(given.where("subject LIKE '%1\t'"))
-    given.where("subject NOT LIKE '%1\t'").repartition(2).write.parquet(f"{folder}/given")
+    files = in_files(given.where("subject NOT LIKE '%1\t'"), 2, f"{folder}/given")
 
     def stream() -> None:
-        rows = append.given_stream(spark, f"{folder}/given", maxFilesPerTrigger=1)
+        rows = append.given_stream(spark, f"{folder}/given", maxFilesPerTrigger=files)
         append.append_stream(rows, store.path, f"{folder}/checkpoint").awaitTermination()
 
     stream()
@@ -217,6 +217,13 @@ def store_streamed_and_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def in_files(rows: DataFrame, triggers: int, path: str) -> int:
+    """Writes rows in no order for a stream of some triggers, in files of some 500,000 rows; returns the number of files of a trigger."""
+    files = -(-rows.count() // (triggers * 500_000)) or 1
+    rows.repartition(triggers * files, F.xxhash64(*rows.columns)).write.parquet(path)
+    return files
+
+
 _STORES: dict[tuple[str, str, str], str] = {}
 
 
