@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.catalogue import _EVENTS, _ISO, _PROBE, _SCORED, _STORED_COLUMNS, _STORED_ROW, _TEXT_SQL, _WORDS, _events_sql
+from quillstone.catalogue import _EVENTS, _ISO, _PROBE, _SCORED, _STORED_COLUMNS, _STORED_ROW, _TEXT_SQL, _WORDS, _events_sql, in_files
 from quillstone.functions.terms import iso_utc
 from quillstone.operators.questions import answers
 from quillstone.operators.request import AssertionQuery
@@ -387,8 +387,8 @@ def latest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last row of each key, of files that come in no order over three triggers."""
     folder = f"{shared_folder(spark)}/{uuid.uuid4()}"
     rows = fixtures.events(spark, sf_dir).select("ingest_seq", *_STORED_COLUMNS)
-    rows.repartition(3, F.xxhash64("ingest_seq")).write.parquet(f"{folder}/given")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/given")
+    files = in_files(rows, 3, f"{folder}/given")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/given")
     latest.latest_stream(stream, f"{folder}/latest", f"{folder}/checkpoint").awaitTermination()
     return latest.latest_rows(spark, f"{folder}/latest").select("ingest_seq", *_STORED_COLUMNS)
 
