@@ -22,8 +22,9 @@ from quillstone.operators.request import AssertionQuery, matching
 #: Numbers of the rows, and of the questions, of a group.
 ROW_NUMBERS = 4_000_000
 QUESTION_NUMBERS = 500_000
-#: Rows of a tile, and groups that are merged at once.
+#: Rows, and questions, of a tile; pairs of it that are scored at once, and groups that are merged at once.
 TILE = 2048
+PAIRS = 250_000
 MERGED = 64
 #: How far a product of tiles may be from the score.
 NEARLY = 1e-9
@@ -65,9 +66,12 @@ def _first(question: np.ndarray, row: np.ndarray, score: np.ndarray, k: int) ->
 
 
 def _best(rows: pa.Table, questions: pa.Table, k: int, least: float, other: bool) -> pa.Table:
-    kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-    for asked, q in _matrices(questions):
-        for ids, matrix in _matrices(rows):
+    out = [[np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]]
+    held = _matrices(rows)
+    tiles = [(asked[i : i + TILE], q[i : i + TILE]) for asked, q in _matrices(questions) for i in range(0, len(asked), TILE)]
+    for asked, q in tiles:
+        kept = out[0]
+        for ids, matrix in held:
             size = min(q.shape[1], matrix.shape[1])
             near = _unit(q[:, :size])
             for begin in range(0, len(ids), TILE):
@@ -79,11 +83,15 @@ def _best(rows: pa.Table, questions: pa.Table, k: int, least: float, other: bool
                 if k < len(own):
                     bound = np.maximum(bound, np.partition(product, len(own) - k, axis=1)[:, len(own) - k])
                 a, b = np.nonzero((product >= bound[:, None] - NEARLY) & (product > -np.inf))
-                score = _scores(q[a, :size], tile[b])
-                use = score >= least
-                kept = [np.concatenate(x) for x in zip(kept, (asked[a[use]], own[b[use]], score[use]))]
-                some = _first(*kept, k)
-                kept = [x[some] for x in kept]
+                for i in range(0, len(a), PAIRS):  # equal scores can be many more than k
+                    a_, b_ = a[i : i + PAIRS], b[i : i + PAIRS]
+                    score = _scores(q[a_, :size], tile[b_])
+                    use = score >= least
+                    kept = [np.concatenate(x) for x in zip(kept, (asked[a_[use]], own[b_[use]], score[use]))]
+                    some = _first(*kept, k)
+                    kept = [x[some] for x in kept]
+        out.append(kept)
+    kept = [np.concatenate(x) for x in zip(*out)]
     return pa.table({"question_id": kept[0], "id": kept[1], "score": kept[2], "salt": pa.array([rows["salt"][0].as_py()] * len(kept[0]), pa.int32())})
 
 
