@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.plans.shared import forget, made_folder, names_in, renamed, written
+from quillstone.plans.shared import checkpointed, forget, made_folder, names_in, renamed, written
 from quillstone.sources.embedders import TextEmbedder
 
 PART_TEXTS = 100_000
@@ -56,8 +56,13 @@ class VectorTable:
         """Embeds what the table lacks of the texts in the one column of ``texts``; returns how many that were. A text for which the embedder gives no vector
         stays unknown, and is asked for again by the next call."""
         text = F.coalesce(F.col(texts.columns[0]).cast("string"), F.lit(""))
-        distinct = texts.select(digest_of(text).alias("digest"), text.alias("text")).dropDuplicates(["digest"])
-        missing, path = written(distinct.join(self.frame().select("digest"), "digest", "left_anti"))
+        told = texts.select(digest_of(text).alias("digest"), text.alias("text"))
+        if names_in(self.spark, self.path):  # what is known is told by the digests alone, without the texts
+            lacking = checkpointed(told.select("digest").distinct().join(self.frame().select("digest"), "digest", "left_anti"))
+            if lacking.isEmpty():
+                return 0
+            told = told.join(lacking, "digest", "left_semi")
+        missing, path = written(told.dropDuplicates(["digest"]))
         n = missing.count()
         parts = -(-n // PART_TEXTS)
         batch, tries, wait_s = self.batch, self.tries, self.wait_s
@@ -76,7 +81,9 @@ class VectorTable:
             own = missing.where(F.pmod(F.xxhash64("digest"), F.lit(parts)) == part)
             pending, number = f"{self.path}/_pending-{uuid.uuid4()}", uuid.uuid4()
             made_folder(self.spark, self.path)
-            own.repartition(self.in_flight).mapInArrow(embed, SCHEMA).write.parquet(pending)
+            # many files need no shuffle to become as many tasks
+            own = own.coalesce(self.in_flight) if own.rdd.getNumPartitions() >= self.in_flight else own.repartition(self.in_flight)
+            own.mapInArrow(embed, SCHEMA).write.parquet(pending)
             renamed(self.spark, pending, f"{self.path}/part={number}")
         forget(self.spark, path)
         return n
