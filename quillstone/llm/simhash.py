@@ -148,8 +148,8 @@ def spanning(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, n
     return moved, root[moved]
 
 
-def by_shard(rows: DataFrame, walk: Callable[[np.ndarray, list[np.ndarray]], pa.RecordBatch]) -> DataFrame:
-    """(a, b): what ``walk`` finds in the rows (shard, ...) of whole shards, some of them together up to TOGETHER rows."""
+def by_shard(rows: DataFrame, walk: Callable[[np.ndarray, list[np.ndarray]], pa.RecordBatch], kind: str = "a long, b long", together: int | None = None) -> DataFrame:
+    """(a, b) or as ``kind`` says: what ``walk`` finds in the rows (shard, ...) of whole shards, some of them together up to ``together`` rows, or TOGETHER."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -157,7 +157,7 @@ def by_shard(rows: DataFrame, walk: Callable[[np.ndarray, list[np.ndarray]], pa.
             columns = [c.to_numpy() for c in batch.columns]
             if not batch.num_rows:
                 continue
-            if sum(len(h[0]) for h in held) + batch.num_rows > TOGETHER:
+            if sum(len(h[0]) for h in held) + batch.num_rows > (together or TOGETHER):
                 # what belongs to the last shard waits for the rest of it
                 shard, *own = (np.concatenate(x) for x in zip(*held, columns))
                 cut = int(np.searchsorted(shard, shard[-1]))
@@ -170,7 +170,7 @@ def by_shard(rows: DataFrame, walk: Callable[[np.ndarray, list[np.ndarray]], pa.
             shard, *own = (np.concatenate(x) for x in zip(*held))
             yield walk(shard, own)
 
-    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long")
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, kind)
 
 
 def dealt(rows: DataFrame, parts: int) -> DataFrame:

@@ -11,10 +11,13 @@ fewer than FORESTS times its texts, however dense a group of copies is. Each is
 in a join; components of the links that hold are groups so far. A shard of more than ``split_over`` texts, as of one huge group, is dealt again by further bits of its table.
 
 What fingerprints have not joined is settled exactly (``rest``): two sets of the similarity have a shingle in common among the first few of each, in any order
-of all shingles, as many as a set may lack and one. Texts meet at those shingles, unless all that meet there are in one group already; pairs of different groups
-whose sizes and places allow the similarity are verified as above. Frequent shingles come last in the order, and those at which many texts still meet are
+of all shingles, as many as a set may lack and one. Most of these first shingles are in one text only, so they travel as eight bytes each, in packed rows, and go on
+if another text has them. There texts meet, unless all that meet are in one group already; pairs of different groups are verified as above if their sizes and the number
+of first shingles that they share allow the similarity. Frequent shingles come last in the order, and those at which many texts still meet are
 dealt to cells of two blocks each. So the groups are the components of all links that reach the similarity, whatever the fingerprints have found.
 
+The sets of shingles, larger than the texts, are not kept: they are made again where they are needed, and travel for the texts of pairs only.
+
 Defined results: words are those of operator 8, in lower case; a text with fewer words than a shingle has one shingle; texts without words are
 equal to each other and to no others; rows of equal shingle sets are one text; rows with a null key take part, and stand behind all
 others; an empty table gives an empty table; other columns stay; very long texts are taken whole.
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.components import connected
 from quillstone.llm.simhash import CHUNK, LOWER, by_shard, roots, tree_links
 from quillstone.llm.words import find_words, mix, run_hashes, slices, span_hashes, text_bytes, word_digests
-from quillstone.plans.shared import checkpointed
+from quillstone.plans.shared import checkpointed, forget, written
 
 WORDS_OF_64 = 4
 BITS = 64 * WORDS_OF_64
@@ -47,11 +50,16 @@ FORESTS = 3
 FREQUENT = 64
 MOST_FREQUENT = 100_000
 ROUNDS = 3
-#: Texts of a block, two of which make a cell.
+#: Texts of a block, two of which make a cell, and rows of cells that are walked together.
 BLOCK = 500
+CELLS = 10_000
+#: First shingles of a bucket, as many as are wished for, and those that a task packs at once.
+BUCKET = 250_000
+PACKED = 1_000_000
 #: Keys of rows that are broadcast at most.
 MOST_BROADCAST = 500_000
 _LOWER = np.frombuffer(LOWER, np.uint8)
+_LOW = np.uint64(2**32 - 1)
 _SALTS = [np.uint64(x) for x in np.random.default_rng(8).integers(1, 2**63, WORDS_OF_64)]
 
 
@@ -92,20 +100,25 @@ def fingerprints(found: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_ids(found: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash of each set."""
+    sums = np.r_[np.zeros(1, np.uint64), np.cumsum(mix(found + np.uint64(3)))]
+    return mix(sums[starts[1:]] - sums[starts[:-1]])
+
+
 def prints(docs: DataFrame, words: int) -> DataFrame:
-    """(who, shingles, p0, ...): for each row (who, text) a hash of its shingle set and its fingerprint."""
+    """(who, shingles, size, p0, ...): for each row (who, text) a hash of its shingle set, its size and its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, length in slices(batch.column(1)):
                 part = batch.slice(begin, length)
                 found, starts = shingle_sets(part.column(1), words)
-                sums = np.r_[np.zeros(1, np.uint64), np.cumsum(mix(found + np.uint64(3)))]
-                of_set = mix(sums[starts[1:]] - sums[starts[:-1]]).view(np.int64)
+                of_set, sizes = set_ids(found, starts).view(np.int64), np.diff(starts).astype(np.int64)
                 wide = fingerprints(found, starts).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(of_set), *(pa.array(np.ascontiguousarray(wide[:, k])) for k in range(WORDS_OF_64))], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(of_set), pa.array(sizes), *(pa.array(np.ascontiguousarray(wide[:, k])) for k in range(WORDS_OF_64))], names)
 
-    names = ["who", "shingles", *(f"p{k}" for k in range(WORDS_OF_64))]
+    names = ["who", "shingles", "size", *(f"p{k}" for k in range(WORDS_OF_64))]
     return docs.mapInArrow(run, f"who {docs.schema['who'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names[1:]))
 
 
@@ -199,45 +212,107 @@ def exact(similarity: float) -> Fraction:
     return Fraction(str(similarity))
 
 
-def heads(sets: DataFrame, similarity: float, frequent: np.ndarray) -> DataFrame:
-    """(item, id, root, size, place): the first shingles of each set (id, root, items), those in ``frequent`` (rising) last; as many as a set of the
-    similarity may lack, and one."""
-    least = exact(similarity)
+def firsts(sizes: np.ndarray, least: Fraction) -> np.ndarray:
+    """As many elements as a set of each size may lack, and one."""
+    return sizes + (-least.numerator * sizes) // least.denominator + 1
+
+
+def heads(texts: DataFrame, words: int, similarity: float, frequent: np.ndarray, bits: int) -> DataFrame:
+    """(part, bucket, told, packed): the first shingles of each text (who, text), those in ``frequent`` (rising keys) last. A shingle's key is the first
+    32 + ``bits`` bits of its mixed hash, the first of which tell its bucket; ``packed`` has the others and the lowest 32 bits of the id of the set. Of a shingle
+    that some texts of a task share, two go to its bucket; the others are ``told`` already and go to any part."""
+    least, buckets = exact(similarity), 1 << bits
+
+    def pack(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, ids = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(keys, kind="stable")
+        keys, ids = keys[order], ids[order]
+        begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        told = np.arange(len(keys)) - np.repeat(begins, np.diff(np.r_[begins, len(keys)])) >= 2
+        packed, bucket = keys << np.uint64(32) | ids & _LOW, (keys >> np.uint64(32)).astype(np.int64)
+        rows: list[tuple[int, int, bool, bytes]] = []
+        for flag in (False, True):
+            own = np.flatnonzero(told == flag)
+            cuts = np.flatnonzero(np.r_[True, bucket[own][1:] != bucket[own][:-1]]) if len(own) else []
+            for some in np.split(own, cuts[1:]) if len(own) else []:
+                at = int(bucket[some[0]])
+                rows.append((buckets + int(ids[some[0]] % np.uint64(buckets)) if flag else at, at, flag, packed[some].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], ["part", "bucket", "told", "packed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for begin, length in slices(batch.column(1)):
+                found, starts = shingle_sets(batch.column(1).slice(begin, length), words)
+                ids, sizes = set_ids(found, starts), np.diff(starts)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                keys = mix(found) >> np.uint64(32 - bits)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)
+                    keys = keys[np.lexsort((frequent[at] == keys, owner))]  # stable: otherwise as they were
+                own = np.arange(len(keys)) - starts[owner] < firsts(sizes, least)[owner]
+                held.append((keys[own], ids[owner[own]]))
+                if sum(len(k) for k, _ in held) > PACKED:
+                    yield pack(held)
+                    held = []
+        if any(len(k) for k, _ in held):
+            yield pack(held)
+
+    return texts.select("who", "text").mapInArrow(run, "part long, bucket long, told boolean, packed binary")
+
+
+def shared(packed: DataFrame) -> DataFrame:
+    """(item, low): the key of each shingle that several of the texts in ``heads`` have, and the lowest bits of the ids of their sets."""
+
+    def rows(bucket: int, values: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array((values >> np.uint64(32)).astype(np.int64) | bucket << 32), pa.array((values & _LOW).astype(np.int64))], ["item", "low"])
+
+    def met(bucket: int, held: list[bytes]) -> pa.RecordBatch:
+        values = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in held]))
+        same = values[1:] >> np.uint64(32) == values[:-1] >> np.uint64(32)
+        return rows(bucket, values[np.r_[same, False] | np.r_[False, same]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], -1
         for batch in batches:
-            ids, roots_, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            sizes = lists.value_lengths().to_numpy().astype(np.int64)
-            items = lists.flatten().to_numpy()
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            if len(frequent):
-                at = np.minimum(np.searchsorted(frequent, items), len(frequent) - 1)
-                items = items[np.lexsort((frequent[at] == items, owner))]  # stable: otherwise as they were
-            place = np.arange(len(items)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            own = np.flatnonzero(place < (sizes + (-least.numerator * sizes) // least.denominator + 1)[owner])
-            of = owner[own]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (items[own], ids[of], roots_[of], sizes[of].astype(np.int32), place[own].astype(np.int32))], names)
-
-    names = ["item", "id", "root", "size", "place"]
-    return sets.select("id", "root", "items").mapInArrow(run, "item long, id long, root long, size int, place int")
-
-
-def rest(sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of the sets (id, root, items) of different roots that may be so similar."""
-    least = exact(similarity)
-    frequent = np.zeros(0, np.int64)
-    for _ in range(ROUNDS):
-        rows = heads(sets, similarity, frequent)
+            for bucket, told, value in zip(*(batch.column(c).to_pylist() for c in ("bucket", "told", "packed"))):
+                if told:
+                    yield rows(bucket, np.frombuffer(value, np.uint64))
+                    continue
+                if held and bucket != last:
+                    yield met(last, held)
+                    held = []
+                held.append(value)
+                last = bucket
+        if held:
+            yield met(last, held)
+
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(run, "item long, low long")
+
+
+def rest(texts: DataFrame, placed: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): all pairs of the texts (who, text), one for each set (id, root, size) of ``placed``, of different roots that may be so similar."""
+    spark, least = texts.sparkSession, exact(similarity)
+    n, elements = placed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    total = n + elements * (least.denominator - least.numerator) // least.denominator
+    bits = min(30, max(6, math.ceil(math.log2(max(1, total / BUCKET)))))
+    own = placed.select(F.col("id").bitwiseAND(F.lit(int(_LOW))).alias("low"), "id", "root", "size")
+    frequent = np.zeros(0, np.uint64)
+    for left in reversed(range(ROUNDS + 1)):
+        found, path = written(shared(heads(texts, words, similarity, frequent, bits)))
+        # where two ids have the same lowest bits both stand for either, which adds pairs but loses none
+        rows = found.join(own, "low").select("item", "id", "root", "size")
         many = rows.groupBy("item").agg(F.count("*").alias("n"), F.min("root").alias("first"), F.max("root").alias("last")).where(f"n > {FREQUENT} AND first < last")
         large = checkpointed(many.select("item", "n"))
-        found = [r[0] for r in large.orderBy(F.desc("n"), "item").limit(MOST_FREQUENT).collect()]
-        more = np.union1d(frequent, np.array(found, np.int64))[:MOST_FREQUENT]
+        # once few pairs meet at frequent shingles, another round costs more than they do
+        if not left or 4 * (large.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0) <= total:
+            break
+        more = [r[0] for r in large.orderBy(F.desc("n"), "item").limit(MOST_FREQUENT).collect()]
+        more = np.union1d(frequent, np.array(more, np.uint64))[:MOST_FREQUENT]
         if len(more) == len(frequent):
             break
         frequent = more
-    else:
-        rows = heads(sets, similarity, frequent)
-        large = checkpointed(rows.groupBy("item").count().where(F.col("count") > FREQUENT).select("item", F.col("count").alias("n")))
+        forget(spark, path)
 
     # a few texts meet in one cell; many in one for every two of their blocks
     blocks = F.ceil(F.coalesce("n", F.lit(1)) / BLOCK)
@@ -249,13 +324,12 @@ def rest(sets: DataFrame, similarity: float) -> DataFrame:
 
     def walk(shard: np.ndarray, own: list[np.ndarray]) -> pa.RecordBatch:
         order = np.lexsort((own[2], shard))
-        shard, (ids, of, sizes, places, sides) = shard[order], (x[order] for x in own)
-        sizes, places = sizes.astype(np.int64), places.astype(np.int64)
+        shard, (ids, of, sizes, sides) = shard[order], (x[order] for x in own)
         begins = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
         ends = np.r_[begins[1:], len(shard)]
         mixed = np.minimum.reduceat(of, begins) < np.maximum.reduceat(of, begins)
         end = np.repeat(np.where(mixed, ends, 0), ends - begins)
-        live, by, pairs = np.arange(len(shard)), 0, [np.zeros((0, 2), np.int64)]
+        live, by, pairs = np.arange(len(shard)), 0, [np.zeros((3, 0), np.int64)]
         while True:
             by += 1
             live = live[live + by < end[live]]
@@ -264,14 +338,22 @@ def rest(sets: DataFrame, similarity: float) -> DataFrame:
             if not len(live):
                 break
             i, j = live, live + by
-            common = np.minimum(sizes[i] - places[i], sizes[j] - places[j])  # at most, where this is the first that they share
-            use = (of[i] != of[j]) & ((sides[i] != sides[j]) | (sides[i] == -1)) & (common * (least.numerator + least.denominator) >= (sizes[i] + sizes[j]) * least.numerator)
-            if use.any():
-                pairs.append(np.stack([np.maximum(ids[i[use]], ids[j[use]]), np.minimum(ids[i[use]], ids[j[use]])], 1))
-        found = np.unique(np.concatenate(pairs), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], ["a", "b"])
-
-    return by_shard(met.select(cell.alias("shard"), "id", "root", "size", "place", side.alias("side")), walk).distinct()
+            use = (of[i] != of[j]) & ((sides[i] != sides[j]) | (sides[i] == -1))
+            i, j = i[use], j[use]
+            # what both need to have in common, less what they may have behind their first shingles: all that is before the nearer end of these is in both
+            common = -((-least.numerator * (sizes[i] + sizes[j])) // (least.numerator + least.denominator))
+            behind = np.maximum(sizes[i] - firsts(sizes[i], least), sizes[j] - firsts(sizes[j], least))
+            pairs.append(np.stack([np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j]), common - behind]))
+        a, b, least_n = np.concatenate(pairs, axis=1)
+        order = np.lexsort((b, a))
+        a, b, least_n = a[order], b[order], least_n[order]
+        new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[new], b[new], np.diff(np.r_[new, len(a)]), least_n[new])], ["a", "b", "n", "least"])
+
+    counted = by_shard(met.select(cell.alias("shard"), "id", "root", "size", side.alias("side")), walk, "a long, b long, n long, least long", CELLS)
+    pairs = checkpointed(counted.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least")).where("n >= least").select("a", "b"))
+    forget(spark, path)
+    return pairs
 
 
 def shingle_table(texts: DataFrame, words: int) -> DataFrame:
@@ -288,19 +370,43 @@ def shingle_table(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, "id long, items array<long>")
 
 
+def few(keys: DataFrame) -> DataFrame:
+    """``keys``, which are checkpointed, broadcast if they are few."""
+    return F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys
+
+
+def one_of_each(rows: DataFrame, made: DataFrame, distinct: DataFrame) -> tuple[DataFrame, str | None]:
+    """A row (who, text) for each set of ``distinct`` (id, least), and the path of the copy where one was made. Texts of other rows don't travel, and none do
+    where the rows that are left out are few."""
+    seen = made.groupBy("who", F.col("shingles").alias("id")).count().join(distinct.select("id", "least"), "id")
+    copies = checkpointed(seen.where("who > least OR count > 1").select("who", (F.col("who") == F.col("least")).alias("again")))
+    n, again = copies.agg(F.count("*"), F.count_if("again")).first()
+    if not n:
+        return rows, None
+    texts = rows.join(few(copies), "who", "left_anti")
+    if again:
+        texts = texts.unionByName(rows.join(few(checkpointed(copies.where("again").select("who"))), "who", "left_semi").dropDuplicates(["who"]))
+    return written(texts) if again or n > MOST_BROADCAST else (texts, None)
+
+
 def groups(rows: DataFrame, words: int, similarity: float, radius: int, recall: float, split_over: int) -> DataFrame:
     """(who, least): for each row (who, text) the least ``who`` of its group."""
     made = checkpointed(prints(rows, words))
-    distinct = checkpointed(made.groupBy(F.col("shingles").alias("id")).agg(F.min("who").alias("least"), *(F.first(f"p{k}").alias(f"p{k}") for k in range(WORDS_OF_64))))
-    pairs = checkpointed(candidates(distinct, distinct.count(), radius, recall, split_over))
-    texts = rows.join(distinct.select("id", F.col("least").alias("who")), "who").dropDuplicates(["id"]).select("id", "text")
-    sets = checkpointed(shingle_table(texts, words))
-    links = checkpointed(verified(pairs, sets, similarity))
+    distinct = checkpointed(made.groupBy(F.col("shingles").alias("id")).agg(F.min("who").alias("least"), F.first("size").alias("size"), *(F.first(f"p{k}").alias(f"p{k}") for k in range(WORDS_OF_64))))
+    texts, path = one_of_each(rows, made, distinct)
+
+    def held(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs, which are checkpointed, that hold."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        owners = checkpointed(distinct.join(ids, "id").select("id", F.col("least").alias("who")))
+        return checkpointed(verified(pairs, shingle_table(texts.join(few(owners), "who").select("id", "text"), words), similarity))
+
+    links = held(checkpointed(candidates(distinct, distinct.count(), radius, recall, split_over)))
     root = connected(links).select(F.col("node").alias("id"), "root")
-    placed = checkpointed(distinct.select("id", "least").join(root, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")))
-    joined = placed.where("root != id").select("id", "root")
-    known = sets.join(F.broadcast(joined) if joined.count() <= MOST_BROADCAST else joined, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "items")
-    more = checkpointed(verified(checkpointed(rest(known, similarity)), sets, similarity))
+    placed = checkpointed(distinct.select("id", "least", "size").join(root, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root"), "size"))
+    more = held(rest(texts, placed, words, similarity))
+    if path:
+        forget(rows.sparkSession, path)
     if not more.isEmpty():
         for c in ("a", "b"):
             more = more.join(placed.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root")), c)
@@ -320,8 +426,7 @@ def representatives(
 
     def keys(df: DataFrame) -> DataFrame:
         """(__id, __print) of distinct rows' ``who``, broadcast if they are few."""
-        some = checkpointed(df.select(F.col("who.id").alias("__id"), F.col("who.print").alias("__print")).distinct())
-        return F.broadcast(some) if some.count() <= MOST_BROADCAST else some
+        return few(checkpointed(df.select(F.col("who.id").alias("__id"), F.col("who.print").alias("__print")).distinct()))
 
     kept = own.join(keys(found.where("who > least")), ["__id", "__print"], "left_anti")
     # rows of equal key and text are one document; the texts of others need not travel for that

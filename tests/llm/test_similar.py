@@ -1,8 +1,9 @@
 """Groups of near-duplicates against brute-force Jaccard similarities."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -141,3 +142,47 @@ def test_representatives_bear_odd_rows(spark):
     assert got.columns == docs.columns
     assert sorted(r.doc_id for r in got.collect()) == [3, 5, 8, 9]
     assert similar.representatives(docs.limit(0)).count() == 0
+
+
+def test_first_shingles_of_several_texts_and_no_others(spark):
+    texts = [*copies(7), *(" ".join(f"w{i}" for i in range(k, k + 40)) for k in range(30))]
+    found, starts = similar.shingle_sets(pa.array(texts, pa.string()), 5)
+    ids = similar.set_ids(found, starts)
+    places = sorted({int(i): n for n, i in reversed(list(enumerate(ids)))}.values())
+    rows = spark.createDataFrame([(n, texts[n]) for n in places], "who long, text string").repartition(3)
+    hot = np.unique(similar.mix(found) >> np.uint64(32 - 6))[::3]
+    for frequent in (np.zeros(0, np.uint64), hot):
+        want = []
+        for n in places:
+            keys = (similar.mix(found[starts[n] : starts[n + 1]]) >> np.uint64(32 - 6)).tolist()
+            keys.sort(key=lambda k: k in set(frequent.tolist()))  # stable
+            want += [(k, int(ids[n]) & 2**32 - 1) for k in keys[: len(keys) - -(-4 * len(keys) // 5) + 1]]
+        packed = similar.heads(rows, 5, 0.8, frequent, 6)
+        assert sum(len(r.packed) for r in packed.collect()) == 8 * len(want)
+        holders = Counter(k for k, _ in want)
+        assert max(holders.values()) > 6
+        got = [(r.item, r.low) for r in similar.shared(packed).collect()]
+        assert sorted(got) == sorted((k, low) for k, low in want if holders[k] > 1)
+
+
+def test_what_is_kept_is_smaller_than_the_texts(spark):
+    rng = random.Random(11)
+    texts = [" ".join(f"word{rng.randrange(10**6)}" for _ in range(300)) for _ in range(1000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "who long, text string")
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+
+    def kept():
+        return sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+
+    before = kept()
+    assert similar.groups(rows, 5, 0.8, similar.RADIUS, 0.95, 20_000).where("who = least").count() == len(texts)
+    assert kept() - before < sum(map(len, texts)) / 4
+
+
+def test_repeated_rows_and_copies_stand_for_one_text(spark):
+    base = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(3)]
+    near = base[0].replace("w0x59", "other")
+    rows = [(1, base[0]), (1, base[0]), (2, base[0].upper()), (3, near), (4, base[1]), (5, base[1]), (5, base[1]), (6, base[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for radius in (similar.RADIUS, 1):
+        assert sorted(r.doc_id for r in similar.representatives(docs, radius=radius, recall=0.5).collect()) == [1, 4, 6]
